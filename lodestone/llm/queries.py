@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import quality_rules
+from lodestone.llm import minhash, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_minhash": minhash.op5_query,
         "op9_quality_rules": quality_rules.op9_query,
     }
 
