@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, minhash, quality_rules
+from lodestone.llm import decontaminate, minhash, pii, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": pii.op1_query,
         "op4_decontamination": decontaminate.op4_query,
         "op5_minhash": minhash.op5_query,
         "op9_quality_rules": quality_rules.op9_query,
