@@ -32,7 +32,8 @@ from lodestone.llm.base import table
 BASE = ("email", "ip", "card", "phone")
 KINDS = BASE + ("secret", "iban")
 MAX_TOKENS = 16
-WINDOW = 6  # tokens on either side of an anchor
+WINDOW = 6  # words on either side of an anchor
+REACH = 400  # code points on either side at most, where words are longer than any segment
 
 Span = tuple[str, int, int]
 
@@ -373,8 +374,8 @@ def field_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
 
 def _widened(text: str, at: int, step: int) -> int:
     """A place between words about WINDOW words to the left or right of at."""
-    words = 0
-    while 0 < at < len(text):
+    words, stop = 0, at + step * REACH
+    while 0 < at < len(text) and at != stop:
         at += step
         if 0 < at < len(text) and text[at - 1].isspace() and not text[at].isspace():
             words += 1

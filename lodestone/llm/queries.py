@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, minhash, pii, quality_rules
+from lodestone.llm import decontaminate, minhash, packing, pii, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": pii.op1_query,
         "op4_decontamination": decontaminate.op4_query,
         "op5_minhash": minhash.op5_query,
+        "op6_packing": packing.op6_query,
         "op9_quality_rules": quality_rules.op9_query,
     }
 
