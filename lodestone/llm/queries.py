@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, minhash, packing, pii, quality_rules
+from lodestone.llm import chat, decontaminate, minhash, packing, pii, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.op1_query,
+        "op2_chat_format": chat.op2_query,
         "op4_decontamination": decontaminate.op4_query,
         "op5_minhash": minhash.op5_query,
         "op6_packing": packing.op6_query,
@@ -20,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": chat.OP2_SQL}
