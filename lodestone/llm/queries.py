@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, decontaminate, minhash, packing, pii, quality_rules
+from lodestone.llm import chat, decontaminate, minhash, packing, pii, quality_rules, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.op1_query,
         "op2_chat_format": chat.op2_query,
+        "op3_wavelet": wavelet.op3_query,
         "op4_decontamination": decontaminate.op4_query,
         "op5_minhash": minhash.op5_query,
         "op6_packing": packing.op6_query,
