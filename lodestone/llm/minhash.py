@@ -7,8 +7,9 @@
    Matching nibbles of two signatures, corrected for chance collisions (1 in 16), estimate the similarity; pairs more than
    six standard errors below the threshold go. The rest are confirmed on their full sets, computed again from the texts.
 4. Confirmed links are joined to components. Buckets that still hold several components compare their members' signatures
-   in blocks of bounded size (a large bucket becomes many block pairs); first each member's best partner in another
-   component is confirmed, then, where components still differ, every remaining pair that the estimate allows.
+   in blocks of bounded size (a large bucket becomes many block pairs) and report members with a possible link to another
+   component, tied into clusters. Each cluster then confirms such links on full sets, again in block pairs, and reports only
+   links that join something. No step writes more rows than it has members.
 
 A pair at the threshold of 0.85 shares no band with probability (1 - 0.85^4)^32 < 1e-10; nothing else loses links: no
 cap holds on buckets, partners or candidates.
@@ -32,7 +33,7 @@ from lodestone.llm.components import components
 
 WIDTH, HASHES, BANDS, BITS = 5, 128, 32, 4
 ROWS = HASHES // BANDS
-BLOCK = 2048
+BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 512  # members of a block, by signature and by text
 SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
 
 
@@ -144,59 +145,111 @@ def confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame, percent:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _within_blocks(floor: float, best: bool):
-    """Rows (key, i, j, block, id, component, signature) sorted by (key, i, j): pairs of different components in the block
-    pair (i, j) whose signatures allow a link; with best, only the most similar partner of each member."""
-
-    def pairs_of(ids, blocks, comps, signatures, i, j) -> tuple[np.ndarray, np.ndarray]:
-        x = np.flatnonzero(blocks == i)
-        y = np.flatnonzero(blocks == j) if i != j else x
-        found_a, found_b = [], []
-        for k in range(0, len(x), 256):
-            rows = x[k : k + 256]
-            score = estimated(signatures[rows][:, None, :], signatures[y][None, :, :])
-            score[comps[rows][:, None] == comps[y][None, :]] = -1
-            if best:
-                at = score.argmax(axis=1)
-                ok = score[np.arange(len(rows)), at] >= floor
-                p, q = rows[ok], y[at[ok]]
-            else:
-                p, q = np.nonzero(score >= floor)
-                p, q = rows[p], y[q]
-            found_a.append(np.minimum(ids[p], ids[q]))
-            found_b.append(np.maximum(ids[p], ids[q]))
-        return np.concatenate(found_a or [np.empty(0, np.int64)]), np.concatenate(found_b or [np.empty(0, np.int64)])
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole groups of rows sorted by (key, i, j), as many at a time as arrive together."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        rest = pa.Table.from_batches(([] if rest is None else rest.to_batches()) + [batch])
+        if not rest.num_rows:
+            continue
+        key, i, j = (rest.column(n).to_numpy() for n in ("key", "i", "j"))
+        whole = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+        if len(whole):
+            cut = int(whole[-1]) + 1
+            yield rest.slice(0, cut)
+            rest = rest.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def split_groups(rows: pa.Table) -> Iterator[pa.Table]:
+    key, i, j = (rows.column(n).to_numpy() for n in ("key", "i", "j"))
+    edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+    for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+        yield rows.slice(start, end - start)
+
+
+def near_rows(group: pa.Table, labels: np.ndarray, floor: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a block pair: (row, rows of the other block that another label has now and whose estimate allows a link)."""
+    i, j, block = group.column("i")[0].as_py(), group.column("j")[0].as_py(), group.column("block").to_numpy()
+    signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint64).reshape(len(block), -1)
+    x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    for k in range(0, len(x), 128):
+        rows = x[k : k + 128]
+        near = estimated(signatures[rows][:, None, :], signatures[y][None, :, :]) >= floor
+        for row, hit in zip(rows.tolist(), near, strict=True):
+            partners = y[hit]
+            partners = partners[labels[partners] != labels[row]]
+            if len(partners):
+                yield row, partners
+
+
+def merge(labels: np.ndarray, rows: np.ndarray) -> None:
+    """One label for all that share one with rows: the smallest."""
+    found = np.unique(labels[rows])
+    labels[np.isin(labels, found)] = found[0]
+
+
+def _active(floor: float):
+    """Buckets' block pairs -> (id, component, root): members with a possible link to another component; components that such
+    links tie within the block pair have one root. As many rows as members, not as pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        for rows in groups_of(batches):
+            out: dict[tuple[int, int], int] = {}
+            for group in split_groups(rows):
+                ids, comps = group.column("id").to_numpy(), group.column("component").to_numpy()
+                roots, active = comps.copy(), np.zeros(len(ids), bool)
+                for row, partners in near_rows(group, comps, floor):
+                    active[row] = active[partners] = True
+                    merge(roots, np.append(partners, row))
+                for n in np.flatnonzero(active).tolist():
+                    known = (int(ids[n]), int(roots[n]))
+                    out[known] = int(comps[n])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array(list(out.values()), pa.int64()), pa.array([k[1] for k in out], pa.int64())], names=["id", "component", "root"])
 
-        def flush(rows: pa.Table) -> pa.RecordBatch:
-            key, i, j, block, ids, comps = (rows.column(n).to_numpy() for n in ("key", "i", "j", "block", "id", "component"))
-            signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint64).reshape(len(key), -1)
-            edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            a, b = [], []
-            for start, end in zip([0, *edges], [*edges, len(key)], strict=True):
-                p, q = pairs_of(ids[start:end], block[start:end], comps[start:end], signatures[start:end], i[start], j[start])
-                a.append(p)
-                b.append(q)
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    return run
 
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rest = rows if rest is None else pa.concat_tables([rest, rows])
-            key, i, j = (rest.column(n).to_numpy() for n in ("key", "i", "j"))
-            whole = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1])) if len(key) else []
-            if len(whole):
-                cut = int(whole[-1]) + 1
-                yield flush(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield flush(rest)
+
+def _cluster_links(floor: float, percent: int):
+    """Block pairs of a cluster with their texts -> links (a, b) confirmed on full sets, as many as join what they join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups_of(batches):
+            a, b = [], []
+            for group in split_groups(rows):
+                ids, labels = group.column("id").to_numpy(), group.column("component").to_numpy().copy()
+                sets = [shingles(t, WIDTH) for t in group.column("text").to_pylist()]
+                sizes = np.array([len(s) for s in sets])
+                for row, partners in near_rows(group, labels, floor):
+                    partners = partners[100 * np.minimum(sizes[partners], sizes[row]) >= percent * np.maximum(sizes[partners], sizes[row])]
+                    linked = []
+                    for n in partners.tolist():
+                        if labels[n] in labels[linked]:
+                            continue
+                        common = len(np.intersect1d(sets[row], sets[n], assume_unique=True))
+                        if 100 * common >= percent * (sizes[row] + sizes[n] - common):
+                            linked.append(n)
+                    if linked:
+                        a += [int(min(ids[row], ids[n])) for n in linked]
+                        b += [int(max(ids[row], ids[n])) for n in linked]
+                        merge(labels, np.array([*linked, row]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def in_block_pairs(members: DataFrame, block: int) -> DataFrame:
+    """members (key, n, id, ...) -> a row for each pair of blocks (i, j) of its key that a member belongs to."""
+    n_blocks = F.ceil(F.col("n") / block).cast("int")
+    placed = members.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    return placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("n", "other")
+
+
+def sorted_groups(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def links(spark: SparkSession, reps: DataFrame, texts: DataFrame, percent: int = 85) -> DataFrame:
     """reps (doc_id, bands, signature) of classes -> (id, component) for every class that is not the smallest of its component."""
     floor = estimate_floor(percent / 100)
@@ -204,38 +257,31 @@ def links(spark: SparkSession, reps: DataFrame, texts: DataFrame, percent: int =
     buckets = materialize(spark, members.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = materialize(spark, members.join(buckets, "key"), "members")
     signatures = reps.select(F.col("doc_id").alias("id"), "signature")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return confirmed(spark, pairs, texts.join(wanted, "doc_id", "left_semi"), percent)
+    # The texts are shuffled once, whatever their number, and only members of buckets are kept.
+    texts = materialize(spark, texts.join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
 
     stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     signed_pairs = stars.join(signatures.withColumnRenamed("id", "b").withColumnRenamed("signature", "sig_b"), "b").join(signatures.withColumnRenamed("id", "a").withColumnRenamed("signature", "sig_a"), "a").select("a", "b", "sig_a", "sig_b")
     stars = materialize(spark, signed_pairs.mapInArrow(_candidates(floor), "a long, b long"), "candidates")
-    edges = materialize(spark, checked(stars), "links")
-    tried = stars
+    edges = materialize(spark, confirmed(spark, stars, texts, percent), "links")
     comps = components(spark, edges)
-    for best in (True, False):
-        # In a bucket of two the only pair has been tried.
-        labelled = members.where("n > 2").join(comps, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-        mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        open_rows = (
-            labelled.join(mixed_keys, "key", "left_semi")
-            .withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component")
-            .join(signatures, "id")
-        )
-        found = open_rows.select("key", "i", "j", "block", "id", "component", "signature").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = materialize(spark, found.mapInArrow(_within_blocks(floor, best), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
-        if pairs.isEmpty():
-            continue
-        new = materialize(spark, checked(pairs), "links")
-        tried = tried.union(pairs)
-        edges = edges.union(new)
-        comps = components(spark, edges)
-    return comps
+
+    # In a bucket of two the only pair has been tried.
+    labelled = members.where("n > 2").join(comps, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    open_rows = in_block_pairs(labelled.join(mixed_keys, "key", "left_semi"), BUCKET_BLOCK).join(signatures, "id")
+    active = sorted_groups(open_rows).select("key", "i", "j", "block", "id", "component", "signature").mapInArrow(_active(floor), "id long, component long, root long")
+    active = materialize(spark, active.distinct(), "active")
+    if active.isEmpty():
+        return comps
+    ties = active.where("component <> root").select(F.col("root").alias("a"), F.col("component").alias("b"))
+    clusters = components(spark, ties).withColumnRenamed("id", "member")
+    clustered = active.select("id", "component").distinct().join(clusters, F.col("member") == active["component"], "left").select("id", active["component"].alias("own"), F.coalesce(clusters["component"], active["component"]).alias("key"))
+    clustered = materialize(spark, clustered.withColumnRenamed("own", "component"), "clusters")
+    sizes = clustered.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    pairs = in_block_pairs(clustered.join(sizes, "key"), CLUSTER_BLOCK).join(signatures, "id").join(texts.withColumnRenamed("doc_id", "id"), "id")
+    new = sorted_groups(pairs).select("key", "i", "j", "block", "id", "component", "signature", "text").mapInArrow(_cluster_links(floor, percent), "a long, b long")
+    return components(spark, edges.union(materialize(spark, new, "links")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
