@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, decontaminate, language, minhash, packing, pii, quality_rules, token_counts, wavelet
+from lodestone.llm import chat, decontaminate, language, minhash, packing, pii, quality_net, quality_rules, token_counts, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_minhash": minhash.op5_query,
         "op6_packing": packing.op6_query,
         "op7_language_id": language.op7_query,
+        "op8_quality_net": quality_net.op8_query,
         "op9_quality_rules": quality_rules.op9_query,
         "op10_token_counts": token_counts.op10_query,
     }
