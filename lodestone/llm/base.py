@@ -15,7 +15,7 @@ MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xC2B2AE3D27D4EB4F)
 
 #: Entries a per-process word table may hold before it is emptied; it changes speed only.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 250_000
 
 _own_dir: list[str] = []
 
