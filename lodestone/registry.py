@@ -1,4 +1,4 @@
-"""Name -> query, and name -> SQL that gives the same rows."""
+"""Name -> query, and name -> SQL that gives the same rows. Modules of lodestone.plans register theirs on import."""
 
 from __future__ import annotations
 
@@ -12,9 +12,29 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function of (spark, sf_dir); sql is its counterpart in ANSI SQL over the tables' names."""
+
+    def add(f: Query) -> Query:
+        if name in _queries:
+            raise ValueError(f"{name} is registered twice")
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from lodestone.plans import compression, graphs, reports, rerank, retrieval, streams, vectors  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _queries
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _sql
