@@ -1 +1,160 @@
-"""Queries."""
+"""Queries over proximity graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.operators import graph, knn
+from lodestone.plans.vectors import K, SQL_TOPK
+from lodestone.registry import query
+from lodestone.sources.tables import SQL_VECTORS, base_vectors, load, query_vectors, sql_l2, written
+
+DEGREE, LIST, ALPHA = 16, 40, 1.2
+POOL, PRUNED = 60, 8
+REGULAR, DRAWS = 8, 64
+NODES = 500
+SWEEP = [10, 20, 50, 100]
+#: List size of the search that finds everything in shards up to it.
+WHOLE = 512
+
+SQL_EDGES = f"edges_v AS (SELECT l_partkey % {NODES} AS src, (l_suppkey * 7 + l_linenumber) % 520 AS dst FROM lineitem WHERE (l_partkey % {NODES}) % 3 = 0)"
+
+
+def edges(spark, sf_dir):
+    """An edge list with self-loops, repeats and targets out of range."""
+    return load(spark, sf_dir, "lineitem").where(f"(l_partkey % {NODES}) % 3 = 0").select((F.col("l_partkey") % NODES).alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 520).alias("dst"))
+
+
+def nodes(spark):
+    return spark.range(NODES).withColumnRenamed("id", "vec_id")
+
+
+@query(
+    "random_regular_graph",
+    f"""WITH {SQL_VECTORS}, top AS (SELECT max(vec_id) + 1 AS n FROM base_v),
+dr AS (SELECT src, dst, min(j) AS j FROM (SELECT vec_id AS src, j, ((vec_id + 17) * 7919 + j * 104729 + (vec_id + 3) * (j + 5) * 31) % 1000003 % n AS dst FROM base_v, range(1, {DRAWS + 1}) r(j), top) WHERE src <> dst GROUP BY src, dst)
+SELECT src, dst FROM (SELECT d.src, d.dst, row_number() OVER (PARTITION BY d.src ORDER BY d.j) AS k FROM dr d JOIN base_v b ON b.vec_id = d.dst) WHERE k <= {REGULAR}""",
+)
+def random_regular_graph(spark, sf_dir):
+    """Each vector's first distinct draws by a formula of its id: linear in the vectors, the same on every engine."""
+    base = base_vectors(spark, sf_dir).select("vec_id")
+    top = F.broadcast(base.agg((F.max("vec_id") + 1).alias("n")))  # one row
+    src = F.col("src")
+    draw = ((src + 17) * 7919 + F.col("j") * 104729 + (src + 3) * (F.col("j") + 5) * 31) % 1000003 % F.col("n")
+    draws = base.select(F.col("vec_id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(DRAWS))).alias("j")).crossJoin(top).select("src", "j", draw.alias("dst")).where("src <> dst")
+    known = draws.groupBy("src", "dst").agg(F.min("j").alias("j")).join(base.select(F.col("vec_id").alias("dst")), "dst", "left_semi")
+    return known.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("j", "dst"))).alias("d")).select("src", F.explode(F.slice("d", 1, REGULAR)).alias("d")).select("src", "d.dst")
+
+
+@query(
+    "robust_prune",
+    f"""WITH RECURSIVE {SQL_VECTORS},
+pd AS (SELECT qid AS pid, vec_id AS id, embedding AS v, {sql_l2("embedding", "qvec")} AS d FROM base_v CROSS JOIN query_v),
+pool AS (SELECT * FROM (SELECT pid, id, v, d, row_number() OVER (PARTITION BY pid ORDER BY round(d, 6), id) AS i FROM pd) WHERE i <= {POOL}),
+st AS (SELECT qid AS pid, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id BIGINT, v FLOAT[])[]) AS kept FROM query_v
+  UNION ALL
+  SELECT st.pid, st.i + 1, CASE WHEN len(st.kept) < {PRUNED} AND len(list_filter(st.kept, lambda k: {ALPHA * ALPHA} * {sql_l2("k.v", "p.v")} <= p.d)) = 0
+    THEN list_append(st.kept, {{'id': p.id, 'v': p.v}}) ELSE st.kept END
+  FROM st JOIN pool p ON p.pid = st.pid AND p.i = st.i + 1)
+SELECT pid, CAST(k - 1 AS BIGINT) AS pos, kept[k].id AS id FROM st, range(1, {PRUNED + 1}) r(k) WHERE i = {POOL} AND k <= len(kept)""",
+)
+def robust_prune(spark, sf_dir):
+    """Every query vector's nearest base vectors, pruned by a fold."""
+    near = knn.exact_topk(spark, base_vectors(spark, sf_dir), query_vectors(spark, sf_dir), POOL).select("qid", "vec_id", "rank")
+    pairs = near.join(base_vectors(spark, sf_dir).select("vec_id", "embedding"), "vec_id").join(query_vectors(spark, sf_dir), "qid")
+    each = pairs.select("qid", F.struct("rank", graph.l2sq("embedding", "qvec").alias("d"), F.col("vec_id").alias("id"), F.col("embedding").alias("v")).alias("c"))
+    pools = each.groupBy("qid").agg(F.array_sort(F.collect_list("c")).alias("pool"))
+    sorted_pool = F.transform("pool", lambda c: F.struct(c["d"].alias("d"), c["id"].alias("id"), c["v"].alias("v")))
+    return pools.select(F.col("qid").alias("pid"), F.posexplode(graph.pruned(sorted_pool, ALPHA, PRUNED)).alias("pos", "k")).select("pid", F.col("pos").cast("long").alias("pos"), "k.id")
+
+
+@query("reverse_edges", f"WITH {SQL_EDGES}, d AS (SELECT DISTINCT src, dst FROM edges_v) SELECT a.dst, a.src FROM d a WHERE a.src <> a.dst AND NOT EXISTS (SELECT 1 FROM d b WHERE b.src = a.dst AND b.dst = a.src)")
+def reverse_edges(spark, sf_dir):
+    return graph.reverse_edges(edges(spark, sf_dir))
+
+
+@query("graph_in_degree", f"WITH {SQL_EDGES} SELECT n.i AS vec_id, count(e.dst) AS in_degree FROM range({NODES}) n(i) LEFT JOIN edges_v e ON e.dst = n.i GROUP BY n.i")
+def graph_in_degree(spark, sf_dir):
+    return graph.in_degrees(edges(spark, sf_dir), nodes(spark))
+
+
+@query(
+    "graph_degree_stats",
+    f"""WITH {SQL_EDGES}, o AS (SELECT n.i, count(e.dst) AS deg, count(DISTINCT e.dst) AS different FROM range({NODES}) n(i) LEFT JOIN edges_v e ON e.src = n.i GROUP BY n.i),
+z AS (SELECT n.i FROM range({NODES}) n(i) LEFT JOIN edges_v e ON e.dst = n.i WHERE e.dst IS NULL)
+SELECT round(avg(deg), 6) AS avg_degree, max(deg) AS max_degree, min(deg) AS min_degree, CAST(sum(CASE WHEN deg = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zero_degree, CAST(sum(deg - different) AS BIGINT) AS duplicates,
+max(deg) <= 64 AS within_degree, (SELECT count(*) FROM edges_v WHERE src = dst) AS self_loops, (SELECT count(*) FROM edges_v WHERE dst >= {NODES}) AS out_of_range, (SELECT count(*) FROM z) AS in_degree_zero FROM o""",
+)
+def graph_degree_stats(spark, sf_dir):
+    return graph.audit(edges(spark, sf_dir), nodes(spark), 64)
+
+
+def index(spark, sf_dir):
+    return written(spark, graph.fit(base_vectors(spark, sf_dir), DEGREE, LIST, ALPHA), "graph")
+
+
+@query("graph_build_edges")
+def graph_build_edges(spark, sf_dir):
+    return graph.fit(base_vectors(spark, sf_dir), DEGREE, LIST, ALPHA).select(F.col("vec_id").alias("src"), F.explode("nbrs").alias("dst"))
+
+
+@query("ann_search_topk", f"WITH {SQL_VECTORS}, {SQL_TOPK} SELECT qid, rank, vec_id, d2 FROM exact")
+def ann_search_topk(spark, sf_dir):
+    """Graph search with a list as long as a small shard, where it is exact: every node is reachable from the entry."""
+    found = graph.search_index(spark, index(spark, sf_dir), query_vectors(spark, sf_dir), K, [WHOLE])
+    return graph.merged(found, K).select("qid", "rank", "vec_id", "d2")
+
+
+@query("ann_search_counters")
+def ann_search_counters(spark, sf_dir):
+    return graph.counters(graph.search_index(spark, index(spark, sf_dir), query_vectors(spark, sf_dir), K, SWEEP))
+
+
+@query("recall_vs_L")
+def recall_vs_l(spark, sf_dir):
+    """Recall of the sweep over list sizes against exact search."""
+    truth = knn.exact_topk(spark, base_vectors(spark, sf_dir), query_vectors(spark, sf_dir), K).select("qid", "vec_id")
+    found = graph.merged(graph.search_index(spark, index(spark, sf_dir), query_vectors(spark, sf_dir), K, SWEEP), K)
+    hits = found.join(truth, ["qid", "vec_id"], "left_semi").groupBy("size").agg(F.count(F.lit(1)).alias("hits"))
+    n = F.broadcast(query_vectors(spark, sf_dir).agg(F.count(F.lit(1)).alias("n")))  # one row
+    return hits.crossJoin(n).select("size", F.round(F.col("hits") / (F.col("n") * K), 6).alias("recall"))
+
+
+@query("layered_graph_knn")
+def layered_graph_knn(spark, sf_dir):
+    layers = written(spark, graph.fit_layers(base_vectors(spark, sf_dir), m=8, size=LIST), "layers")
+    return graph.merged(graph.search_index(spark, layers, query_vectors(spark, sf_dir), K, [100]), K).select("qid", "rank", "vec_id", "d2")
+
+
+@query(
+    "sanity_query",
+    f"WITH {SQL_VECTORS}, {SQL_TOPK}, one AS (SELECT string_agg(CAST(vec_id AS VARCHAR), ' ' ORDER BY rank) AS ids FROM exact WHERE qid = 0) SELECT ids AS exact_ids, ids AS found_ids, CAST(1.0 AS DOUBLE) AS recall FROM one",
+)
+def sanity_query(spark, sf_dir):
+    """One query by both searches, side by side."""
+    one = query_vectors(spark, sf_dir).where("qid = 0")
+    truth = knn.exact_topk(spark, base_vectors(spark, sf_dir), one, K)
+    found = graph.merged(graph.search_index(spark, index(spark, sf_dir), one, K, [WHOLE]), K)
+    ids = lambda df, name: df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda s: s["vec_id"].cast("string")), " ").alias(name))
+    both = ids(truth, "exact_ids").crossJoin(ids(found, "found_ids"))  # a row each
+    shared = F.size(F.array_intersect(F.split("exact_ids", " "), F.split("found_ids", " ")))
+    return both.withColumn("recall", F.round(shared / F.lit(float(K)), 6))
+
+
+@query("lsh_knn")
+def lsh_knn(spark, sf_dir):
+    """Extension: random-projection buckets joined on their keys, then exact distances of the candidates."""
+    import numpy as np
+
+    planes = np.random.default_rng(7).normal(size=(6, 8, 64))
+    def keys(vector):
+        def key(table):
+            bits = [F.when(F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(w)) for w in plane]), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, b: a + b) > 0, "1").otherwise("0") for plane in planes[table]]
+            return F.concat(F.lit(f"{table}:"), *bits)
+
+        return F.array(*[key(t) for t in range(len(planes))])
+
+    base = base_vectors(spark, sf_dir).select("vec_id", "embedding", F.explode(keys(F.col("embedding"))).alias("key"))
+    asked = query_vectors(spark, sf_dir).select("qid", "qvec", F.explode(keys(F.col("qvec"))).alias("key"))
+    near = asked.join(base, "key").select("qid", "vec_id", F.round(graph.l2sq("embedding", "qvec"), 6).alias("d2")).distinct()
+    return knn.ranked(near, K).select("qid", "rank", "vec_id", "d2")
