@@ -193,7 +193,7 @@ def fit_layers(base: DataFrame, m: int = 32, size: int = 200, seed: int = 0, sha
     return sharded(base, shard_rows).groupBy("shard").applyInPandas(run, INDEX)
 
 
-def _loaded(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def loaded(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """ids, vectors, padded neighbours as places, entry place of one layer."""
     rows = rows.sort_values("vec_id", ignore_index=True)
     ids = rows["vec_id"].to_numpy()
@@ -204,7 +204,7 @@ def _loaded(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int
 def _searching(shared, k: int, sizes: list[int]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         qids, queries = shared.value
-        layers = [_loaded(part) for _, part in sorted(rows.groupby("level"), reverse=True)]
+        layers = [loaded(part) for _, part in sorted(rows.groupby("level"), reverse=True)]
         at = np.full(len(qids), layers[0][0][layers[0][3]])
         for ids, x, nbrs, _ in layers[:-1]:
             at = ids[search(x, nbrs, np.searchsorted(ids, at), queries, 1)[0][:, 0]]

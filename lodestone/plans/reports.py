@@ -1 +1,80 @@
-"""Queries."""
+"""Queries of statistics and reports. Literal rows are the published operating points they are tried on."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.operators import stats
+from lodestone.operators.pq import sample
+from lodestone.registry import query
+from lodestone.sources.tables import load
+
+TIMING = 100
+TARGETS = [0.9, 0.95, 0.99]
+
+#: Build seconds by size, and (method, parameter, 10-recall@10, mean ms) of two methods on one dataset (fixed values).
+SCALING = [("NQ", 250000, 56.5), ("NQ", 500000, 133.5), ("NQ", 1000000, 305.3), ("SIFT1M", 100000, 18.0), ("SIFT1M", 250000, 70.5), ("SIFT1M", 500000, 164.0)]
+POINTS = [
+    ("layered", 16, 0.9077, 0.042), ("layered", 32, 0.9705, 0.068), ("layered", 64, 0.9934, 0.115), ("layered", 100, 0.9976, 0.164), ("layered", 150, 0.9992, 0.232), ("layered", 200, 0.9997, 0.291),
+    ("flat_graph", 10, 0.9386, 0.053), ("flat_graph", 20, 0.9814, 0.071), ("flat_graph", 30, 0.9927, 0.095), ("flat_graph", 50, 0.9980, 0.143), ("flat_graph", 100, 0.9996, 0.247), ("flat_graph", 150, 0.9999, 0.340), ("flat_graph", 200, 0.9999, 0.431),
+    ("flat_graph", 100, 0.9996, 0.247),
+]
+
+SQL_SCALING = "sc AS (" + " UNION ALL ".join(f"SELECT '{d}' AS dataset, CAST({n} AS BIGINT) AS n, CAST({s} AS DOUBLE) AS seconds" for d, n, s in SCALING) + ")"
+SQL_POINTS = "op AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, {p} AS param, CAST({r} AS DOUBLE) AS recall, CAST({t} AS DOUBLE) AS latency_ms" for m, p, r, t in POINTS) + ")"
+SQL_LATENCY = "lat_v AS (SELECT user_id % 3 AS run, event_id, value AS lat_ms FROM events)"
+SQL_FASTEST = f"""{SQL_POINTS}, t AS ({" UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS target" for t in TARGETS)}),
+best AS (SELECT * FROM (SELECT t.target, o.method, o.param, o.recall, o.latency_ms, row_number() OVER (PARTITION BY t.target, o.method ORDER BY o.latency_ms, o.param) AS k FROM (SELECT DISTINCT * FROM op) o JOIN t ON o.recall >= t.target) WHERE k = 1)"""
+
+
+def latencies(spark, sf_dir):
+    return load(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("run"), "event_id", F.col("value").alias("lat_ms"))
+
+
+def points(spark):
+    return spark.createDataFrame(POINTS, "method string, param int, recall double, latency_ms double")
+
+
+@query("timing_subset", f"SELECT event_id FROM (SELECT event_id FROM events ORDER BY md5('0-' || CAST(event_id AS VARCHAR)), event_id LIMIT {TIMING}) ORDER BY event_id")
+def timing_subset(spark, sf_dir):
+    """A fixed random sample without replacement, sorted: sampling is the operator."""
+    return sample(latencies(spark, sf_dir).select("event_id"), TIMING, key="event_id").orderBy("event_id")
+
+
+@query("latency_summary", f"WITH {SQL_LATENCY} SELECT round(avg(lat_ms), 6) AS mean_ms, round(quantile_cont(lat_ms, 0.5), 6) AS p50_ms, round(quantile_cont(lat_ms, 0.95), 6) AS p95_ms, round(1000 / avg(lat_ms), 6) AS qps FROM lat_v")
+def latency_summary(spark, sf_dir):
+    return stats.latency_summary(latencies(spark, sf_dir))
+
+
+@query("median_run", f"WITH {SQL_LATENCY}, m AS (SELECT run, avg(lat_ms) AS mean FROM lat_v GROUP BY run), p AS (SELECT *, row_number() OVER (ORDER BY mean, run) AS k, count(*) OVER () AS runs FROM m) SELECT run, round(mean, 6) AS mean_ms, runs FROM p WHERE k = runs // 2 + 1")
+def median_run(spark, sf_dir):
+    return stats.median_run(latencies(spark, sf_dir))
+
+
+@query("scaling_fit", f"WITH {SQL_SCALING}, f AS (SELECT dataset, regr_slope(ln(seconds), ln(n)) AS s, regr_intercept(ln(seconds), ln(n)) AS i FROM sc GROUP BY dataset) SELECT dataset, round(s, 6) AS slope, round(i, 6) AS intercept, round(exp(i + s * ln(2681468.0)), 3) AS extrapolated FROM f")
+def scaling_fit(spark, sf_dir):
+    return stats.scaling_fit(spark.createDataFrame(SCALING, "dataset string, n long, seconds double"), 2681468.0)
+
+
+@query("fastest_at_recall", f"WITH {SQL_FASTEST} SELECT target, method, param, recall, latency_ms FROM best")
+def fastest_at_recall(spark, sf_dir):
+    return stats.fastest_at(points(spark), TARGETS)
+
+
+@query(
+    "compare_methods",
+    f"""WITH {SQL_POINTS}, d AS (SELECT DISTINCT * FROM op), a AS (SELECT * FROM d WHERE method = 'layered'), b AS (SELECT * FROM d WHERE method = 'flat_graph')
+SELECT coalesce(a.param, b.param) AS param, a.recall AS left_recall, a.latency_ms AS left_ms, b.recall AS right_recall, b.latency_ms AS right_ms, round(a.latency_ms / b.latency_ms, 6) AS speedup FROM a FULL JOIN b ON a.param = b.param""",
+)
+def compare_methods(spark, sf_dir):
+    known = points(spark).distinct()
+    return stats.compare(known.where("method = 'layered'"), known.where("method = 'flat_graph'"))
+
+
+@query(
+    "report_markdown",
+    f"""WITH {SQL_FASTEST} SELECT CAST(0 AS BIGINT) AS line_no, '| target | method | param |' AS line UNION ALL SELECT 1, '|---|---|---|'
+UNION ALL SELECT 1 + row_number() OVER (ORDER BY target, method, param), '| ' || CAST(target AS VARCHAR) || ' | ' || method || ' | ' || CAST(param AS VARCHAR) || ' |' FROM best""",
+)
+def report_markdown(spark, sf_dir):
+    return stats.markdown(stats.fastest_at(points(spark), TARGETS), ["target", "method", "param"])
