@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.base import MIX_A, mixed, rolled, table
+from lodestone.llm.base import MIX_A, columns_of, free_name, mixed, rolled, table
 
 LEAST = 5
 MIN_COVERAGE = 0.6
@@ -208,4 +208,5 @@ def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_stage(spark: SparkSession, docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """docs into which no item leaks, columns unchanged."""
-    return with_hits(spark, docs, items, min_coverage).where(F.size("__hits") == 0).select(*docs.columns)
+    hits = free_name(docs, "__hits")
+    return with_hits(spark, docs, items, min_coverage, hits).where(F.size(hits) == 0).select(*columns_of(docs))

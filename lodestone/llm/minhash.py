@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import MIX_A, MIX_B, materialize, mixed, shingles, table
+from lodestone.llm.base import MIX_A, MIX_B, columns_of, materialize, mixed, shingles, table
 from lodestone.llm.components import components
 
 WIDTH, HASHES, BANDS, BITS = 5, 128, 32, 4
@@ -305,4 +305,4 @@ def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs with one document of each group, columns unchanged."""
     gone = near_duplicates(spark, docs, percent).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*columns_of(docs))

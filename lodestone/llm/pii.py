@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.base import table
+from lodestone.llm.base import columns_of, free_name, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = BASE + ("secret", "iban")
@@ -435,9 +435,9 @@ def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask_stage(docs: DataFrame) -> DataFrame:
     """docs with personal data masked in text; n_chars follows. Columns unchanged."""
-    found = with_spans(docs)
-    text = F.col("__pii.masked")
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*docs.columns)
+    into = free_name(docs, "__pii")
+    masked_text, kinds = F.col(f"{into}.masked"), dict(docs.dtypes)
+    new = {"text": masked_text}
+    if "n_chars" in kinds:
+        new["n_chars"] = F.when(masked_text.isNull(), F.col("n_chars")).otherwise(F.length(masked_text).cast(kinds["n_chars"]))
+    return with_spans(docs, into).select(*[new[c].alias(c) if c in new else kept for c, kept in zip(docs.columns, columns_of(docs), strict=True)])

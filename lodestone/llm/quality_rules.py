@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.base import materialize, rolled
+from lodestone.llm.base import columns_of, free_name, materialize, rolled
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -113,27 +113,32 @@ def rule_votes(m: str = "__measures") -> dict[str, Column]:
 def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, false_alarms: float = 0.002, rounds: int = 200, tolerance: float = 1e-9) -> tuple[float, np.ndarray]:
     """EM over vote patterns (rows of -1, 0, 1) with their counts: the share of good documents, and
     chance[class, rule, vote + 1] of each vote. Class 0 is bad, class 1 good. It starts from "bad if any rule says so",
-    which also settles which of the two classes is which. false_alarms bounds how often a rule says "bad" of a good
-    document: each rule looks for one kind of junk, and kinds seldom meet in one document, so without the bound the
-    likelihood is highest where only the kind that most rules see is "bad"."""
+    which also settles which of the two classes is which, and documents that no rule objects to stay good while it learns.
+    false_alarms bounds how often a rule says "bad" of a good
+    document. Each rule looks for one kind of junk, and kinds seldom meet in one document: without these two holds the likelihood
+    is highest where only the kind that most rules see is "bad", or where "bad" is a large class that few rules see."""
     rules = patterns.shape[1]
     chance = np.tile(np.array([[0.3, 0.2, 0.5], [0.02, 0.08, 0.9]])[:, None, :], (1, rules, 1))
     if not len(counts) or counts.sum() == 0:
         return 0.5, chance
     counts = counts.astype(float)
-    good = np.where((patterns < 0).any(axis=1), 0.001, 0.999)
+    quiet = ~(patterns < 0).any(axis=1)
+    good = np.where(quiet, 0.999, 0.001)
     one_hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
     share = last = 0.5
+    silent = (np.einsum("p,pr->r", counts, one_hot[:, :, 1]) + 0.5) / (counts.sum() + 1)
     for _ in range(rounds):
         for k, weight in enumerate((1 - good, good)):
             mass = np.einsum("p,prv->rv", weight * counts, one_hot) + 0.5
-            chance[k] = mass / mass.sum(axis=1, keepdims=True)
+            # A rule abstains as often in either class, so silence is no evidence.
+            spoken = mass[:, [0, 2]] / mass[:, [0, 2]].sum(axis=1, keepdims=True) * (1 - silent)[:, None]
+            chance[k] = np.stack([spoken[:, 0], silent, spoken[:, 1]], axis=1)
         chance[1, :, 0] = np.minimum(chance[1, :, 0], false_alarms)
         # A bad vote never speaks for "good", nor a good vote for "bad": rules are no worse than chance.
         for v, (more, less) in ((0, (0, 1)), (2, (1, 0))):
             chance[more, :, v] = np.maximum(chance[more, :, v], chance[less, :, v])
         share = float((good * counts).sum() + 1) / (counts.sum() + 2)
-        good = posterior(patterns, share, chance)
+        good = np.where(quiet, 0.999, posterior(patterns, share, chance))
         if abs(share - last) < tolerance:
             break
         last = share
@@ -189,5 +194,8 @@ def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_stage(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without the rejected rows, columns unchanged."""
-    return judge(measured(docs), threshold).where("kept").select(*docs.columns)
+    """docs without the rejected rows, columns unchanged. The model is fitted to docs in a pass before."""
+    m = free_name(docs, "__measures")
+    measures = measured(docs, m)
+    model = fit_rules(measures.select(m), m)
+    return measures.where(~base_failed(m) & (quality_probability(model, m) >= threshold)).select(*columns_of(docs))
