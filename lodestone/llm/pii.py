@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,9 +175,25 @@ def cues_before(lowered: list[str], i: int) -> list[int]:
     return [PLACE[f"cue_{k}"] for k, words in CUES.items() if near & words]
 
 
+JOINERS = {"at", "dot", "@"}
+
+
+def joinable(words: list[str]) -> list[bool]:
+    """Whether a token may be one of several in a segment: digits, marks, capitals with digits (as in account numbers), and
+    words that stand by an "at", a "dot" or an @, brackets between them or not."""
+    hinge = [w.lower() in JOINERS or w == "." for w in words]
+    out = []
+    for k, w in enumerate(words):
+        near = {k - 1, k + 1} | ({k - 2} if k > 0 and words[k - 1] in "[]()" else set()) | ({k + 2} if k + 1 < len(words) and words[k + 1] in "[]()" else set())
+        out.append(not w.isalnum() or w.isdigit() or w == w.upper() or hinge[k] or any(0 <= n < len(words) and hinge[n] for n in near))
+    return out
+
+
 def lattice(text: str, tokens: list[tuple[int, int]], blocked: list[bool]) -> list[tuple[int, int, list[int]]]:
-    """Candidate segments (first token, end token, features). None holds a blocked token; each starts at a word or an opening mark."""
-    lowered = [text[a:b].lower() for a, b in tokens]
+    """Candidate segments (first token, end token, features). None holds a blocked token; each starts at a word or an opening
+    mark, and those of several tokens hold only such as can be joined."""
+    words = [text[a:b] for a, b in tokens]
+    lowered, joins = [w.lower() for w in words], joinable(words)
     out = []
     for i in range(len(tokens)):
         first = text[tokens[i][0]]
@@ -187,7 +203,7 @@ def lattice(text: str, tokens: list[tuple[int, int]], blocked: list[bool]) -> li
         for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
             if blocked[j - 1]:
                 break
-            if j > i + 1 and tokens[j - 1][0] - tokens[j - 2][1] > 1:
+            if j > i + 1 and (tokens[j - 1][0] - tokens[j - 2][1] > 1 or not joins[j - 1] or not joins[i]):
                 break  # a gap of more than one character ends every segment
             out.append((i, j, segment_features(text, tokens, i, j, cues)))
     return out
@@ -428,8 +444,11 @@ def with_spans(docs: DataFrame, into: str = "__pii", with_text: bool = True) ->
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).drop("text")
-    # Each kind's name and colon stand once for each of its spans, and nowhere else in the list.
-    counts = [F.size(F.filter(F.split("__pii.base", ","), lambda s, k=k: s.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in BASE]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(F.split("__pii.base", ","), lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in BASE]
     return found.select("doc_id", *counts, F.sha2(F.col("__pii.base").cast("binary"), 256).alias("base_sha256"), F.col("__pii.spans").alias("spans"))
 
 

@@ -26,7 +26,7 @@ def odd_rows():
         (8, "1 " * 20_000, "en", "a", 40_000),
         (9, "日本語 Ελληνικά Σίσυφος İstanbul \x1c á \U0001f600 <|endoftext|>", "el", "d", 9),
         (10, "one", "en", "a", 3),
-        (-5, "a@b.co +1 (555) 010-9999 10.0.0.1 4111 1111 1111 1111", "en", "a", 5),
+        (-5, "a@b.co, +1 (555) 010-9999, 10.0.0.1, 4111 1111 1111 1111", "en", "a", 5),
     ]
 
 
