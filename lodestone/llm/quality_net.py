@@ -158,19 +158,23 @@ class Network:
             self.temperature = min(losses, key=losses.get)
 
 
-def fit(spark: SparkSession, docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS) -> Network:
-    """docs (text): the corpus; labelled (doc_id, text, label 0 or 1): what the network learns from."""
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network:
+    """docs (doc_id, text): the corpus; labels (doc_id, label 0 or 1): what the network learns from.
+
+    The sample is drawn from the labels alone, so it is max_rows small numbers to broadcast, and no text is shuffled."""
     found = Network(context_vectors(docs))
     shared = spark.sparkContext.broadcast(found.vectors)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t, shared.value).tolist() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    sample = labelled.where("label is not null").select("doc_id", "text", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = sample.mapInArrow(pooled, "label int, x array<double>").toArrow()
+    known = labels.where("label is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").mapInArrow(pooled, "doc_id long, label int, x array<double>").toArrow()
     if rows.num_rows:
+        rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
         found.fit(np.array(rows.column("x").to_pylist()), rows.column("label").to_numpy().astype(float))
     return found
 
@@ -188,7 +192,6 @@ def with_scores(spark: SparkSession, docs: DataFrame, network: Network, into: st
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    taught = docs.join(labels, "doc_id").where(remainder("doc_id", 5) != 0)
-    scored = with_scores(spark, docs, fit(spark, docs, taught))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(remainder("doc_id", 5) != 0)
+    scored = with_scores(spark, docs, fit(spark, docs, labels))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
