@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.base import table
+from lodestone.llm.base import bounded_sample, table
 
 ORDER = 4
 PAD = " " * (ORDER - 1)
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, max_ngrams: int = MAX_NGRAMS, calibration_rows: int = C
     langs, grams, n = rows.column("lang").to_numpy(), rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     counts.unpersist()
     found = Identifier({lang: KneserNey(grams[langs == lang], n[langs == lang]) for lang in sorted(set(langs))})
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows).select("lang", "text").toArrow().to_pylist()
+    sample = bounded_sample(docs, "doc_id", calibration_rows).select("lang", "text").toArrow().to_pylist()
     sample = [r for r in sample if r["lang"] in found.langs]
     found.calibrate([r["text"] for r in sample], [r["lang"] for r in sample])
     return found

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import MEMO_ENTRIES, MIX_A, mixed, table
+from lodestone.llm.base import MEMO_ENTRIES, MIX_A, bounded_sample, mixed, table
 from lodestone.llm.language import remainder
 
 BUCKETS, CONTEXT, OWN, REACH = 8192, 32, 64, 2
@@ -171,7 +171,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
     known = labels.where("label is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    sample = bounded_sample(known, "doc_id", max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").mapInArrow(pooled, "doc_id long, label int, x array<double>").toArrow()
     if rows.num_rows:
         rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
