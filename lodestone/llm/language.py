@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,11 @@ words_of = re.compile(r"[^\W\d_]+").findall
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
 
+def lettered(words: Iterable[str]) -> list[str]:
+    """The words without what counts as a word character but is no letter, such as fractions and superscripts; may be empty."""
+    return [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in words]
+
+
 def units(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Packed 4-grams of padded words, one for each letter and word end, and the word each belongs to. A letter beyond 16 bits is
     two units."""
@@ -65,8 +70,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
             if not counts:
                 continue
-            keys, owner = units(list(counts))
-            times = np.fromiter(counts.values(), np.int64, len(counts))
+            known = [(w, n) for w, n in zip(lettered(counts), counts.values(), strict=True) if w]
+            if not known:
+                continue
+            keys, owner = units([w for w, _ in known])
+            times = np.array([n for _, n in known], np.int64)
             grams, at = np.unique(keys, return_inverse=True)
             total = np.bincount(at, weights=times[owner]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(total)], names=["lang", "gram", "n"])
@@ -147,15 +155,19 @@ class Identifier:
         new = [w for w in words if w not in self.rows]
         if not new:
             return
-        keys, owner = units(new)
-        first = len(self.rows)
+        cleaned, first = lettered(new), len(self.rows)
+        real = np.array([k for k, w in enumerate(cleaned) if w], np.int64)
         while first + len(new) > len(self.sizes):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        kinds, at = np.unique(keys, return_inverse=True)
-        for k, model in enumerate(self.models):
-            self.sums[first : first + len(new), k] = np.bincount(owner, weights=model.log2(kinds)[at], minlength=len(new))
-        self.sizes[first : first + len(new)] = np.bincount(owner, minlength=len(new))
+        self.sums[first : first + len(new)] = 0
+        self.sizes[first : first + len(new)] = 0
+        if len(real):
+            keys, owner = units([cleaned[k] for k in real])
+            kinds, at = np.unique(keys, return_inverse=True)
+            for k, model in enumerate(self.models):
+                self.sums[first + real, k] = np.bincount(owner, weights=model.log2(kinds)[at], minlength=len(real))
+            self.sizes[first + real] = np.bincount(owner, minlength=len(real))
         self.rows.update(zip(new, range(first, first + len(new)), strict=True))
 
     def entropies(self, texts: list[str | None]) -> np.ndarray:
@@ -169,7 +181,9 @@ class Identifier:
             for k, words in enumerate(split):
                 if words:
                     at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-                    out[i + k] = -self.sums[at].sum(axis=0) / self.sizes[at].sum()
+                    letters = self.sizes[at].sum()
+                    if letters:
+                        out[i + k] = -self.sums[at].sum(axis=0) / letters
         return out
 
     def shares(self, entropies: np.ndarray) -> np.ndarray:

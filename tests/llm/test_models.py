@@ -53,6 +53,13 @@ def test_language_odd_rows(spark, crowded, empty, odd_rows, folder):
     assert all(r.lang_pred in ("en", "de", "el", "fr", "und") and 0 <= r.score <= 1 for r in found)
 
 
+def test_no_letters(spark):
+    docs = spark.createDataFrame([(1, "en", "aaa aab ²½ ②"), (2, "de", "ccc ccd")], "doc_id long, lang string, text string")
+    known = language.fit(docs)
+    found = known.classify(["² ½ 12 ②", "a²", None, "", "aab"])
+    assert [f[0] for f in found] == ["und", "en", "und", "und", "en"] and found[1][2] == known.classify(["a"])[0][2]
+
+
 def test_language_empty(spark, empty, folder):
     assert language.op7_query(spark, folder(documents=empty)).count() == 0
 
