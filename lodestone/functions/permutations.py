@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 BRACKETED = r"\[\s*(\d+)\s*\]"
 BARE = r"\d+"
+# What the repair reports, for logs that are read by others (fixed values; a number stands before those that begin with a space).
+NO_IDENTIFIERS = "no identifiers found; falling back to BM25 order"
+NO_BRACKETS = "no bracketed identifiers; scraped bare integers"
+REPEATED = " duplicate identifier(s) dropped"
+OUTSIDE = " out-of-range identifier(s) dropped"
+UNMENTIONED = " identifier(s) never mentioned; appended in BM25 order"
 
 
 def scraped(raw: Column) -> tuple[Column, Column]:
@@ -41,11 +47,11 @@ def parsed(df: DataFrame, raw: str, num: str, into: str = "result") -> DataFrame
     note = lambda c, text: F.when(c > 0, F.concat(c.cast("string"), F.lit(text)))
     notes = F.filter(
         F.array(
-            F.when(failed, F.lit("no identifiers found; falling back to BM25 order")),
-            F.when(F.col("__strategy") == "bare_int", F.lit("no bracketed identifiers; scraped bare integers")),
-            note(repeats, " duplicate identifier(s) dropped"),
-            note(outside, " out-of-range identifier(s) dropped"),
-            F.when(~failed, note(missing, " identifier(s) never mentioned; appended in BM25 order")),
+            F.when(failed, F.lit(NO_IDENTIFIERS)),
+            F.when(F.col("__strategy") == "bare_int", F.lit(NO_BRACKETS)),
+            note(repeats, REPEATED),
+            note(outside, OUTSIDE),
+            F.when(~failed, note(missing, UNMENTIONED)),
         ),
         lambda x: x.isNotNull(),
     )
