@@ -48,3 +48,19 @@ def write_metrics_csv(df: DataFrame, path: str, mode: str = "errorifexists") ->
 def write_layout(layout: DataFrame, path: str, partitions: int = 200, mode: str = "errorifexists") -> None:
     """Node records clustered by sector, so a range of sectors is a range of row groups."""
     layout.repartitionByRange(partitions, "sector").sortWithinPartitions("sector", "slot").write.mode(mode).parquet(path)
+
+
+def save_results(spark: SparkSession, results: dict, path: str, mode: str = "overwrite") -> None:
+    """One result document as JSON; NumPy scalars and arrays become plain values."""
+    import json
+
+    def plain(value):
+        return value.tolist() if hasattr(value, "tolist") else str(value)
+
+    spark.createDataFrame([(json.dumps(results, default=plain),)], "value string").coalesce(1).write.mode(mode).text(path)
+
+
+def load_results(spark: SparkSession, path: str) -> dict:
+    import json
+
+    return json.loads(spark.read.text(path).first().value)

@@ -170,3 +170,42 @@ def test_latencies(spark):
     row = stats.latency_summary(df.where("run = 1")).first()
     assert (row.mean_ms, row.p50_ms, row.p95_ms, row.qps) == (2, 2, 3.8, 500)
     assert tuple(stats.median_run(df).first()) == (0, 7.0, 4)
+
+
+def test_index_object(spark, tables, tmp_path):
+    from lodestone.operators.index import GraphIndex, GraphParameters
+
+    base, queries = tables
+    made = GraphIndex.fit(base.where("vec_id < 900"), GraphParameters(degree=12, size=24)).save(f"{tmp_path}/index")
+    again = GraphIndex.load(spark, f"{tmp_path}/index")
+    assert again.parameters == made.parameters == GraphParameters(degree=12, size=24)
+    assert lists(again.search(queries, 5, 50)) == lists(made.search(queries, 5, 50))
+    row = again.audit().first()
+    assert row.within_degree and row.self_loops == row.duplicates == row.out_of_range == 0
+    assert GraphIndex.size_bytes(spark, f"{tmp_path}/index") > 0
+
+
+def test_datasets_and_results(spark, tables, tmp_path):
+    from lodestone.sources import datasets
+    from lodestone.sources.hdf5 import read_hdf5
+
+    base, _ = tables
+    assert datasets.dataset("scifact").top_k == 100 and len(datasets.DATASETS) == 5
+    with pytest.raises(KeyError, match="nfcorpus"):
+        datasets.dataset("none")
+    paths = datasets.Paths(str(tmp_path), "scifact")
+    assert paths.graph.endswith("scifact/graph")
+    with pytest.raises(AttributeError):
+        paths.other
+    spark.range(2).write.parquet(paths.truth)
+    assert datasets.ground_truth(spark, paths).count() == 2
+    spark.range(3).write.parquet(paths.supplied_truth)
+    assert datasets.ground_truth(spark, paths).count() == 3
+    assert datasets.prefix(base, 5).count() == 2 and datasets.prefix(base).count() == 1500
+    sinks.save_results(spark, {"a": np.float32(1.5), "b": np.arange(3), "c": None}, f"{tmp_path}/r")
+    assert sinks.load_results(spark, f"{tmp_path}/r") == {"a": 1.5, "b": [0, 1, 2], "c": None}
+    try:
+        import h5py  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError, match="h5py"):
+            read_hdf5(spark, "x.h5", "train", 10)
