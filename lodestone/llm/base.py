@@ -34,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where it has fewer: a table in one small file would keep one core busy.
+    Tables with a partition for each core, and so all large ones, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
 

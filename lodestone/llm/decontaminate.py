@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.base import MIX_A, columns_of, free_name, mixed, rolled, table
+from lodestone.llm.base import MIX_A, columns_of, free_name, mixed, rolled, spread, table
 
 LEAST = 5
 MIN_COVERAGE = 0.6
@@ -200,7 +200,7 @@ def with_hits(spark: SparkSession, docs: DataFrame, items: DataFrame, min_covera
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and item that leaks into it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     hit = F.explode("__hits")
     found = with_hits(spark, docs, table(spark, sf_dir, "benchmark")).select("doc_id", hit.alias("h"))
     return found.select("doc_id", "h.item_id", "h.item_tokens", "h.covered", "h.tiles", F.round(F.col("h.covered") / F.col("h.item_tokens"), 6).alias("coverage"))

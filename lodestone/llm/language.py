@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.base import bounded_sample, table
+from lodestone.llm.base import bounded_sample, spread, table
 
 ORDER = 4
 PAD = " " * (ORDER - 1)
@@ -262,7 +262,7 @@ def remainder(doc_id: str, divisor: int) -> Column:
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     held_out = remainder("doc_id", 3) == 1
     taught = docs.where(~held_out & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     found = with_language(spark, docs.select("doc_id", "text"), fit(taught))

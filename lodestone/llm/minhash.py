@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import MIX_A, MIX_B, columns_of, materialize, mixed, shingles, table
+from lodestone.llm.base import MIX_A, MIX_B, columns_of, materialize, mixed, shingles, spread, table
 from lodestone.llm.components import components
 
 WIDTH, HASHES, BANDS, BITS = 5, 128, 32, 4
@@ -299,7 +299,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return near_duplicates(spark, spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import materialize, table
+from lodestone.llm.base import materialize, spread, table
 from lodestone.llm.encoding import default_vocabulary, encode, words
 
 CAPACITY = 2048
@@ -147,4 +147,4 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pack(spark, table(spark, sf_dir, "documents")))
+    return digest(pack(spark, spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))

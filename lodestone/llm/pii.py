@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.base import columns_of, free_name, table
+from lodestone.llm.base import columns_of, free_name, spread, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = BASE + ("secret", "iban")
@@ -443,7 +443,7 @@ def with_spans(docs: DataFrame, into: str = "__pii", with_text: bool = True) ->
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).drop("text")
+    found = with_spans(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), with_text=False).drop("text")
 
     def count(kind: str) -> Column:
         return F.size(F.filter(F.split("__pii.base", ","), lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")

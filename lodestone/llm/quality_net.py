@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import MEMO_ENTRIES, MIX_A, bounded_sample, mixed, table
+from lodestone.llm.base import MEMO_ENTRIES, MIX_A, bounded_sample, mixed, spread, table
 from lodestone.llm.language import remainder
 
 BUCKETS, CONTEXT, OWN, REACH = 8192, 32, 64, 2
@@ -190,7 +190,7 @@ def with_scores(spark: SparkSession, docs: DataFrame, network: Network, into: st
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(remainder("doc_id", 5) != 0)
     scored = with_scores(spark, docs, fit(spark, docs, labels))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.base import columns_of, free_name, materialize, rolled
+from lodestone.llm.base import columns_of, free_name, materialize, rolled, spread, table
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -188,7 +188,7 @@ def judge(measures: DataFrame, threshold: float = 0.5, m: str = "__measures") ->
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     measures = materialize(spark, measured(docs).drop("text"), "rules")
     return judge(measures).select("doc_id", *[F.col(f"__measures.{c}").alias(c) for c in COUNTS], "base_failed", "kept", "quality_probability")
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.base import MEMO_ENTRIES, doc_text, table
+from lodestone.llm.base import MEMO_ENTRIES, doc_text, spread, table
 from lodestone.llm.encoding import NO_SPACES, PATTERN, PIECES, PLAIN, SPACES, byte_letters, default_vocabulary
 
 COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "n_tokens", "n_unknown")])
@@ -154,4 +154,4 @@ def with_counts(docs: DataFrame, vocabulary: str | None = None, into: str = "__c
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_counts(doc_text(table(spark, sf_dir, "documents"))).select("doc_id", "__counts.*")
+    return with_counts(spread(doc_text(table(spark, sf_dir, "documents")))).select("doc_id", "__counts.*")
