@@ -1,19 +1,17 @@
 import hashlib
-
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import random
 
 from lodestone.llm import chat
 
 TURNS = "conv_id long, turn long, role string, text string"
 PIECES = ["</s>", "<s>", "[INST]", "[/INST]", "[SEP]", "[END]", "[ROLE]", "[/ROLE]", "\\", "<", "[", "/", "s>", "END]", "a", "é", "\U0001f600", "\n", "$1", " "]
-ROWS: list = []
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "[END]", "a[/ROLE]"]), st.lists(st.sampled_from(PIECES), max_size=8).map("".join)), min_size=1, max_size=6))
-def test_collect_examples(turns):
-    ROWS.append(turns)
+def conversations(n=300, seed=8):
+    """Turns made of what control strings are made of."""
+    rng = random.Random(seed)
+    text = lambda: "".join(rng.choice(PIECES) for _ in range(rng.randrange(9)))
+    return [[(rng.choice(["user", "assistant", "system", "[END]", "a[/ROLE]"]), text()) for _ in range(rng.randrange(1, 7))] for _ in range(n)]
 
 
 def sha(text):
@@ -21,14 +19,15 @@ def sha(text):
 
 
 def test_round_trip(spark):
-    given_rows = [(c, n, role, text) for c, turns in enumerate(ROWS) for n, (role, text) in enumerate(turns)]
+    rows = conversations()
+    given_rows = [(c, n, role, text) for c, turns in enumerate(rows) for n, (role, text) in enumerate(turns)]
     found = chat.read_back(chat.formatted(spark.createDataFrame(given_rows, TURNS))).collect()
-    assert len(found) == len(ROWS) > 100
+    assert len(found) == len(rows)
     for r in found:
-        assert [(t.role, t.text) for t in r.turns] == ROWS[r.conv_id]
-        assert r.loss_text == "".join(t for role, t in ROWS[r.conv_id] if role == "assistant")
+        assert [(t.role, t.text) for t in r.turns] == rows[r.conv_id]
+        assert r.loss_text == "".join(t for role, t in rows[r.conv_id] if role == "assistant")
         # No control string but the template's own: as many block ends as blocks.
-        roles = [role for role, _ in ROWS[r.conv_id]]
+        roles = [role for role, _ in rows[r.conv_id]]
         blocks = 1 + sum(a != b for a, b in zip(roles, roles[1:]))
         assert r.formatted.count("[END]") == blocks and r.formatted.count("</s>") == 1 and r.formatted.count("[INST]") == 0
         assert r.formatted.count("[SEP]") == len(roles) - blocks
