@@ -13,8 +13,7 @@ import functools
 import json
 import re
 
-#: Entries of either table of a process before it is emptied: about 100 MB together. Fewer cost more CPU than they save.
-MEMO_ENTRIES = 500_000
+from lodestone.llm.base import MEMO_ENTRIES
 
 #: The pre-tokenization pattern of the vocabulary file, its letter and number classes written out for Latin-1 after
 #: lower-casing and composition (fixed values).
@@ -32,12 +31,12 @@ def byte_letters() -> list[str]:
 
 
 class _Pieces(dict):
-    def __init__(self, model):
+    def __init__(self, model, entries: int):
         super().__init__()
-        self.model, self.letters = model, byte_letters()
+        self.model, self.letters, self.entries = model, byte_letters(), entries
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > MEMO_ENTRIES:
+        if len(self) > self.entries:
             self.clear()
         mapped = "".join([self.letters[b] for b in piece.encode()])
         ids = self[piece] = array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
@@ -45,8 +44,9 @@ class _Pieces(dict):
 
 
 class _Words(dict):
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int):
         super().__init__()
+        self.entries = entries
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -55,10 +55,10 @@ class _Words(dict):
         if PATTERN not in split:
             raise ValueError(f"{path}: only vocabularies with the pattern {PATTERN} are supported")
         self.marks = {t["content"][:2] for t in config["added_tokens"]}
-        self.pieces = _Pieces(self.tokenizer.model)
+        self.pieces = _Pieces(self.tokenizer.model, entries)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > MEMO_ENTRIES:
+        if len(self) > self.entries:
             self.clear()
         if PLAIN(word) and not any(m in word for m in self.marks):
             ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower())))
@@ -74,8 +74,9 @@ NO_SPACES = "\x1c\x1d\x1e\x1f"
 
 
 @functools.cache
-def words(path: str) -> _Words:
-    return _Words(path)
+def words(path: str, entries: int = MEMO_ENTRIES) -> _Words:
+    """The tables of a vocabulary file; entries bounds either of the two, and changes speed and memory only."""
+    return _Words(path, entries)
 
 
 def default_vocabulary() -> str:

@@ -33,6 +33,7 @@ from lodestone.llm.encoding import default_vocabulary, encode, words
 
 END = 2
 FILE_IDS = 2_000_000
+WORD_ENTRIES = 500_000
 MAGIC = b"LWM1"
 SAMPLE = 8  # 64-bit words between rank samples
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long"
@@ -170,7 +171,7 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def _writer(folder: str, vocabulary: str, end: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = words(vocabulary), np.array([end], "<u4").tobytes()
+        known, last = words(vocabulary, WORD_ENTRIES), np.array([end], "<u4").tobytes()
         fs, root = file_system(folder)
         task, seq = TaskContext.get(), 0
         held, doc_ids, lengths = [], [], []
