@@ -7,9 +7,11 @@ under a language is the mean over its letters and word ends; the lowest wins. Th
 whose temperature is fitted to training texts, and a text is marked as rejected when its cross-entropy is further from what its
 language's training texts have than those texts would nearly ever be.
 
-Counting covers every training text: partitions count words, turn them into 4-grams and Spark adds up. What reaches
-the driver is the table of distinct 4-grams, at most max_ngrams rows: beyond that, the rarest counts are left out,
-the same for every language. Temperature and rejection are fitted on at most calibration_rows texts (of the smallest hash of doc_id).
+Counting covers every training text: partitions count words, turn them into 4-grams and Spark adds up. All distinct 4-grams
+stay in the models. The driver fetches and builds the models of a few languages at a time, a block of at most max_ngrams
+4-grams or one language with more. Where there are several blocks, each is broadcast on its own and a worker holds one at a time,
+so the block size changes memory and time and no prediction. A single language's model has to fit into memory.
+Temperature and rejection are fitted on at most calibration_rows texts (of the smallest hash of doc_id).
 
 Defined results: a null text and one without letters is "und" with score 0; so is every text where nothing was learned. Rows
 with a null doc_id or lang teach nothing but are classified. Ties go to the first language by name. Empty tables give empty
@@ -24,6 +26,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +39,8 @@ PAD = " " * (ORDER - 1)
 MAX_NGRAMS = 4_000_000
 CALIBRATION_ROWS = 4_000
 FLUSH_WORDS = 200_000
+#: Words of the texts that are scored together where models come in several blocks.
+GROUP_WORDS = 2_000_000
 UNKNOWN = "und"
 SPACE = np.uint64(32)
 UNIT = np.uint64(16)
@@ -129,11 +135,12 @@ def _looked_up(sorted_keys: np.ndarray, values: np.ndarray, keys: np.ndarray, mi
 
 
 class Identifier:
-    """The models of all languages, a temperature, and for each language the highest cross-entropy it accepts."""
+    """The models of all languages, a temperature, and for each language the highest cross-entropy it accepts.
 
-    def __init__(self, models: dict[str, KneserNey]):
-        self.langs = sorted(models)
-        self.models = [models[k] for k in self.langs]
+    blocks hold the models, in the order of the languages' names: one in memory, or several broadcasts that are opened in turn."""
+
+    def __init__(self, langs: list[str], blocks: list[dict[str, KneserNey] | Broadcast]):
+        self.langs, self.blocks = langs, blocks
         self.temperature = 0.1
         self.limits = np.full(len(self.langs), np.inf)
         self._reset()
@@ -150,9 +157,16 @@ class Identifier:
         self.__dict__.update(state)
         self._reset()
 
-    def learn_words(self, words: set[str]) -> None:
+    def _models(self) -> Iterator[KneserNey]:
+        for block in self.blocks:
+            held = block.value if isinstance(block, Broadcast) else block
+            yield from (held[k] for k in sorted(held))
+            if isinstance(block, Broadcast):
+                # The value is read from the local copy again when it is next asked for.
+                del held, block._value
+
+    def learn_words(self, new: list[str]) -> None:
         """Scores of words not met yet; remembered for the process."""
-        new = [w for w in words if w not in self.rows]
         if not new:
             return
         cleaned, first = lettered(new), len(self.rows)
@@ -165,7 +179,7 @@ class Identifier:
         if len(real):
             keys, owner = units([cleaned[k] for k in real])
             kinds, at = np.unique(keys, return_inverse=True)
-            for k, model in enumerate(self.models):
+            for k, model in enumerate(self._models()):
                 self.sums[first + real, k] = np.bincount(owner, weights=model.log2(kinds)[at], minlength=len(real))
             self.sizes[first + real] = np.bincount(owner, minlength=len(real))
         self.rows.update(zip(new, range(first, first + len(new)), strict=True))
@@ -175,9 +189,8 @@ class Identifier:
         out = np.full((len(texts), len(self.langs)), np.nan)
         if len(self.rows) > 500_000:
             self._reset()
-        for i in range(0, len(texts), 64):
-            split = [words_of((t or "").lower()) for t in texts[i : i + 64]]
-            self.learn_words(set().union(*split))
+        for i, split in self._groups(texts):
+            self.learn_words([w for w in set().union(*split) if w not in self.rows])
             for k, words in enumerate(split):
                 if words:
                     at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
@@ -186,6 +199,24 @@ class Identifier:
                         out[i + k] = -self.sums[at].sum(axis=0) / letters
         return out
 
+    def _groups(self, texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
+        """Places of first texts and the words of each text from there: 64 texts, or with several blocks as many as have about GROUP_WORDS."""
+        first, split, held = 0, [], 0
+        same: dict[str, str] = {}
+        for i in range(0, len(texts), 64):
+            more = [words_of((t or "").lower()) for t in texts[i : i + 64]]
+            if len(self.blocks) > 1:
+                more = [[same.setdefault(w, w) for w in words] for words in more]
+            split, held = split + more, held + sum(map(len, more))
+            if len(self.blocks) <= 1 or held >= GROUP_WORDS:
+                yield first, split
+                first, split, held = i + 64, [], 0
+                same.clear()
+                if len(self.blocks) > 1 and len(self.rows) > 500_000:
+                    self._reset()
+        if split:
+            yield first, split
+
     def shares(self, entropies: np.ndarray) -> np.ndarray:
         low = np.exp(-(entropies - entropies.min(axis=1, keepdims=True)) / self.temperature)
         return low / low.sum(axis=1, keepdims=True)
@@ -221,23 +252,31 @@ class Identifier:
         ]
 
 
+def _models_of(counts: DataFrame, langs: list[str], sizes: dict[str, int], max_ngrams: int) -> dict[str, KneserNey]:
+    """Models of some languages from all their counts; a language of more than max_ngrams rows is fetched in slices of about as many."""
+    counts = counts.where(F.col("lang").isin(langs))
+    slices = -(-sum(sizes[x] for x in langs) // max_ngrams)
+    parts = [counts.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == k).toArrow() for k in range(slices)] if slices > 1 else [counts.toArrow()]
+    rows = pa.concat_tables(parts)
+    grams, n = rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    own = {lang: pc.equal(rows.column("lang"), lang).to_numpy() for lang in langs}
+    return {lang: KneserNey(grams[own[lang]], n[own[lang]]) for lang in langs}
+
+
 def fit(docs: DataFrame, max_ngrams: int = MAX_NGRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
     """docs (doc_id, lang, text), lang not null -> models of every language in it."""
     counts = ngram_counts(docs).persist()
-    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
-    total = counts.count()
-    if total > max_ngrams:
-        # The least count that leaves few enough rows; a histogram of counts decides, not a sample.
-        kept, least = 0, 1
-        for row in sizes.orderBy(F.desc("n")).toLocalIterator():
-            if kept + row["rows"] > max_ngrams:
-                break
-            kept, least = kept + row["rows"], row["n"]
-        counts = counts.where(F.col("n") >= least)
-    rows = counts.toArrow()
-    langs, grams, n = rows.column("lang").to_numpy(), rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    sizes = {r["lang"]: r["rows"] for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}  # a row for each language
+    groups: list[list[str]] = []
+    for lang in sorted(sizes):
+        if groups and sum(sizes[x] for x in groups[-1]) + sizes[lang] <= max_ngrams:
+            groups[-1].append(lang)
+        else:
+            groups.append([lang])
+    share = docs.sparkSession.sparkContext.broadcast if len(groups) > 1 else dict
+    blocks = [share(_models_of(counts, group, sizes, max_ngrams)) for group in groups]
     counts.unpersist()
-    found = Identifier({lang: KneserNey(grams[langs == lang], n[langs == lang]) for lang in sorted(set(langs))})
+    found = Identifier(sorted(sizes), blocks)
     sample = bounded_sample(docs, "doc_id", calibration_rows).select("lang", "text").toArrow().to_pylist()
     sample = [r for r in sample if r["lang"] in found.langs]
     found.calibrate([r["text"] for r in sample], [r["lang"] for r in sample])
@@ -246,12 +285,14 @@ def fit(docs: DataFrame, max_ngrams: int = MAX_NGRAMS, calibration_rows: int = C
 
 def with_language(spark: SparkSession, docs: DataFrame, identifier: Identifier, into: str = "__language") -> DataFrame:
     """docs with a struct of language, score, cross-entropy and rejection for each whole text."""
-    shared = spark.sparkContext.broadcast(identifier)
+    # Broadcasts don't nest: an identifier of several blocks is small and goes with the function.
+    shared = spark.sparkContext.broadcast(identifier) if len(identifier.blocks) <= 1 else None
+    own = identifier if shared is None else None
 
     def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
         for texts in batches:
-            rows = shared.value.classify(texts.to_pylist())
+            rows = (shared.value if shared is not None else own).classify(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=RESULT.names)
 
     return docs.withColumn(into, F.arrow_udf(classify, RESULT)("text"))

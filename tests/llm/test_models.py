@@ -70,6 +70,17 @@ def test_language_prunes_rarest(spark):
     assert small.langs and small.classify(["aaa"])[0][0] == "en"
 
 
+def test_language_block_size_changes_nothing(spark):
+    docs = spark.createDataFrame([(1, "en", "the cat the dog the hat that then"), (2, "de", "der die das und der"), (3, "fr", "une"), (4, "fr", None)], "doc_id long, lang string, text string")
+    asked = docs.unionByName(spark.createDataFrame([(5, None, "une der the"), (6, None, "zzz"), (7, None, "12"), (8, None, None)], docs.schema)).repartition(3)
+    read = lambda n: {r.doc_id: tuple(r["__language"]) for r in language.with_language(spark, asked, language.fit(docs, max_ngrams=n)).collect()}
+    whole = language.fit(docs)
+    small = language.fit(docs, max_ngrams=4)
+    assert len(whole.blocks) == 1 and len(small.blocks) == 3 and small.langs == whole.langs == ["de", "en", "fr"]
+    assert read(4) == read(20) == read(language.MAX_NGRAMS)
+    assert {k: v[0] for k, v in read(4).items()} == {k: v[0] for k, v in read(language.MAX_NGRAMS).items()} and read(4)[3][0] == "fr"
+
+
 def test_context_sums_against_naive():
     rng = np.random.default_rng(0)
     docs = [rng.integers(0, 50, n) for n in (0, 1, 2, 7, 30)]
