@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, knn
+from lodestone.operators import graph, knn, lsh
 from lodestone.plans.vectors import K, SQL_TOPK
 from lodestone.registry import query
 from lodestone.sources.tables import SQL_VECTORS, base_vectors, load, query_vectors, sql_l2, written
@@ -143,18 +143,5 @@ def sanity_query(spark, sf_dir):
 
 @query("lsh_knn")
 def lsh_knn(spark, sf_dir):
-    """Extension: random-projection buckets joined on their keys, then exact distances of the candidates."""
-    import numpy as np
-
-    planes = np.random.default_rng(7).normal(size=(6, 8, 64))
-    def keys(vector):
-        def key(table):
-            bits = [F.when(F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(w)) for w in plane]), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, b: a + b) > 0, "1").otherwise("0") for plane in planes[table]]
-            return F.concat(F.lit(f"{table}:"), *bits)
-
-        return F.array(*[key(t) for t in range(len(planes))])
-
-    base = base_vectors(spark, sf_dir).select("vec_id", "embedding", F.explode(keys(F.col("embedding"))).alias("key"))
-    asked = query_vectors(spark, sf_dir).select("qid", "qvec", F.explode(keys(F.col("qvec"))).alias("key"))
-    near = asked.join(base, "key").select("qid", "vec_id", F.round(graph.l2sq("embedding", "qvec"), 6).alias("d2")).distinct()
-    return knn.ranked(near, K).select("qid", "rank", "vec_id", "d2")
+    """Extension: random-projection buckets, exact distances of the rows that share one; queries left short are searched exactly."""
+    return lsh.topk(spark, base_vectors(spark, sf_dir), query_vectors(spark, sf_dir), K).select("qid", "rank", "vec_id", "d2")

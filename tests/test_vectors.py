@@ -209,3 +209,16 @@ def test_datasets_and_results(spark, tables, tmp_path):
     except ImportError:
         with pytest.raises(ImportError, match="h5py"):
             read_hdf5(spark, "x.h5", "train", 10)
+
+
+def test_bucket_search(spark):
+    from lodestone.operators import lsh
+    from lodestone.plans import graphs, vectors
+
+    sf = "/root/testdata/sf0.01"
+    assert recall(lists(graphs.lsh_knn(spark, sf)), lists(vectors.knn_exact_topk(spark, sf))) >= 0.9
+    rows = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(-6, 7)], "vec_id long, embedding array<float>")
+    queries = rows.selectExpr("vec_id AS qid", "embedding AS qvec")
+    # Hardly a row shares a key of 8 bits: the rest comes from the exact pass.
+    found = lsh.topk(spark, rows, queries, 10, tables=1, bits=8).groupBy("qid").count().collect()
+    assert len(found) == 13 and {r["count"] for r in found} == {10}
