@@ -222,3 +222,10 @@ def test_bucket_search(spark):
     # Hardly a row shares a key of 8 bits: the rest comes from the exact pass.
     found = lsh.topk(spark, rows, queries, 10, tables=1, bits=8).groupBy("qid").count().collect()
     assert len(found) == 13 and {r["count"] for r in found} == {10}
+
+
+def test_registered_beam_search(spark):
+    from lodestone.plans import compression, vectors
+
+    sf = "/root/testdata/sf0.01"
+    assert recall(lists(compression.beam_search_topk(spark, sf)), lists(vectors.knn_exact_topk(spark, sf))) >= 0.9
