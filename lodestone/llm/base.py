@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -14,10 +15,15 @@ from pyspark.sql import functions as F
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xC2B2AE3D27D4EB4F)
 
-#: Entries a per-process word table may hold before it is emptied; it changes speed only.
-MEMO_ENTRIES = 250_000
+#: Bytes, as estimated, that a process's word table may hold before it is emptied, and the longest word it remembers; both change
+#: speed and memory only.
+MEMO_BYTES = 32 << 20
+LONGEST = 64
+#: What an entry takes besides the characters of its key: the objects and their share of the table.
+ENTRY_BYTES = 200
 
 _own_dir: list[str] = []
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and one machine does all
+    the work (tests). On a cluster an unset one is an error: each machine would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="lodestone-"))
     return _own_dir[0]
@@ -42,7 +52,20 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes every table and folder that this process has written to the shared folder, and returns how many. Results that
+    are read lazily from them can't be read any more, so it is called once they are written elsewhere."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -79,17 +102,39 @@ def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     return df.where(place < bound).orderBy(place, key).limit(limit)
 
 
-class WordHash(dict):
-    """bytes -> unsigned 64-bit hash, remembered."""
+class Memo(dict):
+    """key -> make(key), remembered within a number of bytes; long keys are made anew each time."""
+
+    known: list[Memo] = []
+
+    def __init__(self, make: Callable, most_bytes: int = MEMO_BYTES):
+        super().__init__()
+        self.make, self.most, self.held = make, most_bytes, 0
+        Memo.known.append(self)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            self.held += ENTRY_BYTES + len(key)
+            if self.held > self.most:
+                self.empty()
+            self[key] = value
         return value
 
+    def empty(self) -> None:
+        self.clear()
+        self.held = 0
+
+
+def claim(*own: Memo) -> None:
+    """Empties the tables of all other operators. A Python worker is used again from stage to stage, and what one stage
+    remembers is of no use to the next."""
+    for memo in Memo.known:
+        if memo and not any(memo is o for o in own):
+            memo.empty()
+
 
-word_hash = WordHash()
+word_hash = Memo(xxhash.xxh64_intdigest)
 
 
 def hashed_words(text: str | None) -> np.ndarray:

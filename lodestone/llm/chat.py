@@ -11,7 +11,8 @@ restores it. The loss mask is a list of spans (start, length) in code points, on
 
 Defined results: null texts and roles count as empty; turns sort by turn, then role, then text, nulls first, so repeated rows
 stay; rows of a null conv_id are one conversation. An empty table gives the added conversation alone. A conversation is the
-unit of output, a row, and so has to fit into one task.
+unit of output, a row, and so has to fit into one task. Columns besides conv_id, turn, role and text are not read, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -1,15 +1,18 @@
 """Benchmark decontamination by greedy string tiling (operator 4).
 
-Benchmark items are tokenized and their 5-token grams go into a sorted index, one block of items of bounded size at a time;
-each block is broadcast and one pass over the documents serves it, so no number of items outgrows memory. Grams that a
+Benchmark items are tokenized and their 5-token grams go into sorted indexes, each of a block of items of bounded size. All blocks
+are broadcast, but a worker opens one at a time and holds it against a batch of documents, so memory is that of a block, and
+one pass over the texts serves all. Grams that a
 document shares with an item are seeds. Where the seeds of an item could cover enough of it, greedy string tiling runs on
 the seeded parts of the document: running Karp-Rabin finds the longest matches of unmarked tokens, they are marked as
 tiles, and the search length falls, so passages whose sentences were reordered are still covered. An item leaks into a document
-when its tiles cover at least min_coverage of its tokens.
+when its tiles cover at least min_coverage of its tokens, or when one tile alone has LONG_TILE tokens: so long a verbatim part of a
+long item is no accident.
 
 Tokens are runs of letters, digits and underscores, lower-cased. Defined results: null and empty texts match nothing; items of
 fewer than 5 tokens cannot be told from chance and match nothing; equal items are each reported; repeated documents
-are each reported. Rows with a null doc_id are judged in the filter like all others. Empty tables give empty results.
+are each reported; a null doc_id is reported as null and judged in the filter like all others. The query reads doc_id and text
+alone; the filter keeps all columns whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,26 +20,24 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestone.llm.base import MIX_A, columns_of, free_name, mixed, rolled, spread, table
+from lodestone.llm.base import MIX_A, claim, columns_of, free_name, mixed, rolled, spread, table
 
 LEAST = 5
 MIN_COVERAGE = 0.6
+LONG_TILE = 30
 #: Grams of the items in one broadcast block: about 40 MB with their tokens.
 BLOCK_GRAMS = 500_000
-HITS = T.ArrayType(
-    T.StructType(
-        [T.StructField("item_id", T.LongType()), T.StructField("item_tokens", T.LongType()), T.StructField("covered", T.LongType()), T.StructField("tiles", T.LongType())]
-    )
-)
+#: Characters of text that are held against a block together.
+BATCH_CHARS = 4 << 20
+HITS = ("item_id", "item_tokens", "covered", "tiles")
 words_of = re.compile(r"\w+").findall
 
 
@@ -63,8 +64,8 @@ class Index:
         self.grams, self.starts = np.unique(flat[order], return_index=True)
         self.ends = np.append(self.starts[1:], len(flat))
 
-    def hits(self, text: str | None, min_coverage: float) -> list[tuple[int, int, int, int]]:
-        words = words_of((text or "").lower())
+    def hits(self, words: list[str], min_coverage: float, long_tile: int = LONG_TILE) -> list[tuple[int, int, int, int]]:
+        """(item, its tokens, tokens covered, tiles) for the items that leak into a document of these words."""
         if len(words) < self.least or not len(self.grams):
             return []
         tokens = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
@@ -95,11 +96,11 @@ class Index:
             bound = np.zeros(len(pattern), bool)
             for p in covers[item]:
                 bound[p : p + self.least] = True
-            if bound.sum() < min_coverage * len(pattern):
+            if bound.sum() < min(min_coverage * len(pattern), long_tile):
                 continue
             tiles = greedy_tiles(seeded(tokens, seeds[item], self.least), pattern, self.least)
             covered = sum(n for _, _, n in tiles)
-            if covered >= min_coverage * len(pattern):
+            if covered >= min_coverage * len(pattern) or max((n for _, _, n in tiles), default=0) >= long_tile:
                 out.append((self.ids[item], len(pattern), covered, len(tiles)))
         return out
 
@@ -180,33 +181,69 @@ def blocks(items: DataFrame, grams: int = BLOCK_GRAMS) -> Iterator[list[tuple[in
         yield block
 
 
-def _hits_column(spark: SparkSession, index: Index, min_coverage: float) -> Column:
-    shared = spark.sparkContext.broadcast(index)
+def indexes(spark: SparkSession, items: DataFrame, grams: int = BLOCK_GRAMS) -> list[Broadcast]:
+    return [spark.sparkContext.broadcast(Index(block)) for block in blocks(items, grams)]
 
-    def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = HITS.elementType.names
-        kind = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
-        for texts in batches:
-            yield pa.array([[dict(zip(names, h, strict=True)) for h in shared.value.hits(t, min_coverage)] for t in texts.to_pylist()], kind)
 
-    return F.arrow_udf(hits, HITS)("text")
+def found_in(texts: list[str | None], shared: list[Broadcast], min_coverage: float) -> list[list[tuple[int, int, int, int]]]:
+    """The items that leak into each text. With several blocks, each is opened in turn and let go before the next."""
+    words, out = [words_of((t or "").lower()) for t in texts], [[] for _ in texts]
+    for block in shared:
+        index = block.value
+        for own, hits in zip(words, out, strict=True):
+            hits += index.hits(own, min_coverage)
+        if len(shared) > 1:
+            # The value is read from the local copy again when it is next asked for.
+            del index, block._value
+    return out
 
 
-def with_hits(spark: SparkSession, docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, into: str = "__hits") -> DataFrame:
-    """docs with an array of the items that leak into each whole text."""
-    columns = [_hits_column(spark, Index(block), min_coverage) for block in blocks(items)]
-    return docs.withColumn(into, reduce(F.concat, columns) if columns else F.array().cast(HITS))
+def slices(column: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch, at most about BATCH_CHARS characters at a time."""
+    held, size = [], 0
+    for text in column:
+        held.append(text.as_py())
+        size += len(held[-1] or "")
+        if size >= BATCH_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, grams: int = BLOCK_GRAMS) -> DataFrame:
+    """docs (doc_id, text), items (item_id, text) -> doc_id, item_id, item_tokens, covered, tiles: a row for each leak."""
+    shared = indexes(spark, items, grams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
+        for batch in batches:
+            found = [h for texts in slices(batch.column(1)) for h in found_in(texts, shared, min_coverage)]
+            rows = [(d, *h) for d, hits in zip(batch.column(0).to_pylist(), found, strict=True) for h in hits]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["doc_id", *HITS])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in HITS))
+
+
+def with_leaked(spark: SparkSession, docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, into: str = "__leaked", grams: int = BLOCK_GRAMS) -> DataFrame:
+    """docs with the number of items that leak into each whole text."""
+    shared = indexes(spark, items, grams)
+
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim()
+        for column in batches:
+            yield pa.array([len(hits) for texts in slices(column) for hits in found_in(texts, shared, min_coverage)], pa.int64())
+
+    return docs.withColumn(into, F.arrow_udf(count, "long")("text"))
 
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and item that leaks into it."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    hit = F.explode("__hits")
-    found = with_hits(spark, docs, table(spark, sf_dir, "benchmark")).select("doc_id", hit.alias("h"))
-    return found.select("doc_id", "h.item_id", "h.item_tokens", "h.covered", "h.tiles", F.round(F.col("h.covered") / F.col("h.item_tokens"), 6).alias("coverage"))
+    return leaks(spark, docs, table(spark, sf_dir, "benchmark")).withColumn("coverage", F.round(F.col("covered") / F.col("item_tokens"), 6))
 
 
-def filter_stage(spark: SparkSession, docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def filter_stage(spark: SparkSession, docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, grams: int = BLOCK_GRAMS) -> DataFrame:
     """docs into which no item leaks, columns unchanged."""
-    hits = free_name(docs, "__hits")
-    return with_hits(spark, docs, items, min_coverage, hits).where(F.size(hits) == 0).select(*columns_of(docs))
+    leaked = free_name(docs, "__leaked")
+    return with_leaked(spark, docs, items, min_coverage, leaked, grams).where(F.col(leaked) == 0).select(*columns_of(docs))

@@ -13,7 +13,7 @@ import functools
 import json
 import re
 
-from lodestone.llm.base import MEMO_ENTRIES
+from lodestone.llm.base import Memo, claim
 
 #: The pre-tokenization pattern of the vocabulary file, its letter and number classes written out for Latin-1 after
 #: lower-casing and composition (fixed values).
@@ -30,53 +30,61 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
-class _Pieces(dict):
-    def __init__(self, model, entries: int):
-        super().__init__()
-        self.model, self.letters, self.entries = model, byte_letters(), entries
+class _Words(Memo):
+    """A run of text without white space -> its ids, little-endian. A piece of a run is itself a run of one piece, so runs and
+    pieces share the table."""
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > self.entries:
-            self.clear()
-        mapped = "".join([self.letters[b] for b in piece.encode()])
-        ids = self[piece] = array.array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        return ids
-
-
-class _Words(dict):
-    def __init__(self, path: str, entries: int):
-        super().__init__()
-        self.entries = entries
+    def __init__(self, path: str, most_bytes: int):
         from tokenizers import Tokenizer
 
+        super().__init__(self._ids, most_bytes)
         self.tokenizer = Tokenizer.from_file(path)
         config = json.loads(self.tokenizer.to_str())
         split = [p.get("pattern", {}).get("Regex") for p in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
         if PATTERN not in split:
             raise ValueError(f"{path}: only vocabularies with the pattern {PATTERN} are supported")
-        self.marks = {t["content"][:2] for t in config["added_tokens"]}
-        self.pieces = _Pieces(self.tokenizer.model, entries)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > self.entries:
-            self.clear()
-        if PLAIN(word) and not any(m in word for m in self.marks):
-            ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower())))
-        else:
-            ids = array.array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
-        return ids
+        self.marks = tuple({t["content"][:2] for t in config["added_tokens"]})
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array.array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+
+    def _ids(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._piece(word.lower())
+        if PLAIN(word) and not self.marked(word):
+            pieces = PIECES.findall(word.lower())
+            return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.__getitem__, pieces))
+        return array.array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def marked(self, text: str) -> bool:
+        """Whether the text may hold the string of a special token."""
+        for mark in self.marks:
+            if mark in text:
+                return True
+        return False
 
 
 SPACES = re.compile(r"[ \t\n\v\f\r]+")
+#: Bytes of the table of words: every other word of a text is a rare one, and each costs some microseconds.
+WORD_BYTES = 64 << 20
 #: Separators to str.split() that are no white space to the tokenizer.
 NO_SPACES = "\x1c\x1d\x1e\x1f"
 
 
 @functools.cache
-def words(path: str, entries: int = MEMO_ENTRIES) -> _Words:
-    """The tables of a vocabulary file; entries bounds either of the two, and changes speed and memory only."""
-    return _Words(path, entries)
+def _words(path: str, most_bytes: int) -> _Words:
+    return _Words(path, most_bytes)
+
+
+def words(path: str, most_bytes: int = WORD_BYTES) -> _Words:
+    """The table of a vocabulary file; most_bytes bounds it, and changes speed and memory only. Called once
+    a task: the tables of other operators are emptied."""
+    found = _words(path, most_bytes)
+    claim(found)
+    return found
 
 
 def default_vocabulary() -> str:
@@ -99,7 +107,7 @@ def encode(text: str | None, known: _Words) -> bytes:
     Latin-1 texts are lower-cased first, so that words are remembered once; where letters beyond Latin-1 or strings of
     special tokens are about, the tokenizer itself lower-cases each word."""
     text = text or ""
-    if _latin(text) and not any(m in text for m in known.marks):
+    if _latin(text) and not known.marked(text):
         text = text.lower()
     split = SPACES.split(text) if any(c in text for c in NO_SPACES) else text.split()
     return b"".join(map(known.__getitem__, split))

@@ -14,8 +14,8 @@ so the block size changes memory and time and no prediction. A single language's
 Temperature and rejection are fitted on at most calibration_rows texts (of the smallest hash of doc_id).
 
 Defined results: a null text and one without letters is "und" with score 0; so is every text where nothing was learned. Rows
-with a null doc_id or lang teach nothing but are classified. Ties go to the first language by name. Empty tables give empty
-results.
+with a null doc_id or lang teach nothing but are classified. Ties go to the first language by name. The query reads doc_id, text
+and lang alone; with_language adds one column and keeps the others, one of the same name excepted. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.base import bounded_sample, spread, table
+from lodestone.llm.base import bounded_sample, claim, spread, table
 
 ORDER = 4
 PAD = " " * (ORDER - 1)
@@ -41,6 +41,8 @@ CALIBRATION_ROWS = 4_000
 FLUSH_WORDS = 200_000
 #: Words of the texts that are scored together where models come in several blocks.
 GROUP_WORDS = 2_000_000
+#: Bytes that the remembered scores of words may take, the words themselves at about 200 each included.
+ROW_BYTES = 64 << 20
 UNKNOWN = "und"
 SPACE = np.uint64(32)
 UNIT = np.uint64(16)
@@ -150,6 +152,9 @@ class Identifier:
         self.sums = np.zeros((1024, len(self.langs)))
         self.sizes = np.zeros(1024)
 
+    def _full(self) -> bool:
+        return len(self.rows) * (200 + 8 * len(self.langs)) > ROW_BYTES
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("rows", "sums", "sizes")}
 
@@ -187,7 +192,7 @@ class Identifier:
     def entropies(self, texts: list[str | None]) -> np.ndarray:
         """Cross-entropy in bits a unit, a row for each text and a column for each language; NaN without letters."""
         out = np.full((len(texts), len(self.langs)), np.nan)
-        if len(self.rows) > 500_000:
+        if self._full():
             self._reset()
         for i, split in self._groups(texts):
             self.learn_words([w for w in set().union(*split) if w not in self.rows])
@@ -212,7 +217,7 @@ class Identifier:
                 yield first, split
                 first, split, held = i + 64, [], 0
                 same.clear()
-                if len(self.blocks) > 1 and len(self.rows) > 500_000:
+                if len(self.blocks) > 1 and self._full():
                     self._reset()
         if split:
             yield first, split
@@ -290,6 +295,7 @@ def with_language(spark: SparkSession, docs: DataFrame, identifier: Identifier,
     own = identifier if shared is None else None
 
     def classify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim()
         kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
         for texts in batches:
             rows = (shared.value if shared is not None else own).classify(texts.to_pylist())

@@ -6,16 +6,22 @@
 3. Documents that share a band key are candidates. Each bucket pairs its members with its smallest id, never all with all.
    Matching nibbles of two signatures, corrected for chance collisions (1 in 16), estimate the similarity; pairs more than
    six standard errors below the threshold go. The rest are confirmed on their full sets, computed again from the texts.
-4. Confirmed links are joined to components. Buckets that still hold several components compare their members' signatures
-   in blocks of bounded size (a large bucket becomes many block pairs) and report members with a possible link to another
-   component, tied into clusters. Each cluster then confirms such links on full sets, again in block pairs, and reports only
-   links that join something. No step writes more rows than it has members.
+4. Confirmed links are joined to components. In buckets that still hold several, members outside the largest component meet all
+   others, by signature and in blocks of bounded size; those of the largest never meet each other. Members with a possible
+   link to another component are reported, tied into clusters. Each cluster then confirms such links on full sets, in
+   blocks again, and reports only links that join something.
+
+What step 4 sends: with B members to a block, a member of the largest component goes to one task for every B members outside
+it, and one of these to a task for every B members of the bucket. A million near copies and one straggler are a million rows
+and a thousand. Where no component dominates, work is the product of what has to be compared. Texts are shuffled once; their sets
+are what is sent. A hot bucket or a text with many partners is dealt over salts before it is joined.
 
 A pair at the threshold of 0.85 shares no band with probability (1 - 0.85^4)^32 < 1e-10; nothing else loses links: no
 cap holds on buckets, partners or candidates.
 
 Defined results: a null or empty text, or one of white space, has no shingles, is its own component and is kept. A null
-doc_id is linked with nothing and kept, with a null component. Equal doc_ids are one document. Empty tables give empty results.
+doc_id is linked with nothing and kept, with a null component. Equal doc_ids are one document. The query reads doc_id and text
+alone; the stage keeps all columns whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,15 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import MIX_A, MIX_B, columns_of, materialize, mixed, shingles, spread, table
+from lodestone.llm.base import MIX_A, MIX_B, claim, columns_of, materialize, mixed, shingles, spread, table, word_hash
 from lodestone.llm.components import components
 
 WIDTH, HASHES, BANDS, BITS = 5, 128, 32, 4
 ROWS = HASHES // BANDS
-BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 512  # members of a block, by signature and by text
+BLOCK = 1024  # members of a block, by signature
+SET_SHARE = 512  # shingles of a set that weigh as much as one more member, where sets are sent
+SALTS, HOT = 64, 1000  # parts of a hot key, and the pairs of one text from which it is hot
 SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
 
 
@@ -87,6 +95,7 @@ def estimate_floor(threshold: float) -> float:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     family = hash_family()
+    claim(word_hash)
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         n, a, b, bands, signatures = [], [], [], [], []
@@ -120,9 +129,10 @@ def _candidates(floor: float):
 
 
 def _confirm(percent: int):
-    """Pairs (a, b) with both texts, sorted by a: keeps those with 100 |A and B| >= percent |A or B|."""
+    """Pairs (a, b) with both texts, those of one a mostly side by side: keeps those with 100 |A and B| >= percent |A or B|."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(word_hash)
         last, left = None, None
         for batch in batches:
             ids, texts_a, texts_b, keep = batch.column(0).to_pylist(), batch.column(2), batch.column(3), []
@@ -138,11 +148,20 @@ def _confirm(percent: int):
     return run
 
 
+def salt_of(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
 def confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that hold on their full sets. Rows are linear in the pairs; a text is parsed once for each run of its a."""
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
+    """Pairs (a, b) that hold on their full sets. Rows are linear in the pairs; the pairs of an a that has many are dealt over salts,
+    and only its own text is repeated for them."""
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    salts = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > HOT, SALTS - 1).otherwise(0)))
+    hot = counts.where(F.col("n") > HOT).select("a", salts.alias("salt"), F.lit(True).alias("hot"))
+    dealt = pairs.withColumn("salt", salt_of("b")).join(hot, ["a", "salt"], "left").select("a", "b", F.when(F.col("hot"), F.col("salt")).otherwise(0).alias("salt"))
+    left = counts.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", salts.alias("salt"))
+    with_b = dealt.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    return with_b.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -211,15 +230,22 @@ def _active(floor: float):
     return run
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim(word_hash)
+    for batch in batches:
+        sets = [shingles(t, WIDTH) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "size", "set"])
+
+
 def _cluster_links(floor: float, percent: int):
-    """Block pairs of a cluster with their texts -> links (a, b) confirmed on full sets, as many as join what they join."""
+    """Block pairs of a cluster with their sets -> links (a, b) confirmed on full sets, as many as join what they join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups_of(batches):
             a, b = [], []
             for group in split_groups(rows):
                 ids, labels = group.column("id").to_numpy(), group.column("component").to_numpy().copy()
-                sets = [shingles(t, WIDTH) for t in group.column("text").to_pylist()]
+                sets = [np.frombuffer(raw, np.uint64) for raw in group.column("set").to_pylist()]
                 sizes = np.array([len(s) for s in sets])
                 for row, partners in near_rows(group, labels, floor):
                     partners = partners[100 * np.minimum(sizes[partners], sizes[row]) >= percent * np.maximum(sizes[partners], sizes[row])]
@@ -239,11 +265,23 @@ def _cluster_links(floor: float, percent: int):
     return run
 
 
-def in_block_pairs(members: DataFrame, block: int) -> DataFrame:
-    """members (key, n, id, ...) -> a row for each pair of blocks (i, j) of its key that a member belongs to."""
-    n_blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = members.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    return placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("n", "other")
+def in_block_pairs(members: DataFrame, block: int | None = None) -> DataFrame:
+    """members (key, id, component, weight) -> key, id, component, block, i, j: a row for each pair of blocks that a member has to be in.
+
+    Keys of one component are left out. The blocks of the largest component of a key come first; they are paired with the blocks
+    of the other members only, and these with each other too. A block weighs about as much as block says."""
+    block = block or BLOCK
+    sizes = members.groupBy("key", "component").agg(F.sum("weight").alias("weight"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("weight", "component")).alias("top"), F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks_of = lambda weight: F.ceil(weight / block).cast("int")
+    keys = keys.select("key", F.col("top.component").alias("largest"), blocks_of(F.col("top.weight")).alias("own"), blocks_of(F.col("total") - F.col("top.weight")).alias("others"))
+    keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = members.select("key", "id", "component").withColumn("salt", salt_of("id")).join(keys, ["key", "salt"])
+    inside = F.col("component") == F.col("largest")
+    place = F.xxhash64("id")
+    placed = placed.withColumn("block", F.when(inside, F.pmod(place, F.col("own"))).otherwise(F.col("own") + F.pmod(place, F.col("others"))).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("own")).otherwise(0), F.col("own") + F.col("others") - 1)))
+    return placed.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
 def sorted_groups(rows: DataFrame) -> DataFrame:
@@ -267,20 +305,20 @@ def links(spark: SparkSession, reps: DataFrame, texts: DataFrame, percent: int =
     comps = components(spark, edges)
 
     # In a bucket of two the only pair has been tried.
-    labelled = members.where("n > 2").join(comps, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_rows = in_block_pairs(labelled.join(mixed_keys, "key", "left_semi"), BUCKET_BLOCK).join(signatures, "id")
+    labelled = members.where("n > 2").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.lit(1).alias("weight"))
+    open_rows = in_block_pairs(materialize(spark, labelled, "labelled")).join(signatures, "id")
     active = sorted_groups(open_rows).select("key", "i", "j", "block", "id", "component", "signature").mapInArrow(_active(floor), "id long, component long, root long")
     active = materialize(spark, active.distinct(), "active")
     if active.isEmpty():
         return comps
     ties = active.where("component <> root").select(F.col("root").alias("a"), F.col("component").alias("b"))
     clusters = components(spark, ties).withColumnRenamed("id", "member")
-    clustered = active.select("id", "component").distinct().join(clusters, F.col("member") == active["component"], "left").select("id", active["component"].alias("own"), F.coalesce(clusters["component"], active["component"]).alias("key"))
-    clustered = materialize(spark, clustered.withColumnRenamed("own", "component"), "clusters")
-    sizes = clustered.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    pairs = in_block_pairs(clustered.join(sizes, "key"), CLUSTER_BLOCK).join(signatures, "id").join(texts.withColumnRenamed("doc_id", "id"), "id")
-    new = sorted_groups(pairs).select("key", "i", "j", "block", "id", "component", "signature", "text").mapInArrow(_cluster_links(floor, percent), "a long, b long")
+    own = active.select("id", F.col("component").alias("own")).distinct()
+    sets = materialize(spark, texts.join(own.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, size long, set binary"), "sets")
+    clustered = own.join(clusters, F.col("member") == F.col("own"), "left").join(sets.select("id", "size"), "id")
+    clustered = clustered.select(F.coalesce("component", "own").alias("key"), "id", F.col("own").alias("component"), (1 + F.col("size") / SET_SHARE).alias("weight"))
+    pairs = in_block_pairs(materialize(spark, clustered, "clusters")).join(signatures, "id").join(sets.select("id", "set"), "id")
+    new = sorted_groups(pairs).select("key", "i", "j", "block", "id", "component", "signature", "set").mapInArrow(_cluster_links(floor, percent), "a long, b long")
     return components(spark, edges.union(materialize(spark, new, "links")))
 
 

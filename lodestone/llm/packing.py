@@ -4,12 +4,15 @@ A document of more than one window fills windows of its own; what remains of it,
 lengths of the remainders decide, and there are fewer of them than the window has tokens, so packing works on a histogram:
 the longest remaining length opens a window, a subset-sum over bitsets (one bit for each reachable fill, one stage for each
 power-of-two share of a length's count) finds the multiset of remaining lengths that comes closest to the capacity, and the
-stages are walked back for the counts. The pattern is used as often as the counts allow. The plan is a table of
-patterns whose size depends on the window and not on the documents; documents find their places by arithmetic on their rank
-among the remainders of their length, which each partition counts for itself and a sum over partitions offsets.
+stages are walked back for the counts. The pattern is used as often as the counts allow.
+
+Every task packs what it has read by itself, at most GROUP_TOKENS tokens at a time, but only into windows that become full to the
+last token. The pieces that fill none are handed on, and tasks of up to GROUP_TOKENS tokens of them pack those with what slack it takes.
+So there is no histogram of the whole table, and a small table's remainders all meet in one task. Windows are numbered within their
+task; a table of a row for each task has the windows before it, and is the only thing that is broadcast.
 
 Defined results: a null or empty text is its end token alone; every id lies in exactly one piece; rows with equal or null
-doc_id are packed each by itself. An empty table gives no pieces.
+doc_id are packed each by itself. Columns besides doc_id and text are not read, whatever their names. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -28,7 +31,12 @@ from lodestone.llm.encoding import default_vocabulary, encode, words
 
 CAPACITY = 2048
 END = 1
-PIECES = "doc_id long, start long, length int, doc_tokens long, part int, rank long, ids binary"
+#: Tokens that a task holds and packs together.
+GROUP_TOKENS = 16_000_000
+#: Rows of an Arrow batch that a task hands out.
+BATCH = 2_000
+#: window and offset are null where a piece is handed on.
+PLACED = "doc_id long, start long, length long, doc_tokens long, ids binary, level int, part int, window long, offset long"
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -59,11 +67,16 @@ def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     return dict(used)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """Rows (length, first rank, end rank, first window, times in a window, offset in the window) for a histogram of lengths."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, only_full: bool = False) -> tuple[np.ndarray, int]:
+    """Rows (length, first rank, end rank, first window, times in a window, offset in the window) for a histogram of lengths, and the
+    number of windows. With only_full, a length that can't open a window to be filled to the last token is passed over; what
+    is left only gets less, so it never could later."""
     left, taken, window, rows = {k: n for k, n in counts.items() if n}, Counter(), 0, []
     while left:
         used = fill(left, capacity)
+        if only_full and sum(length * times for length, times in used.items()) < capacity:
+            del left[max(left)]
+            continue
         windows = min(left[length] // times for length, times in used.items())
         offset = 0
         for length in sorted(used, reverse=True):
@@ -75,75 +88,114 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
             if not left[length]:
                 del left[length]
         window += windows
-    return np.array(sorted(rows), np.int64).reshape(len(rows), 6)
-
-
-def _pieces(path: str, capacity: int, end: int):
+    return np.array(sorted(rows), np.int64).reshape(len(rows), 6), window
+
+
+def places(lengths: np.ndarray, capacity: int, only_full: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """Window (-1 where a piece gets none) and offset of each piece, and the number of windows. Pieces of one length are alike
+    and take their places in the order in which they come."""
+    window, offset = np.full(len(lengths), -1, np.int64), np.zeros(len(lengths), np.int64)
+    whole = lengths == capacity
+    window[whole], first = np.arange(whole.sum()), int(whole.sum())
+    short = np.flatnonzero(~whole)
+    kinds, counts = np.unique(lengths[short], return_counts=True)
+    rows, windows = plan(dict(zip(kinds.tolist(), counts.tolist(), strict=True)), capacity, only_full)
+    if len(rows):
+        order = short[np.argsort(lengths[short], kind="stable")]
+        own = lengths[order]
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+        # One sorted key for (length, rank): the plan's ranges of a length are gapless from 0.
+        row = rows[np.maximum(np.searchsorted(rows[:, 0] << 40 | rows[:, 1], own << 40 | rank, side="right") - 1, 0)]
+        found = (row[:, 0] == own) & (rank < row[:, 2])
+        inside = rank - row[:, 1]
+        window[order[found]] = (first + row[:, 3] + inside // row[:, 4])[found]
+        offset[order[found]] = (row[:, 5] + inside % row[:, 4] * own)[found]
+    return window, offset, first + windows
+
+
+class _Group:
+    """Pieces that a task holds until it packs them; windows are numbered on from group to group."""
+
+    def __init__(self, level: int, capacity: int, only_full: bool):
+        self.level, self.capacity, self.only_full = level, capacity, only_full
+        self.part, self.windows = TaskContext.get().partitionId(), 0
+        self.held: list[list] = [[] for _ in range(5)]
+        self.tokens = 0
+
+    def add(self, doc_id: int | None, start: int, length: int, total: int, ids: bytes) -> None:
+        for column, value in zip(self.held, (doc_id, start, length, total, ids), strict=True):
+            column.append(value)
+        self.tokens += length
+
+    def packed(self) -> Iterator[pa.RecordBatch]:
+        held, self.held, self.tokens = self.held, [[] for _ in range(5)], 0
+        if not held[0]:
+            return
+        window, offset, windows = places(np.array(held[2], np.int64), self.capacity, self.only_full)
+        none = window < 0
+        table = pa.table(
+            {
+                **{name: pa.array(column, kind) for name, column, kind in zip(("doc_id", "start", "length", "doc_tokens", "ids"), held, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)},
+                "level": pa.array(np.full(len(window), self.level, np.int32)),
+                "part": pa.array(np.full(len(window), self.part, np.int32)),
+                "window": pa.array(self.windows + window, mask=none),
+                "offset": pa.array(offset, mask=none),
+            }
+        )
+        self.windows += windows
+        yield from table.to_batches(BATCH)
+
+
+def _pieces(path: str, capacity: int, end: int, group_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, seen = words(path), TaskContext.get().partitionId(), Counter()
+        known, group = words(path), _Group(1, capacity, only_full=True)
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text, known) + last
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encode(text.as_py(), known) + last
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     length = min(capacity, total - start)
-                    out.append((doc_id, start, length, total, part, seen[length], ids[4 * start : 4 * (start + length)]))
-                    seen[length] += 1
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "part", "rank", "ids"])
+                    group.add(doc_id, start, length, total, ids[4 * start : 4 * (start + length)])
+                if group.tokens >= group_tokens:
+                    yield from group.packed()
+        yield from group.packed()
 
     return run
 
 
-def _placed(shared, full_first: int, capacity: int):
-    """Adds sequence_id and offset: whole windows follow the shared ones, in the order of their ranks."""
-
+def _rest(capacity: int, group_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = shared.value
-        # One sorted key for (length, rank): the plan's ranges of a length are gapless from 0.
-        keys = rows[:, 0].astype(object) * (1 << 48) + rows[:, 1] if len(rows) else np.empty(0, object)
-        keys = keys.astype(np.int64)
+        group = _Group(2, capacity, only_full=False)
         for batch in batches:
-            length = batch.column("length").to_numpy().astype(np.int64)
-            rank = batch.column("rank").to_numpy()
-            sequence, offset = full_first + rank, np.zeros_like(rank)
-            short = length < capacity
-            if short.any():
-                at = rows[np.searchsorted(keys, length[short] * (1 << 48) + rank[short], side="right") - 1]
-                inside = rank[short] - at[:, 1]
-                sequence[short] = at[:, 3] + inside // at[:, 4]
-                offset[short] = at[:, 5] + inside % at[:, 4] * length[short]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in ("doc_id", "start", "length", "doc_tokens", "ids")), pa.array(sequence), pa.array(offset)],
-                names=["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"],
-            )
+            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                group.add(*row)
+                if group.tokens >= 2 * group_tokens:
+                    yield from group.packed()
+        yield from group.packed()
 
     return run
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """docs (doc_id, text) -> pieces with their ids (little-endian unsigned 32-bit), sequence_id and offset."""
+def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """docs (doc_id, text) -> pieces with their ids (little-endian unsigned 32-bit), sequence_id (gapless from 0) and offset."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = materialize(spark, texts.mapInArrow(_pieces(vocabulary or default_vocabulary(), capacity, end), PIECES), "pieces")
-    # A row for each partition and length: ranks start where the partitions before end.
-    counts = materialize(spark, pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most
-    histogram.pop(capacity, None)
-    rows = plan(histogram, capacity)
-    windows = int(max((r[3] + (r[2] - r[1]) // r[4] for r in rows), default=0))
-    ranked = pieces.join(offsets, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
-    placed = ranked.select("doc_id", "start", "length", "doc_tokens", "rank", "ids")
-    schema = "doc_id long, start long, length int, doc_tokens long, ids binary, sequence_id long, offset long"
-    return placed.mapInArrow(_placed(spark.sparkContext.broadcast(rows), windows, capacity), schema)
+    pieces = materialize(spark, texts.mapInArrow(_pieces(vocabulary or default_vocabulary(), capacity, end, group_tokens), PLACED), "pieces")
+    rest = pieces.where("window is null").select("doc_id", "start", "length", "doc_tokens", "ids")
+    tokens = rest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if tokens:
+        rest = materialize(spark, rest.repartition(-(-tokens // group_tokens)).mapInArrow(_rest(capacity, group_tokens), PLACED), "rest")
+        pieces = pieces.where("window is not null").union(rest)
+    counts = materialize(spark, pieces.groupBy("level", "part").agg((F.max("window") + 1).alias("n")), "windows")
+    before = Window.orderBy("level", "part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("level", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # A row of a few bytes for each task that packed anything.
+    placed = pieces.join(F.broadcast(firsts), ["level", "part"])
+    return placed.select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("first") + F.col("window")).alias("sequence_id"), "offset")
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,20 @@
 The four base kinds (email, ip, card, phone) are found by their patterns in the whole text, leftmost and non-overlapping per
 kind. The random field adds spans that no pattern has: it scores whole candidate segments of up to 16 tokens by features of
 the segment as a whole (shape, digits, Luhn, key words before it, what touches it), and one dynamic program over
-the tokens chooses boundaries and types together. A token outside all spans scores 0, so text in which no candidate can
-score above 0 needs no lattice: it runs only in windows around anchors (digits, @, written-out "dot"). Base spans are kept as
-they are; the field's spans never overlap them.
+the tokens chooses boundaries and types together. Base spans are kept as they are; the field's spans never overlap them.
+
+A token outside all spans scores 0, so segments that score no more can be left out of the lattice. Whether those without an
+anchor (a digit, an @, the letters "dot", a word of LONG_RUN characters) score above 0 is read off the trained weights: the
+best that their features can add up to is a bound (prunable). Where it holds, and with these weights it does, the lattice has only
+segments with an anchor and runs in windows that contain them whole; else it runs over the whole text. Either way the spans are those
+of one lattice over the whole text.
 
 The field is trained here, by gradient ascent on the likelihood of sentences written by a seeded generator; it takes
 some seconds once a process.
 
 Defined results: a null or empty text has no spans. Rows are judged one by one, so null and repeated ids do not matter.
-Empty tables give empty results. Offsets are code points, ends exclusive.
+Empty tables give empty results. Offsets are code points, ends exclusive. The query reads doc_id and text alone; the stage keeps all
+columns whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.base import columns_of, free_name, spread, table
+from lodestone.llm.base import claim, columns_of, free_name, spread, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = BASE + ("secret", "iban")
 MAX_TOKENS = 16
-WINDOW = 6  # words on either side of an anchor
-REACH = 400  # code points on either side at most, where words are longer than any segment
+#: Words on either side of an anchor: more tokens than a segment, the cue words before it and the neighbours of its ends.
+WINDOW = MAX_TOKENS + 8
+LONG_RUN = 16
 
 Span = tuple[str, int, int]
 
@@ -82,8 +88,9 @@ def base_spans(text: str) -> list[Span]:
 # ---- the random field -------------------------------------------------------------------------------------------------
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
-ANCHOR = re.compile(r"[0-9@]")
-DOT_WORDS = ("dot", "DOT")
+ANCHOR = re.compile(rf"[0-9@]+|\w{{{LONG_RUN},}}|dot|DOT")
+#: Runs that may be one secret in several tokens, as unique identifiers are.
+HYPHENED = re.compile(rf"(?=[\w-]{{{LONG_RUN},}})\w+(?:-\w+)+")
 #: Words that announce a kind when they stand within four tokens before a segment (fixed values).
 CUES = {
     "email": {"email", "mail", "contact", "write", "e"},
@@ -94,6 +101,7 @@ CUES = {
     "iban": {"iban", "account", "bank", "transfer"},
 }
 HEX = re.compile(r"[0-9a-fA-F]+\Z")
+UNIQUE = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\Z")
 GROUPS = re.compile(r"\(?[0-9]{2,4}\)?(?:[ ./-]?[0-9]{2,4}){1,4}\Z")
 SPELLED = re.compile(r"[\w.+-]+ ?[\[(]?(?:at|AT)[\])]? ?[\w-]+(?: ?[\[(]?(?:dot|DOT)[\])]? ?\w+)+\Z")
@@ -107,7 +115,7 @@ def iban_holds(text: str) -> bool:
 
 FEATURES = (
     "bias", "one_token", "many_tokens", "spelled_address", "iban_shape", "iban_holds", "digit_groups", "dotted_numbers", "luhn", "long_number",
-    "hex_run", "key_run", "mixed_run", "long_run", "all_letters", "short_digits", "touches_word", "crosses_line", "ends_in_mark", "starts_in_mark", "has_at", "phone_digits", "quoted", "after_equals",
+    "hex_run", "key_run", "mixed_run", "long_run", "hyphened_run", "unique_shape", "all_letters", "short_digits", "touches_word", "crosses_line", "ends_in_mark", "starts_in_mark", "has_at", "phone_digits", "quoted", "after_equals",
     *(f"cue_{k}" for k in KINDS),
 )
 PLACE = {name: i for i, name in enumerate(FEATURES)}
@@ -143,7 +151,7 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int, c
         if len(digits) <= 8 and digits == joined:
             names.append("short_digits")
     if j == i + 1:
-        if len(s) >= 16:
+        if len(s) >= LONG_RUN:
             names.append("long_run")
             letters = len(s) - len(digits)
             if letters and len(digits) * 8 >= len(s):
@@ -154,6 +162,10 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int, c
                     names.append("key_run")
         if not digits:
             names.append("all_letters")
+    elif digits and len(s) >= LONG_RUN and HYPHENED.fullmatch(s) and len(digits) * 8 >= len(s) and any(c.isalpha() for c in s):
+        names.append("hyphened_run")
+        if UNIQUE.match(s):
+            names.append("unique_shape")
     if (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()):
         names.append("touches_word")
     if "\n" in s:
@@ -178,34 +190,48 @@ def cues_before(lowered: list[str], i: int) -> list[int]:
 JOINERS = {"at", "dot", "@"}
 
 
-def joinable(words: list[str]) -> list[bool]:
-    """Whether a token may be one of several in a segment: digits, marks, capitals with digits (as in account numbers), and
-    words that stand by an "at", a "dot" or an @, brackets between them or not."""
+def joinable(words: list[str], hyphened: list[bool]) -> list[bool]:
+    """Whether a token may be one of several in a segment: digits, marks, capitals with digits (as in account numbers), parts of a
+    long hyphened run with digits, and words that stand by an "at", a "dot" or an @, brackets between them or not."""
     hinge = [w.lower() in JOINERS or w == "." for w in words]
     out = []
     for k, w in enumerate(words):
         near = {k - 1, k + 1} | ({k - 2} if k > 0 and words[k - 1] in "[]()" else set()) | ({k + 2} if k + 1 < len(words) and words[k + 1] in "[]()" else set())
-        out.append(not w.isalnum() or w.isdigit() or w == w.upper() or hinge[k] or any(0 <= n < len(words) and hinge[n] for n in near))
+        out.append(hyphened[k] or not w.isalnum() or w.isdigit() or w == w.upper() or hinge[k] or any(0 <= n < len(words) and hinge[n] for n in near))
     return out
 
 
-def lattice(text: str, tokens: list[tuple[int, int]], blocked: list[bool]) -> list[tuple[int, int, list[int]]]:
+def overlapping(tokens: list[tuple[int, int]], places: list[tuple[int, int]]) -> list[bool]:
+    """Which tokens share a character with one of the places; both are sorted, and places don't overlap."""
+    out, k = [False] * len(tokens), 0
+    for n, (a, b) in enumerate(tokens):
+        while k < len(places) and places[k][1] <= a:
+            k += 1
+        out[n] = k < len(places) and places[k][0] < b
+    return out
+
+
+def lattice(text: str, tokens: list[tuple[int, int]], blocked: list[bool], anchored: list[bool] | None = None) -> list[tuple[int, int, list[int]]]:
     """Candidate segments (first token, end token, features). None holds a blocked token; each starts at a word or an opening
-    mark, and those of several tokens hold only such as can be joined."""
+    mark, and those of several tokens hold only such as can be joined. With anchored, each holds an anchored token."""
     words = [text[a:b] for a, b in tokens]
-    lowered, joins = [w.lower() for w in words], joinable(words)
+    runs = [m.span() for m in HYPHENED.finditer(text, tokens[0][0], tokens[-1][1]) if DIGIT.search(m.group())] if tokens else []
+    lowered, joins = [w.lower() for w in words], joinable(words, overlapping(tokens, runs))
     out = []
     for i in range(len(tokens)):
         first = text[tokens[i][0]]
         if blocked[i] or not (first.isalnum() or first in "+("):
             continue
-        cues = cues_before(lowered, i)
+        cues, held = None, anchored is None
         for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
             if blocked[j - 1]:
                 break
             if j > i + 1 and (tokens[j - 1][0] - tokens[j - 2][1] > 1 or not joins[j - 1] or not joins[i]):
                 break  # a gap of more than one character ends every segment
-            out.append((i, j, segment_features(text, tokens, i, j, cues)))
+            held = held or anchored[j - 1]
+            if held:
+                cues = cues_before(lowered, i) if cues is None else cues
+                out.append((i, j, segment_features(text, tokens, i, j, cues)))
     return out
 
 
@@ -260,6 +286,10 @@ def _generated(rng: random.Random) -> tuple[str, list[Span]]:
     def secret() -> str:
         return rng.choice([lambda: run(rng.choice([18, 32, 40]), "0123456789abcdef"), lambda: "AKIA" + run(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), lambda: run(24, letters + "0123456789" + letters.upper())])()
 
+    def hyphened() -> str:
+        some = "0123456789abcdef"
+        return rng.choice([lambda: "-".join(run(n, some) for n in (8, 4, 4, 4, 12)), lambda: rng.choice(["sk", "key", "tok", "ghp"]) + "-" + run(20, letters + "0123456789") + rng.choice(["", "-" + run(8, some)])])()
+
     def spelled() -> str:
         return rng.choice(["{} at {} dot {}", "{}[at]{}[dot]{}", "{} (at) {} (dot) {}"]).format(word(), word(), rng.choice(["com", "org", "net"]))
 
@@ -280,10 +310,10 @@ def _generated(rng: random.Random) -> tuple[str, list[Span]]:
             if rng.random() < 0.75:
                 cue, mark = rng.choice(sorted(CUES["secret"])), rng.choice([' = "', "=", ": "])
                 put(cue + mark)
-                put(secret(), kind)
+                put(rng.choice([secret, secret, secret, hyphened, lambda: run(rng.randint(16, 28), letters), lambda: run(20, letters + letters.upper())])(), kind)
                 put('"' if '"' in mark else "")
             else:
-                put(secret(), kind)
+                put(rng.choice([secret, secret, hyphened])(), kind)
         elif kind == "phone":
             put(rng.choice(["call ", "phone ", "tel: ", "mobile "]))
             put(phone(), kind)
@@ -296,8 +326,11 @@ def _generated(rng: random.Random) -> tuple[str, list[Span]]:
         elif kind == "iban":
             put(rng.choice(["", "iban ", "account: "]))
             put(iban(), kind)
+        elif rng.random() < 0.3:
+            # Assigned or announced values that are no secrets: they are short.
+            put(rng.choice(sorted(CUES["secret"] | CUES["phone"])) + rng.choice([' = "{}"', "={}", ": {}", ' "{}"']).format(rng.choice([word, lambda: word().upper() + " " + word().upper(), lambda: word().upper() + "-" + word().upper()])()))
         else:
-            put(rng.choice([f"{number(4)}-{number(2)}-{number(2)}", f"version {number(1)}.{number(1)}", number(rng.randint(1, 8)), f"{number(3)} {number(3)} {number(4)}", number(16), f"at {word()}", f"{word()} at {word()} {word()}", f"{number(1)}.{number(1)}.{number(2)}", f"$ {number(3)}.{number(2)}", run(rng.randint(16, 24), letters), run(20, letters.upper()), "dot"]))
+            put(rng.choice([f"{number(4)}-{number(2)}-{number(2)}", f"version {number(1)}.{number(1)}", number(rng.randint(1, 8)), f"{number(3)} {number(3)} {number(4)}", number(16), f"at {word()}", f"{word()} at {word()} {word()}", f"{number(1)}.{number(1)}.{number(2)}", f"$ {number(3)}.{number(2)}", run(rng.randint(16, 24), letters), run(20, letters.upper()), "dot", f"{word()}-{word()}-{word()}-{word()}-{word()}", f"{word()}{word()}-{word()}{word()}-{number(4)}", f"{number(4)}-{number(2)}-{number(2)}-{word()}-{word()}{word()}", f"model {word()}-{number(2)}"]))
         put(rng.choice([" ", ". ", ", ", "\n"]))
     put(word())
     return "".join(parts), spans
@@ -352,59 +385,76 @@ def trained(rounds: int = 30, rate: float = 0.4, shrink: float = 1e-3, seed: int
     return weights
 
 
-def anchors_of(text: str) -> list[int]:
-    """Places near which a segment can score above 0: digits, @, and "dot" as a word."""
-    found = [m.start() for m in ANCHOR.finditer(text)]
-    for word in DOT_WORDS:
-        at = text.find(word)
-        while at >= 0:
-            if not (at and text[at - 1].isalnum()) and not text[at + 3 : at + 4].isalnum():
-                found.append(at)
-            at = text.find(word, at + 3)
-    return sorted(found)
-
-
-def field_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
-    """Spans of the random field outside the base spans."""
-    taken = np.zeros(len(text) + 1, np.int32)
-    for _, a, b in base:
-        taken[a] += 1
-        taken[b] -= 1
-    taken = np.cumsum(taken)[:-1] > 0 if base else None
-    anchors = [k for k in anchors_of(text) if taken is None or not taken[k]]
+#: Features that a segment without an anchor can have: of one token, and of several.
+PLAIN_FEATURES = ("touches_word", "crosses_line", "ends_in_mark", "starts_in_mark", "quoted", "after_equals", *(f"cue_{k}" for k in KINDS))
+
+
+def prunable(weights: np.ndarray) -> bool:
+    """Whether no segment without an anchor can score above 0. Such a segment has no digit, no @ and no "dot", so it always has the
+    features of its first line below, and the most that the others can add is the sum of their positive weights."""
+    more = np.maximum(weights[:, [PLACE[n] for n in PLAIN_FEATURES]], 0).sum(axis=1)
+    always = (("bias", "one_token", "all_letters"), ("bias", "many_tokens"))
+    return all(bool((weights[:, [PLACE[n] for n in names]].sum(axis=1) + more <= 0).all()) for names in always)
+
+
+def field_spans(text: str, base: list[Span], weights: np.ndarray, pruned: bool | None = None) -> list[Span]:
+    """Spans of the random field outside the base spans. pruned is prunable(weights), where it is known."""
+    taken: list[tuple[int, int]] = []
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    if pruned is None:
+        pruned = prunable(weights)
+    anchors = [m.span() for m in ANCHOR.finditer(text)] if pruned else []
+    if taken:
+        anchors = [place for place, within in zip(anchors, overlapping(anchors, taken), strict=True) if not within]
     out: list[Span] = []
-    k = 0
-    while k < len(anchors):
-        # Anchors whose windows meet share one lattice.
-        lo = hi = anchors[k]
-        while k < len(anchors) and anchors[k] - hi <= 120:
-            hi = anchors[k]
-            k += 1
-        lo, hi = _widened(text, lo, -1), _widened(text, hi, 1)
+    for lo, hi in windows(text, anchors) if pruned else [(0, len(text))]:
         tokens = [m.span() for m in TOKEN.finditer(text, lo, hi)]
-        blocked = [taken is not None and bool(taken[a:b].any()) for a, b in tokens]
-        for i, j, kind in decode(len(tokens), lattice(text, tokens, blocked), weights):
+        segments = lattice(text, tokens, overlapping(tokens, taken), overlapping(tokens, anchors) if pruned else None)
+        for i, j, kind in decode(len(tokens), segments, weights):
             out.append((KINDS[kind], tokens[i][0], tokens[j - 1][1]))
     return out
 
 
-def _widened(text: str, at: int, step: int) -> int:
-    """A place between words about WINDOW words to the left or right of at."""
-    words, stop = 0, at + step * REACH
-    while 0 < at < len(text) and at != stop:
-        at += step
-        if 0 < at < len(text) and text[at - 1].isspace() and not text[at].isspace():
-            words += 1
-            if words > WINDOW:
+def windows(text: str, anchors: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """WINDOW words about each anchor, from space to space, those that meet as one. A word is a token at least."""
+    lo, hi = 0, -1
+    for a, b in anchors:
+        if hi >= 0 and a > hi:
+            start = a
+            for _ in range(WINDOW):
+                start = text.rfind(" ", hi, start)
+                if start < 0:
+                    break
+            if start >= 0:
+                yield lo, hi
+                lo, hi = start, -1
+        elif hi < 0:
+            lo = a
+            for _ in range(WINDOW):
+                lo = text.rfind(" ", 0, lo)
+                if lo < 0:
+                    lo = 0
+                    break
+        end = b
+        for _ in range(WINDOW):
+            end = text.find(" ", end + 1)
+            if end < 0:
+                end = len(text)
                 break
-    return max(0, min(at, len(text)))
+        hi = max(hi, end)
+    if hi >= 0:
+        yield lo, hi
 
 
-def all_spans(text: str | None, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str | None, weights: np.ndarray, pruned: bool | None = None) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans by kind as listed, then by start."""
     text = text or ""
     base = base_spans(text)
-    added = field_spans(text, base, weights)
+    added = field_spans(text, base, weights, pruned)
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
@@ -426,11 +476,14 @@ FOUND = T.StructType([T.StructField("base", T.StringType()), T.StructField("span
 
 
 def _found(weights: np.ndarray, with_text: bool):
+    pruned = prunable(weights)
+
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim()
         for texts in batches:
             rows = []
             for text in texts.to_pylist():
-                base, spans = all_spans(text, weights)
+                base, spans = all_spans(text, weights, pruned)
                 rows.append((joined(base), joined(spans), masked(text, spans) if with_text and text is not None else None))
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=FOUND.names)
 
@@ -449,7 +502,8 @@ def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(F.split("__pii.base", ","), lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(F.col("__pii.base").cast("binary"), 256).alias("base_sha256"), F.col("__pii.spans").alias("spans"))
+    n_spans = F.when(F.col("__pii.spans") == "", 0).otherwise(F.size(F.split("__pii.spans", ","))).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, n_spans, F.sha2(F.col("__pii.base").cast("binary"), 256).alias("base_sha256"), F.col("__pii.spans").alias("spans"))
 
 
 def mask_stage(docs: DataFrame) -> DataFrame:

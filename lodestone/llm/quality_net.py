@@ -10,7 +10,8 @@ The context vectors cover all documents; the network learns from at most max_row
 
 Words are runs of letters and digits, or of other marks, as they are written. Defined results: a null or empty text has the vector of
 no words and gets a score as any other. Rows without a label teach nothing; nothing learned gives every text 0.5; equal
-doc_ids in the labels are each a training row. Empty tables give empty results.
+doc_ids in the labels are each a training row. The query reads doc_id and text (and quality of the labels) alone; with_scores adds
+one column and keeps the others, one of the same name excepted. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import MEMO_ENTRIES, MIX_A, bounded_sample, mixed, spread, table
+from lodestone.llm.base import MIX_A, Memo, bounded_sample, claim, mixed, spread, table
 from lodestone.llm.language import remainder
 
 BUCKETS, CONTEXT, OWN, REACH = 8192, 32, 64, 2
@@ -36,15 +37,11 @@ THRESHOLD = 0.3
 words_of = re.compile(r"\w+|[^\w\s]+").findall
 
 
-class _Buckets(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        bucket = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) % BUCKETS
-        return bucket
+def _bucket(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-_buckets = _Buckets()
+_buckets = Memo(_bucket)
 
 
 def buckets_of(text: str | None) -> np.ndarray:
@@ -75,6 +72,7 @@ def context_sums(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim(_buckets)
     total, held, size = np.zeros((BUCKETS, CONTEXT)), [], 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -183,6 +181,7 @@ def with_scores(spark: SparkSession, docs: DataFrame, network: Network, into: st
     shared = spark.sparkContext.broadcast(network)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim(_buckets)
         for texts in batches:
             yield pa.array(shared.value.scores(texts.to_pylist()))
 

@@ -7,7 +7,8 @@ rule casts each vote in each class. The posterior probability of "good" then dec
 Only the table of vote patterns (at most 3^10 rows whatever the input) reaches the driver.
 
 Defined results: a null or empty text has no words, fails the base rule and is dropped. Rows are judged one by one, so
-repeated rows, equal ids and null ids get the same verdict as the text alone would. An empty table gives an empty result.
+repeated rows, equal ids and null ids get the same verdict as the text alone would. The stage keeps all columns whatever their
+names; op9_query reads doc_id and text alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -178,10 +179,12 @@ def base_failed(m: str = "__measures") -> Column:
 
 
 def judge(measures: DataFrame, threshold: float = 0.5, m: str = "__measures") -> DataFrame:
-    """Adds quality_probability, base_failed and kept to a table with measures; the model is fitted to the same table."""
+    """Adds quality_probability, base_failed and kept (a column of such a name makes way) to a table with measures in a struct m;
+    the model is fitted to the same table."""
     model = fit_rules(measures, m)
+    rows = measures.drop("quality_probability", "base_failed", "kept")
     return (
-        measures.withColumn("quality_probability", quality_probability(model, m))
+        rows.withColumn("quality_probability", quality_probability(model, m))
         .withColumn("base_failed", base_failed(m))
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality_probability") >= threshold))
     )
@@ -194,8 +197,9 @@ def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_stage(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without the rejected rows, columns unchanged. The model is fitted to docs in a pass before."""
+    """docs without the rejected rows, columns unchanged. The texts are measured once and written with their measures; the model
+    is fitted to the measures and the rows are judged by expressions."""
     m = free_name(docs, "__measures")
-    measures = measured(docs, m)
+    measures = materialize(docs.sparkSession, measured(docs, m), "rules")
     model = fit_rules(measures.select(m), m)
     return measures.where(~base_failed(m) & (quality_probability(model, m) >= threshold)).select(*columns_of(docs))

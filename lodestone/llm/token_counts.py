@@ -9,7 +9,8 @@ end of a word often leaves a bare mark that no piece covers. Words are what the
 make of the text; counts of words are remembered per process. A word that no pieces cover is one unknown token.
 
 Defined results: null and empty texts have no words and no tokens; strings of special tokens are ordinary text. Rows are counted
-one by one, so repeated rows and null ids do not matter; an empty table gives an empty result.
+one by one, so repeated rows and null ids do not matter; with_counts adds one column and keeps the others, one of the same name
+excepted, and the query reads doc_id and text alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.base import MEMO_ENTRIES, doc_text, spread, table
+from lodestone.llm.base import Memo, claim, doc_text, spread, table
 from lodestone.llm.encoding import NO_SPACES, PATTERN, PIECES, PLAIN, SPACES, byte_letters, default_vocabulary
 
 COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "n_tokens", "n_unknown")])
@@ -91,13 +92,13 @@ class Automaton:
         return tokens
 
 
-class _Words(dict):
+class _Words(Memo):
     """A run of text without white space -> (words, tokens, unknown words)."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
+        super().__init__(self._counts)
         self.tokenizer = Tokenizer.from_file(path)
         config = json.loads(self.tokenizer.to_str())
         suffix = config["model"].get("end_of_word_suffix") or ""
@@ -106,26 +107,16 @@ class _Words(dict):
         self.automaton = Automaton(pieces, config["model"].get("continuing_subword_prefix") or "")
         self.plain = any(p.get("pattern", {}).get("Regex") == PATTERN for p in (config["pre_tokenizer"] or {}).get("pretokenizers", []))
         self.letters = byte_letters()
-        self.counts: dict[str, int] = {}
+        self.counts = Memo(self.automaton.count)
 
     def words_of(self, run: str) -> list[str]:
         if self.plain and PLAIN(run):
             return ["".join([self.letters[b] for b in piece.encode()]) for piece in PIECES.findall(run.lower())]
         return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(run))]
 
-    def count(self, word: str) -> int:
-        if word not in self.counts:
-            if len(self.counts) > MEMO_ENTRIES:
-                self.counts.clear()
-            self.counts[word] = self.automaton.count(word)
-        return self.counts[word]
-
-    def __missing__(self, run: str) -> tuple[int, int, int]:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        counts = [self.count(w) for w in self.words_of(run)]
-        found = self[run] = (len(counts), sum(map(abs, counts)), counts.count(-1))
-        return found
+    def _counts(self, run: str) -> tuple[int, int, int]:
+        counts = [self.counts[w] for w in self.words_of(run)]
+        return len(counts), sum(map(abs, counts)), counts.count(-1)
 
 
 @functools.cache
@@ -146,6 +137,7 @@ def with_counts(docs: DataFrame, vocabulary: str | None = None, into: str = "__c
 
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = known_words(path)
+        claim(known, known.counts)
         for texts in batches:
             rows = [count_text(t, known) for t in texts.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=COUNTS.names)

@@ -1,6 +1,7 @@
 """Token ids in wavelet-matrix files (operator 3).
 
-Documents are range-partitioned by doc_id; each partition encodes its texts in order and writes a file whenever it holds
+Documents are range-partitioned by doc_id, the bounds drawn from a sample of the ids alone; an id that is many rows is dealt over
+all partitions it makes up. Each partition encodes its texts in order and writes a file whenever it holds
 enough ids, so memory is bounded by a file and not by a partition. A file is one wavelet matrix: a bit-plane for each bit of an
 id, highest first, each plane's order being that of the plane before with zeros moved ahead of ones; the planes are
 compressed one by one. Rank samples over the planes give access to any position, counts of an id in any range and the
@@ -9,8 +10,9 @@ places of its occurrences, all from the one file.
 Files go to the shared folder under the name of the task attempt that wrote them; a table of the files of the attempts that
 counted is written by Spark itself, so a lost executor or a second attempt leaves at most unused files behind.
 
-Defined results: a null or empty text is its end token alone; equal doc_ids are told apart by text, and rows equal in both
-are each written; a null doc_id comes first. An empty table writes no files.
+Defined results: a null or empty text is its end token alone; equal doc_ids are told apart by text (by a hash of it first, where they
+fill partitions), and rows equal in both are each written; a null doc_id comes first. Columns besides doc_id and text are not
+read, whatever their names. An empty table writes no files.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.base import fresh_path, materialize, table
@@ -33,7 +35,8 @@ from lodestone.llm.encoding import default_vocabulary, encode, words
 
 END = 2
 FILE_IDS = 2_000_000
-WORD_ENTRIES = 500_000
+#: Sampled ids for each partition that bounds are drawn from.
+SAMPLED = 100
 MAGIC = b"LWM1"
 SAMPLE = 8  # 64-bit words between rank samples
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long"
@@ -171,7 +174,7 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def _writer(folder: str, vocabulary: str, end: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = words(vocabulary, WORD_ENTRIES), np.array([end], "<u4").tobytes()
+        known, last = words(vocabulary), np.array([end], "<u4").tobytes()
         fs, root = file_system(folder)
         task, seq = TaskContext.get(), 0
         held, doc_ids, lengths = [], [], []
@@ -204,14 +207,54 @@ def _writer(folder: str, vocabulary: str, end: int, file_ids: int):
     return run
 
 
+def range_bounds(ids: DataFrame, partitions: int) -> list[int]:
+    """partitions - 1 ids at most that cut the rows of ids (doc_id) into parts of about one size. At most about SAMPLED ids for each
+    partition reach the driver, and no other column is read."""
+    known = ids.where("doc_id is not null")
+    n = known.count()
+    if not n or partitions < 2:
+        return []
+    share = min(1.0, SAMPLED * partitions / n)
+    drawn = np.sort((known if share == 1.0 else known.sample(share, 17)).toArrow().column(0).to_numpy())
+    return [int(drawn[len(drawn) * k // partitions]) for k in range(1, partitions)] if len(drawn) else []
+
+
+def range_of(doc_id: Column, text: Column, bounds: list[int]) -> Column:
+    """The partition of a row by bisection of the bounds. An id that is itself one bound or several may lie in any partition that
+    touches them, and its rows are dealt over these by a hash of their texts."""
+    if not bounds:
+        return F.lit(0)
+    cuts = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    state = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def bisected(with_equal: bool) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            at = F.get(cuts, mid)
+            below = (s["lo"] < s["hi"]) & ((at <= doc_id) if with_equal else (at < doc_id))
+            return F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), state, step, lambda s: s["lo"])
+
+    first, last = bisected(False), bisected(True)
+    dealt = first + F.pmod(F.xxhash64(text), last - first + 1).cast("int")
+    return F.when(doc_id.isNull(), 0).when(first < last, dealt).otherwise(first)
+
+
 def write(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = END, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes docs (doc_id, text) as files in ascending order -> the table of files with the ids before each."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(texts.select("doc_id"), partitions)
+    ordered = texts.repartitionById(len(bounds) + 1, range_of(F.col("doc_id"), F.col("text"), bounds)).sortWithinPartitions("doc_id", "text")
     files = materialize(spark, ordered.mapInArrow(_writer(folder, vocabulary or default_vocabulary(), end, file_ids), MANIFEST), "files")
-    # One row a file: the running sum is over thousands of rows where there are billions of ids.
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("ids_before", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    # Running sums over a row for each partition, and within a partition over a row for each file.
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
+    counted = files.withColumn("inside", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part")
+    return materialize(spark, counted.select(*files.columns, (F.col("first") + F.col("inside")).alias("ids_before")), "manifest")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +274,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(files: DataFrame) -> DataFrame:
     """A row for each document, from the files: its place among all ids, its length and the crc32 of its ids."""
-    return files.repartition(F.col("part"), F.col("seq")).mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = max(1, files.count())
+    # The manifest is a few kilobytes; dealt by number, it is not drawn together into one task that reads every file.
+    return files.repartition(n).mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,18 +53,45 @@ def test_reordered_and_clean(spark):
     ]
     docs_df = spark.createDataFrame(docs, "doc_id long, text string")
     items = spark.createDataFrame([(10, " ".join(item)), (11, " ".join(item)), (12, "w1"), (13, None)], "item_id long, text string")
-    found = d.with_hits(spark, docs_df, items).collect()
-    assert {r.doc_id: [h.item_id for h in r["__hits"]] for r in found} == {1: [10, 11], 2: [10, 11], 3: [], 4: [], 5: [], 6: []}
+    found = d.leaks(spark, docs_df, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 10), (1, 11), (2, 10), (2, 11)]
     assert sorted(r.doc_id for r in d.filter_stage(spark, docs_df, items).collect()) == [3, 4, 5, 6]
 
 
-def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(d, "BLOCK_GRAMS", 1)
-    items = spark.createDataFrame([(k, " ".join(f"t{k}x{j}" for j in range(12))) for k in range(5)], "item_id long, text string")
+def test_long_verbatim_part(spark):
+    """35 of 100 words in one piece leak, in five pieces they don't."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(3000)}"
+    item = [word() for _ in range(100)]
+    whole = [word() for _ in range(30)] + item[20:55] + [word() for _ in range(30)]
+    parts = [w for k in range(0, 35, 7) for w in item[20 + k : 27 + k] + [word(), word()]]
+    docs = spark.createDataFrame([(1, " ".join(whole)), (2, " ".join(parts))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.covered, r.tiles) for r in d.leaks(spark, docs, items).collect()] == [(1, 5, 35, 1)]
+
+
+def test_blocks_of_items(spark):
+    items = spark.createDataFrame([(k, " ".join(f"t{k}x{j}" for j in range(12))) for k in range(10)], "item_id long, text string")
     docs = items.selectExpr("item_id + 100 AS doc_id", "text")
-    assert len(list(d.blocks(items, 1))) == 5
-    columns = d.with_hits(spark, docs, items)
-    assert {r.doc_id: [h.item_id for h in r["__hits"]] for r in columns.collect()} == {k + 100: [k] for k in range(5)}
+    assert len(list(d.blocks(items, 1))) == 10
+    found = d.leaks(spark, docs, items, grams=1)
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(k + 100, k) for k in range(10)]
+    # Ten blocks are one Python stage, and none is evaluated twice.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    kept = d.filter_stage(spark, docs, items, grams=1)
+    assert kept.count() == 0
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_query_on_odd_rows(spark, crowded, empty, folder):
+    """Null, empty and repeated documents in the query itself: a row for each document and item."""
+    items = spark.createDataFrame([(1, "the cat sat on the mat and looked at the dog"), (None, "the cat sat on the mat and looked at the dog"), (3, None)], "item_id long, text string")
+    found = d.op4_query(spark, folder(documents=crowded.drop("a.b"), benchmark=items)).collect()
+    rows = lambda i: [(r.doc_id, r.item_id) for r in found if r.item_id == i]
+    assert sorted(rows(1), key=str) == sorted([(1, 1), (1, 1), (2, 1), (None, 1)], key=str) and len(rows(None)) == 4 and len(found) == 8
+    assert all(r.coverage == 1.0 for r in found)
+    assert d.leaks(spark, empty, items).count() == 0
 
 
 def test_query_finds_verbatim_items(spark):

@@ -55,8 +55,8 @@ def corpus():
 
 @pytest.mark.parametrize("percent", [80, 85])
 def test_against_brute_force(spark, corpus, percent, monkeypatch):
-    monkeypatch.setattr(m, "BUCKET_BLOCK", 16)  # so that buckets and clusters span many block pairs
-    monkeypatch.setattr(m, "CLUSTER_BLOCK", 8)
+    monkeypatch.setattr(m, "BLOCK", 8)  # so that buckets and clusters span many block pairs
+    monkeypatch.setattr(m, "HOT", 10)  # and texts have many partners
     found = m.near_duplicates(spark, spark.createDataFrame(corpus, "doc_id long, text string"), percent).collect()
     want = brute_force(corpus, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
@@ -64,6 +64,23 @@ def test_against_brute_force(spark, corpus, percent, monkeypatch):
     assert len(set(c for _, c in want.values())) < len(corpus) - 20
 
 
+@pytest.mark.parametrize("stragglers", [1, 3000])
+def test_rows_of_a_large_bucket(spark, stragglers):
+    """A bucket of 10,000 with two components: rows are linear in it, and every pair of members of different components meets."""
+    n, block = 10_000, 1000
+    members = spark.range(n).selectExpr("7L AS key", "id", f"if(id < {stragglers}, -1L, -2L) AS component", "1 AS weight").union(spark.range(50).selectExpr("8L AS key", "id", "5L AS component", "1 AS weight"))
+    rows = m.in_block_pairs(members, block).toPandas()
+    assert set(rows["key"]) == {7}  # a bucket of one component has nothing to compare
+    own, others = -(-(n - stragglers) // block), -(-stragglers // block)
+    assert len(rows) == (n - stragglers) * others + stragglers * (own + others)
+    cells = rows.groupby("id")[["i", "j"]].apply(lambda g: set(map(tuple, g.to_numpy().tolist())))
+    for a in range(0, stragglers, 97):
+        for b in range(stragglers, n, 1013):
+            assert cells[a] & cells[b]
+    place = rows.drop_duplicates("id").set_index("id")["block"]
+    assert place.value_counts().max() < 1.3 * block
+
+
 def test_estimate():
     rng = np.random.default_rng(0)
     family = m.hash_family()

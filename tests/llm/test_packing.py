@@ -28,7 +28,7 @@ def test_plan_places_everything():
     rng = random.Random(7)
     counts = Counter(rng.randrange(1, 200) for _ in range(3000))
     windows = defaultdict(list)
-    for length, first, end, window, times, offset in p.plan(counts, 200).tolist():
+    for length, first, end, window, times, offset in p.plan(counts, 200)[0].tolist():
         for rank in range(first, end):
             inside = rank - first
             windows[window + inside // times].append((offset + inside % times * length, length))
@@ -40,7 +40,24 @@ def test_plan_places_everything():
             at += length
         assert at <= 200
     assert len(windows) <= 1.01 * sum(k * n for k, n in counts.items()) / 200 + 2
-    assert len(p.plan({}, 200)) == 0
+    assert len(p.plan({}, 200)[0]) == 0
+
+
+def test_only_full_windows():
+    """What is handed on could fill no window: the placed windows are full, and every piece is in one or handed on."""
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        lengths = rng.integers(1, 60, rng.integers(0, 300))
+        window, offset, windows = p.places(lengths, 60, only_full=True)
+        assert sorted(set(window[window >= 0].tolist())) == list(range(windows))
+        for w in range(windows):
+            at = 0
+            for n in np.flatnonzero(window == w)[np.argsort(offset[window == w])]:
+                assert offset[n] == at
+                at += lengths[n]
+            assert at == 60
+        window, _, windows = p.places(lengths, 60, only_full=False)
+        assert (window >= 0).all() and (len(lengths) == 0 or window.max() + 1 == windows)
 
 
 def check(found, rows, capacity=2048):
@@ -80,3 +97,9 @@ def test_query(spark):
 def test_odd_rows(spark, odd, crowded, empty, odd_rows):
     check(p.digest(p.pack(spark, crowded.repartition(5))).collect(), [r[:2] for r in odd_rows])
     assert p.pack(spark, empty).count() == 0
+
+
+def test_groups(spark, odd, odd_rows):
+    """Groups of a few tokens, in one task and in many: nothing is lost between the levels."""
+    for parts in (1, 7):
+        check(p.digest(p.pack(spark, odd.repartition(parts), group_tokens=3000)).collect(), [r[:2] for r in odd_rows])

@@ -86,6 +86,41 @@ def test_added_spans_keep_off_base_spans(spark):
         assert {k for k, _, _ in added} <= {"secret"}
 
 
+def whole_lattice(text, base, weights):
+    """One lattice over the whole text, with every segment there is."""
+    taken = [(a, b) for _, a, b in base]
+    tokens = [m.span() for m in pii.TOKEN.finditer(text)]
+    blocked = [any(x < b and a < y for x, y in taken) for a, b in tokens]
+    return [(pii.KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in pii.decode(len(tokens), pii.lattice(text, tokens, blocked), weights)]
+
+
+def test_windows_lose_nothing(spark):
+    """What the windows about anchors find is what one lattice over the whole text finds."""
+    weights, rng = pii.trained(), random.Random(31)
+    assert pii.prunable(weights) and not pii.prunable(weights + 1)
+    texts = [" ".join(pii._generated(rng)[0] + " plain words " * rng.randrange(20) for _ in range(5)) for _ in range(60)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if len(r.text) < 5000]
+    for text in texts:
+        base = pii.base_spans(text)
+        assert pii.field_spans(text, base, weights) == whole_lattice(text, base, weights)
+        # Weights for which the bound does not hold: the whole text is one window.
+        assert pii.field_spans(text[:400], [], weights + 1) == whole_lattice(text[:400], [], weights + 1)
+
+
+def test_secrets_without_digits_and_hyphened():
+    weights = pii.trained()
+    for text, secret in (
+        ('password = "abcdefGHIJklmnopqrstu"', "abcdefGHIJklmnopqrstu"),
+        ('secret="abcdefghijklmnopqrstuvwxyzabcdef"', "abcdefghijklmnopqrstuvwxyzabcdef"),
+        ("token: QWERTYUIOPASDFGHJKLZXCV", "QWERTYUIOPASDFGHJKLZXCV"),
+        ("password: correcthorsebatterystaple", "correcthorsebatterystaple"),
+        ("key = 550e8400-e29b-41d4-a716-446655440000 and", "550e8400-e29b-41d4-a716-446655440000"),
+    ):
+        assert [(k, text[a:b]) for k, a, b in pii.all_spans(text, weights)[1]] == [("secret", secret)]
+    for text in ("state-of-the-art-technology", "password: hello", "on 2021-03-04 the key = VALUE"):
+        assert pii.all_spans(text, weights)[1] == []
+
+
 def test_masked():
     text = "mail a@b.co or +1 (555) 010-9999 now"
     assert pii.masked(text, pii.base_spans(text)) == "mail [EMAIL] or [PHONE] now"
@@ -96,7 +131,8 @@ def test_odd_rows(spark, odd, crowded, empty, odd_rows, folder):
     found = pii.op1_query(spark, folder(documents=crowded)).collect()
     assert len(found) == len(odd_rows)
     one = next(r for r in found if r.doc_id == -5)
-    assert (one.n_email, one.n_ip, one.n_card, one.n_phone) == (1, 1, 1, 1)
+    assert (one.n_email, one.n_ip, one.n_card, one.n_phone, one.n_spans) == (1, 1, 1, 1, 4)
+    assert all(r.n_spans == len([s for s in r.spans.split(",") if s]) for r in found)
     out = pii.mask_stage(crowded)
     assert out.columns == crowded.columns
     rows = out.collect()
