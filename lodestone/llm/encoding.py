@@ -19,6 +19,9 @@ from lodestone.llm.base import Memo, claim
 #: lower-casing and composition (fixed values).
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+").fullmatch
+#: Characters of Latin-1 that are neither white space nor in PLAIN.
+BEYOND = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0\xad]").search
+MARKS = ".,;:!?\"')(]}[{-"
 #: The shape of the pattern that PIECES stands for; a file with another goes through the whole tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -52,11 +55,14 @@ class _Words(Memo):
         return array.array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
 
     def _ids(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            return self._piece(word.lower())
-        if PLAIN(word) and not self.marked(word):
-            pieces = PIECES.findall(word.lower())
-            return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.__getitem__, pieces))
+        if word.isascii() and word.isprintable() or PLAIN(word):
+            # Most words are letters with or without marks behind them.
+            letters = word.rstrip(MARKS)
+            if letters.isalpha() and (letters is word or not self.marked(word)):
+                return self._piece(word.lower()) if len(letters) == len(word) else self[letters.lower()] + self[word[len(letters) :]]
+            if not self.marked(word):
+                pieces = PIECES.findall(word.lower())
+                return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.__getitem__, pieces))
         return array.array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def marked(self, text: str) -> bool:
@@ -93,21 +99,22 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _latin(text: str) -> bool:
+def _plain(text: str) -> bool:
+    """Whether the text is Latin-1 of which PIECES knows every character."""
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return False
-    return True
+    return not BEYOND(text)
 
 
 def encode(text: str | None, known: _Words) -> bytes:
     """Ids of the whole text as little-endian unsigned 32-bit integers.
 
-    Latin-1 texts are lower-cased first, so that words are remembered once; where letters beyond Latin-1 or strings of
-    special tokens are about, the tokenizer itself lower-cases each word."""
+    Plain Latin-1 texts are cut into pieces as they are, of which there are fewer different ones than runs. Where letters beyond
+    Latin-1 or strings of special tokens are about, runs are looked up, and the tokenizer itself takes those it has to."""
     text = text or ""
-    if _latin(text) and not known.marked(text):
-        text = text.lower()
+    if _plain(text) and not known.marked(text):
+        return b"".join(map(known.__getitem__, PIECES.findall(text.lower())))
     split = SPACES.split(text) if any(c in text for c in NO_SPACES) else text.split()
     return b"".join(map(known.__getitem__, split))

@@ -54,12 +54,15 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         top = int(ids.max()) if len(ids) else 0
         values = ids.astype(np.uint16 if top < 1 << 16 else np.uint32)
-        planes = []
+        planes, after = [], np.empty_like(values)
         for k in range(max(1, top.bit_length()) - 1, -1, -1):
-            ones = (values >> k & 1).astype(bool)
+            ones = values & values.dtype.type(1 << k) != 0
             planes.append(_packed(ones))
             if k:
-                values = np.concatenate([values[~ones], values[ones]])
+                zeros = len(ids) - int(np.count_nonzero(ones))
+                np.compress(~ones, values, out=after[:zeros])
+                np.compress(ones, values, out=after[zeros:])
+                values, after = after, values
         return cls(len(ids), planes)
 
     def rank1(self, level: int, at: int) -> int:
@@ -120,13 +123,13 @@ class WaveletMatrix:
     def decode(self) -> np.ndarray:
         """All ids: from the last plane to the first, zeros and ones go back to where they came from."""
         values = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        before = np.empty_like(values)
         for level in range(len(self.planes) - 1, -1, -1):
-            ones = _unpacked(self.planes[level], self.n)
-            before = np.empty_like(values)
-            zeros = self.zeros[level]
-            before[~ones] = values[:zeros]
-            before[ones] = values[zeros:] | values.dtype.type(1 << (len(self.planes) - 1 - level))
-            values = before
+            ones, zeros = _unpacked(self.planes[level], self.n), self.zeros[level]
+            values[zeros:] |= values.dtype.type(1 << (len(self.planes) - 1 - level))
+            before[np.flatnonzero(~ones)] = values[:zeros]
+            before[np.flatnonzero(ones)] = values[zeros:]
+            values, before = before, values
         return values.astype("<u4")
 
 
@@ -254,7 +257,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, vocabulary: str | N
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
     counted = files.withColumn("inside", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part")
-    return materialize(spark, counted.select(*files.columns, (F.col("first") + F.col("inside")).alias("ids_before")), "manifest")
+    return counted.select(*files.columns, (F.col("first") + F.col("inside")).alias("ids_before"))
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,6 +53,27 @@ def test_odd_rows(spark, odd, empty, odd_rows, tmp_path):
     assert w.read_digests(w.write(spark, empty, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_ranges(spark):
+    """Partitions ascend with the ids, are of about one size, and one id with a third of the rows is dealt over several."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 777L, id) AS doc_id", "concat('text ', id) AS text").repartition(4)
+    bounds = w.range_bounds(rows.select("doc_id"), 12)
+    assert bounds == sorted(bounds) and len(bounds) == 11 and bounds.count(777) > 2
+    placed = rows.select("doc_id", w.range_of(F.col("doc_id"), F.col("text"), bounds).alias("part")).toPandas()
+    assert placed.groupby("part").size().max() < 1000 and placed["part"].nunique() == 12
+    ends = placed.groupby("part")["doc_id"].agg(["min", "max"]).sort_index()
+    assert (ends["min"].to_numpy()[1:] >= ends["max"].to_numpy()[:-1]).all()
+    assert w.range_bounds(rows.select("doc_id").where("false"), 12) == []
+    order = rows.select(w.range_of(F.lit(None).cast("long"), F.col("text"), bounds).alias("part")).distinct().collect()
+    assert [r.part for r in order] == [0]
+
+
+def test_one_reading_task_a_file(spark, odd, crowded, tmp_path):
+    files = w.write(spark, crowded, f"file://{tmp_path}/files", file_ids=50)
+    assert w.read_digests(files).rdd.getNumPartitions() == files.count() > 1
+
+
 def test_encoding_of_odd_texts():
     tokenizer, known = Tokenizer.from_file(encoding.default_vocabulary()), encoding.words(encoding.default_vocabulary())
     texts = ["", " ", "It's WE'LL don't 'S x'tY", "a\x1cb c d e\x85f", "ΣΊΣΥΦΟΣ Σ", "İI", "é é Å", "<|endoftext|>x<|ENDOFTEXT|>", "<|x|>", "½²³ ١٢٣ 12 1a2", "日本語\U0001f600!?", "%%%###a$$$", "ß ẞ µ ª º", "a\x00b", "﻿z"]
