@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.stemming import stemmed
+
 #: White space in the Unicode sense, as the regex engine of the JVM writes it.
 SPACE = r"(?U)\s+"
 EDGES = r"(?U)^\s+|\s+$"
@@ -32,7 +34,13 @@ def passage(title: Column, text: Column, max_words: int = 300) -> Column:
     return truncated(contents(stripped(F.coalesce(title, F.lit(""))), stripped(F.coalesce(text, F.lit("")))), max_words)
 
 
-def tokens(text: Column | str) -> Column:
-    """Lower-cased runs of letters and digits. No stop words, no stemming."""
+#: The stop words that English analyzers commonly leave out (fixed values).
+STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+
+
+def tokens(text: Column | str, stop_words: list[str] | None = None, stems: bool = False) -> Column:
+    """Lower-cased runs of letters and digits, without stop words and as stems where asked for."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    left_out = ["", *(stop_words or [])]
+    found = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: ~t.isin(left_out))
+    return stemmed(found) if stems else found

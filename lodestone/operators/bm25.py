@@ -1,51 +1,110 @@
-"""Lexical retrieval: postings, statistics and BM25 scores as joins and aggregates.
+"""Lexical retrieval: a written index of the documents' terms, statistics and BM25 scores as filters, joins and aggregates.
 
-Postings are made for the terms of the queries alone, so a document contributes a row for each of its query terms and not for each of its
-words; lengths need no explode at all."""
+The index is a table of doc_id, dl and terms, tokenized once. For a set of queries, each document's terms are filtered by the queries'
+vocabulary before they are exploded, so a document contributes rows for its query terms alone and carries its length with
+them. Weights of terms are joined to these postings, and scores are summed within a partition of documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import contents, tokens
+from lodestone.functions.text import STOP_WORDS, contents, tokens
+from lodestone.sources.tables import written
 
 K1, B, TOP_K, DIGITS = 0.9, 0.4, 100, 6
+#: Terms that may go to the tasks as a set of literals; larger vocabularies are joined.
+VOCABULARY = 50_000
+#: Rows of term weights (one for each query and term) that are broadcast, some 40 MB; more are shuffled by term.
+WEIGHTS = 500_000
 
 
-def tokenized(corpus: DataFrame) -> DataFrame:
-    """doc_id, terms of title and text."""
-    return corpus.select("doc_id", tokens(contents("title", "text")).alias("terms"))
+@dataclass(frozen=True)
+class Analyzer:
+    """How texts become terms; queries and documents share it."""
 
+    stop_words: bool = False
+    stems: bool = False
 
-def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """doc_id, terms -> term, doc_id, tf; only terms of the vocabulary where one is given."""
-    exploded = docs.select("doc_id", F.explode("terms").alias("term"))
-    if vocabulary is not None:
-        exploded = exploded.join(vocabulary.select("term").distinct(), "term", "left_semi")
-    return exploded.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    def terms(self, text):
+        return tokens(text, STOP_WORDS if self.stop_words else None, self.stems)
+
+
+class InvertedIndex:
+    """doc_id, dl, terms of a corpus, with its analyzer. It is written once and serves any number of query sets."""
+
+    def __init__(self, rows: DataFrame, analyzer: Analyzer):
+        self.rows, self.analyzer = rows, analyzer
+
+    @classmethod
+    def build(cls, corpus: DataFrame, analyzer: Analyzer = Analyzer()) -> InvertedIndex:
+        """corpus (doc_id, title, text), tokenized and written to the shared folder."""
+        return cls(written(corpus.sparkSession, tokenized(corpus, analyzer), "terms"), analyzer)
+
+    def save(self, path: str, mode: str = "errorifexists") -> InvertedIndex:
+        spark = self.rows.sparkSession
+        self.rows.write.mode(mode).parquet(f"{path}/rows")
+        spark.createDataFrame([tuple(asdict(self.analyzer).values())], list(asdict(self.analyzer))).coalesce(1).write.mode(mode).json(f"{path}/analyzer")
+        return self.load(spark, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> InvertedIndex:
+        return cls(spark.read.parquet(f"{path}/rows"), Analyzer(**spark.read.json(f"{path}/analyzer").first().asDict()))
+
+    def search(self, queries: DataFrame, k: int = TOP_K, k1: float = K1, b: float = B) -> DataFrame:
+        """queries (query_id, query_text) -> query_id, rank, doc_id, score."""
+        return topk(scores_of(self, queries, k1, b), k)
 
 
-def lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.size("terms").cast("long").alias("dl"))
+def tokenized(corpus: DataFrame, analyzer: Analyzer = Analyzer()) -> DataFrame:
+    """doc_id, dl, terms of title and text."""
+    docs = corpus.select("doc_id", analyzer.terms(contents("title", "text")).alias("terms"))
+    return docs.select("doc_id", F.size("terms").cast("long").alias("dl"), "terms")
+
+
+def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """doc_id, dl, terms -> term, doc_id, dl, tf; only terms of the vocabulary (term, each once) where one is given. Rows are dealt by
+    doc_id alone, so what is summed by document later needs no further shuffle."""
+    if vocabulary is not None:
+        few = [r[0] for r in vocabulary.limit(VOCABULARY + 1).collect()]
+        if len(few) <= VOCABULARY:
+            docs = docs.withColumn("terms", F.filter("terms", lambda t: t.isin(few)) if few else F.array().cast("array<string>"))
+            vocabulary = None
+    # The outer form: from the other, Spark infers a filter on the array that filters it a second time.
+    exploded = docs.select("doc_id", "dl", F.explode_outer("terms").alias("term")).where("term is not null")
+    if vocabulary is not None:
+        exploded = exploded.join(vocabulary, "term", "left_semi")
+    # By number, so that they are not drawn together into a few partitions: queries multiply them.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return exploded.repartition(parts, "doc_id").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """One row: number of documents and their mean length."""
-    return lengths(docs).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def scores(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """corpus (doc_id, title, text), queries (query_id, query_text) -> query_id, doc_id, score of every match."""
-    docs = tokenized(corpus)
-    terms = queries.select("query_id", F.explode(tokens("query_text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    found = postings(docs, terms)
+def scores_of(index: InvertedIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, doc_id, score of every match of queries (query_id, query_text)."""
+    docs = index.rows
+    terms = queries.select("query_id", F.explode(index.analyzer.terms(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    terms = written(docs.sparkSession, terms, "query-terms")
+    found = postings(docs, terms.select("term").distinct())
     frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = F.broadcast(statistics(docs))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = terms.join(frequency, "term").crossJoin(stats).select("query_id", "term", (F.col("qtf") * idf).alias("weight"), "avgdl")
     share = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    parts = found.join(lengths(docs), "doc_id").join(frequency, "term").crossJoin(stats).join(terms, "term")
-    return parts.select("query_id", "doc_id", (F.col("qtf") * idf * share).alias("part")).groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+    weights = F.broadcast(weights) if terms.count() <= WEIGHTS else weights
+    parts = found.join(weights, "term").select("query_id", "doc_id", (F.col("weight") * share).alias("part"))
+    return parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+
+
+def scores(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, analyzer: Analyzer = Analyzer()) -> DataFrame:
+    """corpus (doc_id, title, text), queries (query_id, query_text) -> query_id, doc_id, score of every match."""
+    return scores_of(InvertedIndex.build(corpus, analyzer), queries, k1, b)
 
 
 def topk(scored: DataFrame, k: int = TOP_K) -> DataFrame:

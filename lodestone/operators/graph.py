@@ -22,7 +22,11 @@ from lodestone.operators.knn import DIGITS, query_blocks, ranked
 
 SHARD_ROWS = 100_000
 NONE = -1
-INDEX = "shard int, level int, vec_id long, embedding array<float>, nbrs array<long>, entry boolean"
+#: expanded and distances are the work of a node's own insertion in the last pass.
+INDEX = "shard int, level int, vec_id long, embedding array<float>, nbrs array<long>, entry boolean, expanded long, distances long"
+COLUMNS = [field.split()[0] for field in INDEX.split(", ")]
+#: Entries of the lists that a task searches with at once.
+LIST_ENTRIES = 4_000_000
 
 
 # ---- inside a task ----------------------------------------------------------------------------------------------------
@@ -41,6 +45,8 @@ def search(x: np.ndarray, nbrs: np.ndarray, entries: np.ndarray, queries: np.nda
     Returns ids and distances (query, size; NONE and inf where short), expansions and distance evaluations of each query, and, with
     visits, the expanded nodes of each."""
     n_queries, size = len(queries), max(1, size)
+    if size >= len(x) and not visits:
+        return _search_all(x, nbrs, entries, queries, size)
     ids = np.full((n_queries, size), NONE, np.int64)
     dist = np.full((n_queries, size), np.inf)
     done = np.ones((n_queries, size), bool)
@@ -76,6 +82,28 @@ def search(x: np.ndarray, nbrs: np.ndarray, entries: np.ndarray, queries: np.nda
     return ids, dist, expanded, scored, trail
 
 
+def _reachable(nbrs: np.ndarray, entry: int) -> np.ndarray:
+    reached, front = np.zeros(len(nbrs), bool), np.array([entry])
+    while len(front):
+        reached[front] = True
+        near = np.unique(nbrs[front])
+        front = near[(near != NONE) & ~reached[near]]
+    return np.flatnonzero(reached)
+
+
+def _search_all(x: np.ndarray, nbrs: np.ndarray, entries: np.ndarray, queries: np.ndarray, size: int):
+    """The search whose list rejects nothing: it expands and scores every node that a path reaches, in whatever order."""
+    ids, dist = np.full((len(queries), size), NONE, np.int64), np.full((len(queries), size), np.inf)
+    work = np.zeros(len(queries), np.int64)
+    for entry in np.unique(entries):
+        nodes = _reachable(nbrs, int(entry))
+        for q in np.flatnonzero(entries == entry):
+            d = ((x[nodes] - queries[q]) ** 2).sum(axis=1)
+            order = np.lexsort((nodes, d))
+            ids[q, : len(nodes)], dist[q, : len(nodes)], work[q] = nodes[order], d[order], len(nodes)
+    return ids, dist, work, work.copy(), [[] for _ in queries]
+
+
 def prune(x: np.ndarray, p: int, pool: np.ndarray, alpha: float, degree: int) -> np.ndarray:
     """Neighbours of p: nearest first, each candidate unless one that is kept is nearer to it by a factor alpha than p is."""
     pool = np.unique(pool[pool != p])
@@ -96,17 +124,19 @@ def nearest_to_mean(x: np.ndarray) -> int:
     return int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin())
 
 
-def build(x: np.ndarray, degree: int, size: int, alpha: float, seed: int, batch_share: float = 0.02, passes: tuple[float, ...] | None = None) -> tuple[list[np.ndarray], int]:
-    """Lists of neighbours and the entry node. Two passes, the first with alpha 1."""
+def build(x: np.ndarray, degree: int, size: int, alpha: float, seed: int, batch_share: float = 0.02, passes: tuple[float, ...] | None = None) -> tuple[list[np.ndarray], int, np.ndarray]:
+    """Lists of neighbours, the entry node, and for each node the expansions and distance evaluations of its insertion in the
+    last pass. Two passes, the first with alpha 1."""
     n, rng, entry = len(x), np.random.default_rng(seed), nearest_to_mean(x)
     lists = [_others(rng, n, k, min(degree, n - 1)) for k in range(n)]
-    largest = max(16, int(batch_share * n))
+    largest, work = max(16, int(batch_share * n)), np.zeros((n, 2), np.int64)
     for turn, a in enumerate(passes or (1.0, alpha)):
         order, at, batch = rng.permutation(n), 0, largest if turn else 16
         while at < n:
             points = order[at : at + batch]
             at += len(points)
-            *_, trail = search(x, padded(lists, degree), np.full(len(points), entry), x[points], size, visits=True)
+            _, _, expanded, scored, trail = search(x, padded(lists, degree), np.full(len(points), entry), x[points], size, visits=True)
+            work[points, 0], work[points, 1] = expanded, scored
             new = [prune(x, int(p), np.concatenate([np.array(t, np.int64), lists[p]]), a, degree) for p, t in zip(points, trail, strict=True)]
             back: dict[int, list[int]] = {}
             for p, found in zip(points.tolist(), new, strict=True):
@@ -118,7 +148,7 @@ def build(x: np.ndarray, degree: int, size: int, alpha: float, seed: int, batch_
                 lists[target] = joined if len(joined) <= degree else prune(x, target, joined, a, degree)
             batch = min(largest, 2 * batch)
     _reach_all(x, lists, entry, degree)
-    return lists, entry
+    return lists, entry, work
 
 
 def _others(rng: np.random.Generator, n: int, k: int, count: int) -> np.ndarray:
@@ -168,8 +198,8 @@ def fit(base: DataFrame, degree: int = 64, size: int = 100, alpha: float = 1.2,
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", ignore_index=True)
         ids = rows["vec_id"].to_numpy()
-        lists, entry = build(matrix_of(rows["embedding"]), degree, size, alpha, seed, batch_share)
-        return rows.assign(level=0, nbrs=[ids[found].tolist() for found in lists], entry=np.arange(len(rows)) == entry)[["shard", "level", "vec_id", "embedding", "nbrs", "entry"]]
+        lists, entry, work = build(matrix_of(rows["embedding"]), degree, size, alpha, seed, batch_share)
+        return rows.assign(level=0, nbrs=[ids[found].tolist() for found in lists], entry=np.arange(len(rows)) == entry, expanded=work[:, 0], distances=work[:, 1])[COLUMNS]
 
     return sharded(base, shard_rows).groupBy("shard").applyInPandas(run, INDEX)
 
@@ -185,9 +215,9 @@ def fit_layers(base: DataFrame, m: int = 32, size: int = 200, seed: int = 0, sha
         parts = []
         for level in range(int(top.max()) + 1):
             here = np.flatnonzero(top >= level)
-            lists, entry = build(x[here], 2 * m if level == 0 else m, size, 1.0, seed + level, passes=(1.0,))
-            part = rows.iloc[here].assign(level=level, nbrs=[ids[here[f]].tolist() for f in lists], entry=np.arange(len(here)) == entry)
-            parts.append(part[["shard", "level", "vec_id", "embedding", "nbrs", "entry"]])
+            lists, entry, work = build(x[here], 2 * m if level == 0 else m, size, 1.0, seed + level, passes=(1.0,))
+            part = rows.iloc[here].assign(level=level, nbrs=[ids[here[f]].tolist() for f in lists], entry=np.arange(len(here)) == entry, expanded=work[:, 0], distances=work[:, 1])
+            parts.append(part[COLUMNS])
         return pd.concat(parts)
 
     return sharded(base, shard_rows).groupBy("shard").applyInPandas(run, INDEX)
@@ -211,9 +241,11 @@ def _searching(shared, k: int, sizes: list[int]):
         ids, x, nbrs, _ = layers[-1]
         out = []
         for size in sizes:
-            for start in range(0, len(qids), 256):
-                part = slice(start, start + 256)
-                found, d, expanded, scored, _ = search(x, nbrs, np.searchsorted(ids, at[part]), queries[part], max(size, k))
+            length = max(size, k) if size else max(len(ids), k)
+            step = max(1, min(256, LIST_ENTRIES // length))
+            for start in range(0, len(qids), step):
+                part = slice(start, start + step)
+                found, d, expanded, scored, _ = search(x, nbrs, np.searchsorted(ids, at[part]), queries[part], length)
                 found, d = found[:, :k], d[:, :k]
                 keep = found != NONE
                 row = np.nonzero(keep)[0]
@@ -224,7 +256,8 @@ def _searching(shared, k: int, sizes: list[int]):
 
 
 def search_index(spark: SparkSession, index: DataFrame, queries: DataFrame, k: int = 10, sizes: list[int] | None = None) -> DataFrame:
-    """Nearest k of each query and list size in every shard, with the shard's counters; query blocks of bounded size are broadcast."""
+    """Nearest k of each query and list size in every shard, with the shard's counters; query blocks of bounded size are broadcast.
+    A size of 0 is a list as long as the shard, with which the search is exact: every node can be reached."""
     schema = "size int, qid long, vec_id long, d2 double, expanded long, distances long, shard int"
     out = None
     for block in query_blocks(queries):
@@ -245,6 +278,13 @@ def counters(found: DataFrame) -> DataFrame:
     return each.groupBy("size").agg(F.round(F.avg("e"), DIGITS).alias("mean_expanded"), F.round(F.avg("d"), DIGITS).alias("mean_distances"))
 
 
+def build_counters(index: DataFrame) -> DataFrame:
+    """One row: nodes, shards, and the mean expansions and distance evaluations of a node's insertion in the last pass."""
+    return index.where("level = 0").agg(
+        F.count(F.lit(1)).alias("nodes"), F.countDistinct("shard").alias("shards"), F.count_if("entry").alias("entries"), F.round(F.avg("expanded"), DIGITS).alias("mean_expanded"), F.round(F.avg("distances"), DIGITS).alias("mean_distances")
+    )
+
+
 # ---- on tables --------------------------------------------------------------------------------------------------------
 
 

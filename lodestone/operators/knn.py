@@ -14,6 +14,8 @@ from lodestone.sources.tables import BROADCAST_BYTES
 
 DIGITS = 6
 FOUND = "qid long, vec_id long, d2 double"
+#: Rows and queries of the distances that a task holds at once, 16 MB of doubles.
+TILE_ROWS, TILE_QUERIES = 2048, 1024
 
 
 def query_blocks(queries: DataFrame, most_bytes: int = BROADCAST_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -36,23 +38,44 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
 
 
-def _nearest(shared, k: int, dims: int | None):
+def best_of(best: tuple[np.ndarray, np.ndarray], d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest by (distance, id) of each row's best so far and of new columns d (queries, rows) with their ids. What is
+    beyond the k-th distance goes before anything is sorted; ties at it stay until the ids settle them."""
+    n = len(d)
+    if d.shape[1] > k:
+        edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        keep = d <= edge
+        width = int(keep.sum(axis=1).max())
+        if width < d.shape[1]:
+            # Kept columns to the left, in their order; rows with fewer get columns beyond the edge, which lose below.
+            order = np.argsort(~keep, axis=1, kind="stable")[:, :width]
+            d, ids = np.take_along_axis(d, order, 1), ids[order]
+    all_d = np.hstack([best[0], d])
+    all_ids = np.hstack([best[1], ids if ids.ndim == 2 else np.broadcast_to(ids, (n, len(ids)))])
+    order = np.lexsort((all_ids, all_d), axis=1)[:, :k]
+    return np.take_along_axis(all_d, order, 1), np.take_along_axis(all_ids, order, 1)
+
+
+def _nearest(shared, k: int, dims: int | None, cosine: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
         q = q[:, :dims]
         squares = (q * q).sum(axis=1)
-        best_d, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        best = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column(1))[:, :dims]
-            d2 = np.round(np.maximum(squares[:, None] - 2 * q @ x.T + (x * x).sum(axis=1)[None, :], 0), DIGITS)
-            best_d = np.hstack([best_d, d2])
-            best_id = np.hstack([best_id, np.broadcast_to(batch.column(0).to_numpy(), d2.shape)])
-            order = np.lexsort((best_id, best_d), axis=1)[:, :k] if best_d.shape[1] > k else np.tile(np.arange(best_d.shape[1]), (len(ids), 1))
-            best_d, best_id = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_id, order, 1)
-        if best_d.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_d.shape[1])), pa.array(best_id.ravel()), pa.array(best_d.ravel())], names=["qid", "vec_id", "d2"])
+            for start in range(0, batch.num_rows, TILE_ROWS):
+                part = batch.slice(start, TILE_ROWS)
+                own, x = part.column(0).to_numpy(), matrix(part.column(1))[:, :dims]
+                norms = (x * x).sum(axis=1)
+                tiles = []
+                for at in range(0, len(ids), TILE_QUERIES):
+                    rows = slice(at, at + TILE_QUERIES)
+                    products = q[rows] @ x.T
+                    d = np.round(1 - products if cosine else np.maximum(squares[rows, None] - 2 * products + norms[None, :], 0), DIGITS)
+                    tiles.append(best_of((best[0][rows], best[1][rows]), d, own, k))
+                best = np.vstack([t[0] for t in tiles]), np.vstack([t[1] for t in tiles])
+        if best[0].shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best[0].shape[1])), pa.array(best[1].ravel()), pa.array(best[0].ravel())], names=["qid", "vec_id", "d2"])
 
     return run
 
@@ -63,11 +86,14 @@ def ranked(found: DataFrame, k: int, key: str = "qid", id_: str = "vec_id", dist
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def exact_topk(spark: SparkSession, base: DataFrame, queries: DataFrame, k: int = 10, dims: int | None = None) -> DataFrame:
-    """base (vec_id, embedding), queries (qid, qvec) -> qid, rank, vec_id, d2. Rows between the stages are k for each query and task."""
+def exact_topk(spark: SparkSession, base: DataFrame, queries: DataFrame, k: int = 10, dims: int | None = None, cosine: bool = False) -> DataFrame:
+    """base (vec_id, embedding), queries (qid, qvec) -> qid, rank, vec_id, d2. Rows between the stages are k for each query and task.
+
+    With cosine, d2 is one minus the product of the vectors. A task holds a block of queries with their k best, and distances
+    in tiles of bounded size."""
     out = None
     for block in query_blocks(queries):
-        part = base.select("vec_id", "embedding").mapInArrow(_nearest(spark.sparkContext.broadcast(block), k, dims), FOUND)
+        part = base.select("vec_id", "embedding").mapInArrow(_nearest(spark.sparkContext.broadcast(block), k, dims, cosine), FOUND)
         out = part if out is None else out.union(part)
     out = out if out is not None else spark.createDataFrame([], FOUND)
     return ranked(out, k).select("qid", "rank", "vec_id", "d2")

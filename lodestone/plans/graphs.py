@@ -12,17 +12,18 @@ from lodestone.sources.tables import SQL_VECTORS, base_vectors, load, query_vect
 DEGREE, LIST, ALPHA = 16, 40, 1.2
 POOL, PRUNED = 60, 8
 REGULAR, DRAWS = 8, 64
-NODES = 500
+#: Nodes of the audited edge list; the last have no edges of their own, and some targets are no nodes.
+NODES, SOURCES, TARGETS = 500, 480, 520
 SWEEP = [10, 20, 50, 100]
-#: List size of the search that finds everything in shards up to it.
-WHOLE = 512
+#: A list as long as the shard.
+WHOLE = 0
 
-SQL_EDGES = f"edges_v AS (SELECT l_partkey % {NODES} AS src, (l_suppkey * 7 + l_linenumber) % 520 AS dst FROM lineitem WHERE (l_partkey % {NODES}) % 3 = 0)"
+SQL_EDGES = f"edges_v AS (SELECT l_partkey % {SOURCES} AS src, (l_suppkey * 7 + l_linenumber) % {TARGETS} AS dst FROM lineitem)"
 
 
 def edges(spark, sf_dir):
     """An edge list with self-loops, repeats and targets out of range."""
-    return load(spark, sf_dir, "lineitem").where(f"(l_partkey % {NODES}) % 3 = 0").select((F.col("l_partkey") % NODES).alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 520).alias("dst"))
+    return load(spark, sf_dir, "lineitem").select((F.col("l_partkey") % SOURCES).alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % TARGETS).alias("dst"))
 
 
 def nodes(spark):
@@ -32,16 +33,18 @@ def nodes(spark):
 @query(
     "random_regular_graph",
     f"""WITH {SQL_VECTORS}, top AS (SELECT max(vec_id) + 1 AS n FROM base_v),
-dr AS (SELECT src, dst, min(j) AS j FROM (SELECT vec_id AS src, j, ((vec_id + 17) * 7919 + j * 104729 + (vec_id + 3) * (j + 5) * 31) % 1000003 % n AS dst FROM base_v, range(1, {DRAWS + 1}) r(j), top) WHERE src <> dst GROUP BY src, dst)
+dr AS (SELECT src, dst, min(j) AS j FROM (SELECT vec_id AS src, j, CASE WHEN j > {DRAWS} THEN vec_id + j - {DRAWS} ELSE ((vec_id + 17) * 7919 + j * 104729 + (vec_id + 3) * (j + 5) * 31) % 1000003 END % n AS dst
+  FROM base_v, range(1, {DRAWS + REGULAR + 1}) r(j), top) WHERE src <> dst GROUP BY src, dst)
 SELECT src, dst FROM (SELECT d.src, d.dst, row_number() OVER (PARTITION BY d.src ORDER BY d.j) AS k FROM dr d JOIN base_v b ON b.vec_id = d.dst) WHERE k <= {REGULAR}""",
 )
 def random_regular_graph(spark, sf_dir):
-    """Each vector's first distinct draws by a formula of its id: linear in the vectors, the same on every engine."""
+    """Each vector's first distinct draws by a formula of its id, then the ids that follow its own, so that none runs short: linear
+    in the vectors, the same on every engine. Ids run from 0 without gaps, as row numbers do."""
     base = base_vectors(spark, sf_dir).select("vec_id")
     top = F.broadcast(base.agg((F.max("vec_id") + 1).alias("n")))  # one row
     src = F.col("src")
-    draw = ((src + 17) * 7919 + F.col("j") * 104729 + (src + 3) * (F.col("j") + 5) * 31) % 1000003 % F.col("n")
-    draws = base.select(F.col("vec_id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(DRAWS))).alias("j")).crossJoin(top).select("src", "j", draw.alias("dst")).where("src <> dst")
+    draw = F.when(F.col("j") > DRAWS, src + F.col("j") - DRAWS).otherwise(((src + 17) * 7919 + F.col("j") * 104729 + (src + 3) * (F.col("j") + 5) * 31) % 1000003) % F.col("n")
+    draws = base.select(F.col("vec_id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(DRAWS + REGULAR))).alias("j")).crossJoin(top).select("src", "j", draw.alias("dst")).where("src <> dst")
     known = draws.groupBy("src", "dst").agg(F.min("j").alias("j")).join(base.select(F.col("vec_id").alias("dst")), "dst", "left_semi")
     return known.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("j", "dst"))).alias("d")).select("src", F.explode(F.slice("d", 1, REGULAR)).alias("d")).select("src", "d.dst")
 
@@ -49,7 +52,7 @@ def random_regular_graph(spark, sf_dir):
 @query(
     "robust_prune",
     f"""WITH RECURSIVE {SQL_VECTORS},
-pd AS (SELECT qid AS pid, vec_id AS id, embedding AS v, {sql_l2("embedding", "qvec")} AS d FROM base_v CROSS JOIN query_v),
+pd AS (SELECT qid AS pid, vec_id AS id, embedding AS v, {sql_l2("embedding", "qvec")} AS d FROM base_v JOIN query_v ON vec_id <> qid),
 pool AS (SELECT * FROM (SELECT pid, id, v, d, row_number() OVER (PARTITION BY pid ORDER BY round(d, 6), id) AS i FROM pd) WHERE i <= {POOL}),
 st AS (SELECT qid AS pid, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id BIGINT, v FLOAT[])[]) AS kept FROM query_v
   UNION ALL
@@ -59,8 +62,9 @@ st AS (SELECT qid AS pid, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id BIGINT, v
 SELECT pid, CAST(k - 1 AS BIGINT) AS pos, kept[k].id AS id FROM st, range(1, {PRUNED + 1}) r(k) WHERE i = {POOL} AND k <= len(kept)""",
 )
 def robust_prune(spark, sf_dir):
-    """Every query vector's nearest base vectors, pruned by a fold."""
-    near = knn.exact_topk(spark, base_vectors(spark, sf_dir), query_vectors(spark, sf_dir), POOL).select("qid", "vec_id", "rank")
+    """Every query vector's nearest other vectors, pruned by a fold."""
+    near = knn.exact_topk(spark, base_vectors(spark, sf_dir), query_vectors(spark, sf_dir), POOL + 1).where("vec_id <> qid")
+    near = knn.ranked(near, POOL).select("qid", "vec_id", "rank")
     pairs = near.join(base_vectors(spark, sf_dir).select("vec_id", "embedding"), "vec_id").join(query_vectors(spark, sf_dir), "qid")
     each = pairs.select("qid", F.struct("rank", graph.l2sq("embedding", "qvec").alias("d"), F.col("vec_id").alias("id"), F.col("embedding").alias("v")).alias("c"))
     pools = each.groupBy("qid").agg(F.array_sort(F.collect_list("c")).alias("pool"))
@@ -98,9 +102,19 @@ def graph_build_edges(spark, sf_dir):
     return graph.fit(base_vectors(spark, sf_dir), DEGREE, LIST, ALPHA).select(F.col("vec_id").alias("src"), F.explode("nbrs").alias("dst"))
 
 
+@query(
+    "graph_build_counters",
+    f"WITH {SQL_VECTORS} SELECT count(*) AS nodes, CAST(1 AS BIGINT) AS shards, CAST(1 AS BIGINT) AS entries, true AS expanded_some, true AS scored_more FROM base_v",
+)
+def graph_build_counters(spark, sf_dir):
+    """The build's counters, as far as they hold whatever the graph: an insertion expands a node at least, and scores more than it expands."""
+    found = graph.build_counters(index(spark, sf_dir))
+    return found.select("nodes", "shards", "entries", (F.col("mean_expanded") >= 1).alias("expanded_some"), (F.col("mean_distances") > F.col("mean_expanded")).alias("scored_more"))
+
+
 @query("ann_search_topk", f"WITH {SQL_VECTORS}, {SQL_TOPK} SELECT qid, rank, vec_id, d2 FROM exact")
 def ann_search_topk(spark, sf_dir):
-    """Graph search with a list as long as a small shard, where it is exact: every node is reachable from the entry."""
+    """Graph search with a list as long as the shard, which is exact: every node is reachable from the entry."""
     found = graph.search_index(spark, index(spark, sf_dir), query_vectors(spark, sf_dir), K, [WHOLE])
     return graph.merged(found, K).select("qid", "rank", "vec_id", "d2")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import dot, l2sq, normalized
+from lodestone.functions.vectors import l2sq, normalized
 from lodestone.operators import knn
 from lodestone.registry import query
 from lodestone.sources.tables import SQL_VECTORS, base_vectors, query_vectors, sql_dot, sql_l2, vectors
@@ -89,11 +89,9 @@ def knn_exact_topk(spark, sf_dir):
 SELECT qid, rank, vec_id, round(1 - far, 6) AS cosine FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY far, vec_id) AS rank, vec_id, far FROM c) WHERE rank <= {K}""",
 )
 def cosine_equiv_topk(spark, sf_dir):
-    """On unit vectors the squared distance is twice one minus the cosine, so the ranking by distance is the ranking by cosine."""
-    near = knn.exact_topk(spark, base_vectors(spark, sf_dir), query_vectors(spark, sf_dir), K + 5).select("qid", "vec_id")
-    pairs = near.join(base_vectors(spark, sf_dir).select("vec_id", "embedding"), "vec_id").join(query_vectors(spark, sf_dir), "qid")
-    far = pairs.select("qid", "vec_id", F.round(1 - dot("embedding", "qvec"), 6).alias("far"))
-    return knn.ranked(far, K, distance="far").select("qid", "rank", "vec_id", F.round(1 - F.col("far"), 6).alias("cosine"))
+    """On unit vectors the squared distance is twice one minus the cosine. All rows are ranked by the rounded cosine itself."""
+    near = knn.exact_topk(spark, base_vectors(spark, sf_dir), query_vectors(spark, sf_dir), K, cosine=True)
+    return near.select("qid", "rank", "vec_id", F.round(1 - F.col("d2"), 6).alias("cosine"))
 
 
 def _lists(spark, sf_dir):

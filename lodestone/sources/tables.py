@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 _own: list[str] = []
+_paths: list[str] = []
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +23,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables; a local one only where none is set."""
+    """The shared folder for written intermediate tables; a local one only where none is set and one machine does all the work."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="lodestone-"))
     return _own[0]
@@ -34,21 +38,33 @@ def scratch(spark: SparkSession) -> str:
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: lineage ends here."""
     path = os.path.join(scratch(spark), f"{name}-{uuid.uuid4().hex}")
+    _paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written to the shared folder, and returns how many; results that are read
+    lazily from them have to be written elsewhere before."""
+    jvm, conf, gone = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _paths:
+        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings")
 
 
 def base_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where("vec_id % 10 <> 0")
+    """Every vector is indexed and can be found, the queries' own rows included."""
+    return vectors(spark, sf_dir)
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stated query set: every tenth vector."""
-    return vectors(spark, sf_dir).where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    """The stated query set: every row whose id is divisible by 20, against all rows."""
+    return vectors(spark, sf_dir).where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +126,8 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same views in SQL, for the counterparts of queries.
-SQL_VECTORS = """base_v AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 10 <> 0),
-query_v AS (SELECT vec_id AS qid, embedding AS qvec FROM embeddings WHERE vec_id % 10 = 0)"""
+SQL_VECTORS = """base_v AS (SELECT vec_id, embedding, label FROM embeddings),
+query_v AS (SELECT vec_id AS qid, embedding AS qvec FROM embeddings WHERE vec_id % 20 = 0)"""
 
 SQL_QRELS = """qn AS (SELECT count(*) AS c FROM benchmark),
 qrels_v AS (SELECT query_id, doc_id, CAST(max(relevance) AS BIGINT) AS relevance FROM (

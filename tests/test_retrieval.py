@@ -74,6 +74,48 @@ def test_bm25_formula(spark):
     assert [(r["rank"], r.doc_id) for r in bm25.topk(bm25.scores(corpus, queries), 1).collect()] == [(1, 1)]
 
 
+def test_index_is_kept(spark, tmp_path, monkeypatch):
+    corpus = spark.createDataFrame([(k, f"title {k % 3}", "the running dogs " * (k % 4) + f"of word{k}") for k in range(40)], "doc_id long, title string, text string")
+    queries = spark.createDataFrame([(1, "the runs of dogs"), (2, "word7 title"), (3, None)], "query_id long, query_text string")
+    rows = lambda df: [tuple(r) for r in df.orderBy("query_id", "rank").collect()]
+    plain = bm25.InvertedIndex.build(corpus).save(f"{tmp_path}/plain")
+    assert rows(plain.search(queries, 5)) == rows(bm25.InvertedIndex.load(spark, f"{tmp_path}/plain").search(queries, 5)) == rows(bm25.topk(bm25.scores(corpus, queries), 5))
+    # A vocabulary or weights beyond the limits are joined and not sent: the same rows.
+    monkeypatch.setattr(bm25, "VOCABULARY", 2)
+    monkeypatch.setattr(bm25, "WEIGHTS", 0)
+    assert rows(plain.search(queries, 5)) == rows(bm25.InvertedIndex.load(spark, f"{tmp_path}/plain").search(queries, 5))
+    english = bm25.InvertedIndex.build(corpus, bm25.Analyzer(stop_words=True, stems=True)).save(f"{tmp_path}/english")
+    assert bm25.InvertedIndex.load(spark, f"{tmp_path}/english").analyzer == bm25.Analyzer(True, True)
+    terms = {t for r in english.rows.collect() for t in r.terms}
+    assert {"run", "dog", "titl"} <= terms and not {"the", "of", "running", "dogs"} & terms
+    found = {r.query_id for r in english.search(queries).collect()}
+    assert found == {1, 2} and english.search(queries).where("query_id = 1").count() == 30  # the 30 documents with dogs
+
+
+def test_terms_are_filtered_before_they_are_exploded(spark):
+    docs = spark.createDataFrame([(1, 3, ["a", "b", "a"]), (2, 0, [])], "doc_id long, dl long, terms array<string>")
+    found = bm25.postings(docs, spark.createDataFrame([("a",)], "term string"))
+    assert [tuple(r) for r in found.select("term", "doc_id", "tf").collect()] == [("a", 1, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("lambdafunction") and plan.count("filter(terms") == 1
+    assert bm25.postings(docs, spark.createDataFrame([], "term string")).count() == 0
+
+
+def test_stems():
+    from lodestone.functions.stemming import stem
+
+    pairs = (
+        "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl "
+        "hopping hop falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration "
+        "digitizer digit operator oper feudalism feudal decisiveness decis hopefulness hope formaliti formal triplicate triplic formative form formalize formal "
+        "electrical electr goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust replacement replac adoption adopt "
+        "communism commun activate activ homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll"
+    ).split()
+    for word, want in zip(pairs[::2], pairs[1::2], strict=True):
+        assert stem(word) == want, word
+    assert [stem(w) for w in ("is", "é", "naïve", "1990s", "")] == ["is", "é", "naïve", "1990s", ""]
+
+
 def test_sinks(spark, qrels, tmp_path):
     sinks.write_trec_qrels(qrels, f"{tmp_path}/qrels")
     lines = [r.value for r in spark.read.text(f"{tmp_path}/qrels").collect()]

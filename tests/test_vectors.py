@@ -58,6 +58,38 @@ def test_query_blocks(tables, monkeypatch, spark, truth):
     assert knn.exact_topk(spark, base.where("false"), queries).count() == 0
 
 
+def test_tiles(spark, tables, truth, monkeypatch):
+    """Tiles of any size give the same rows; many equal distances are settled by id."""
+    base, queries = tables
+    rng = np.random.default_rng(3)
+    for rows, k in ((5, 10), (10, 10), (200, 3)):
+        d, ids = rng.integers(0, 4, (7, rows)).astype(float), rng.permutation(1000)[:rows]
+        best = knn.best_of((np.zeros((7, 0)), np.zeros((7, 0), np.int64)), d, ids, k)
+        for at in range(7):
+            order = np.lexsort((ids, d[at]))[:k]
+            assert best[0][at].tolist() == d[at][order].tolist() and best[1][at].tolist() == ids[order].tolist()
+
+
+def test_many_queries_in_bounded_memory():
+    """A block of 50,000 queries against a batch of 10,000 rows: what the task holds is the block, its best and one tile."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    queries, rows = rng.normal(size=(50_000, 8)), rng.normal(size=(4096, 8)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(list(rows), pa.list_(pa.float32()))], names=["vec_id", "embedding"])
+    shared = SimpleNamespace(value=(np.arange(len(queries)), queries))
+    tracemalloc.start()
+    found = next(knn._nearest(shared, 3, None, False)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 150_000 and peak < 200 << 20  # all distances at once would be 1,600 MB
+    first = ((rows.astype(float) - queries[0]) ** 2).sum(axis=1).round(6)
+    assert found.column(1).to_pylist()[:3] == np.lexsort((np.arange(len(rows)), first))[:3].tolist()
+
+
 @pytest.mark.parametrize("shard_rows", [100_000, 400])
 def test_graph(spark, tables, truth, shard_rows):
     base, queries = tables
@@ -84,8 +116,10 @@ def test_graph(spark, tables, truth, shard_rows):
     assert by_size[100] > 0.95 and by_size[20] <= by_size[100] + 0.01
     counts = {r["size"]: r for r in graph.counters(found).collect()}
     assert counts[20].mean_expanded < counts[100].mean_expanded and counts[100].mean_distances < 1500
-    if len(shards) == 1:
-        assert lists(graph.merged(graph.search_index(spark, index, queries, 10, [1500]))) == truth
+    for size in (1500, 0):  # a list as long as the shard finds all, and 0 stands for that length
+        assert lists(graph.merged(graph.search_index(spark, index, queries, 10, [size]))) == truth
+    row = graph.build_counters(index).first()
+    assert (row.nodes, row.shards, row.entries) == (1500, len(shards), len(shards)) and 1 <= row.mean_expanded < row.mean_distances < 1500
 
 
 def test_layers(spark, tables, truth):
@@ -129,6 +163,7 @@ def test_quantisation(spark, tables, clustered, truth):
     found = pq.beam_search_index(spark, index, queries, book, 10, 60, 4, 24).cache()
     assert recall(lists(knn.ranked(found, 10)), truth) > 0.85
     stats_row = pq.io_stats(found).first()
+    assert 0 < stats_row.p50_ms <= stats_row.p95_ms and stats_row.mean_ms > 0 and stats_row.first_ms > 0
     assert abs(stats_row.bytes_read - stats_row.reads * 4096) < 1 and stats_row.full_dists == stats_row.expanded and stats_row.rounds <= stats_row.expanded
     with pytest.raises(ValueError):
         pq.split(np.zeros((1, 10)), 3)
@@ -136,6 +171,19 @@ def test_quantisation(spark, tables, clustered, truth):
         pq.node_bytes(2000, 64)
 
 
+def test_sample_in_parallel(spark, monkeypatch):
+    """The sample is the first rows by digest, whatever the bound lets through, and lies on all cores."""
+    import hashlib
+
+    rows = spark.range(20_000).selectExpr("id AS vec_id")
+    want = sorted(range(20_000), key=lambda k: (hashlib.md5(f"3-{k}".encode()).hexdigest(), k))
+    for n in (50, 9_000, 20_000):
+        found = pq.sample(rows, n, seed=3)
+        assert sorted(r.vec_id for r in found.collect()) == sorted(want[:n]) and found.rdd.getNumPartitions() > 1
+    same = spark.range(20_000).selectExpr("7L AS vec_id")
+    assert pq.sample(same, 300).count() == 300
+
+
 def test_layout(spark, tmp_path):
     base = spark.range(1000).withColumnRenamed("id", "vec_id")
     rows = pq.layout(base, 64, 32)
