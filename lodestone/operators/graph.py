@@ -27,6 +27,8 @@ INDEX = "shard int, level int, vec_id long, embedding array<float>, nbrs array<l
 COLUMNS = [field.split()[0] for field in INDEX.split(", ")]
 #: Entries of the lists that a task searches with at once.
 LIST_ENTRIES = 4_000_000
+#: Distances within pools that a task holds at once.
+PRUNE_ENTRIES = 2_000_000
 
 
 # ---- inside a task ----------------------------------------------------------------------------------------------------
@@ -120,6 +122,34 @@ def prune(x: np.ndarray, p: int, pool: np.ndarray, alpha: float, degree: int) ->
     return np.array(kept, np.int64)
 
 
+def prune_many(x: np.ndarray, points: list[int], pools: list[np.ndarray], alpha: float, degree: int) -> list[np.ndarray]:
+    """prune() of many points in step: their pools side by side, all distances within a pool by one product."""
+    pools = [np.unique(pool[pool != p]) for p, pool in zip(points, pools, strict=True)]
+    out: list[np.ndarray] = []
+    step = max(1, PRUNE_ENTRIES // max([1, *map(len, pools)]) ** 2)
+    for start in range(0, len(points), step):
+        ids = padded(pools[start : start + step], max([1, *map(len, pools[start : start + step])]))
+        own = np.array(points[start : start + step])
+        d = np.where(ids != NONE, ((x[np.maximum(ids, 0)] - x[own][:, None, :]) ** 2).sum(axis=2), np.inf)
+        order = np.lexsort((ids, d), axis=1)
+        ids, d = np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
+        v = x[np.maximum(ids, 0)]
+        squares = (v * v).sum(axis=2)
+        between = squares[:, :, None] + squares[:, None, :] - 2 * v @ v.transpose(0, 2, 1)
+        gone = alpha * alpha * between <= d[:, None, :]  # of each pool: whether the second goes when the first is kept
+        alive, kept = ids != NONE, np.full((len(own), degree), NONE, np.int64)
+        for place in range(degree):
+            rows = np.flatnonzero(alive.any(axis=1))
+            if not len(rows):
+                break
+            at = alive[rows].argmax(axis=1)
+            kept[rows, place] = ids[rows, at]
+            alive[rows] &= ~gone[rows, at]
+            alive[rows, at] = False
+        out += [row[row != NONE] for row in kept]
+    return out
+
+
 def nearest_to_mean(x: np.ndarray) -> int:
     return int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin())
 
@@ -137,15 +167,22 @@ def build(x: np.ndarray, degree: int, size: int, alpha: float, seed: int, batch_
             at += len(points)
             _, _, expanded, scored, trail = search(x, padded(lists, degree), np.full(len(points), entry), x[points], size, visits=True)
             work[points, 0], work[points, 1] = expanded, scored
-            new = [prune(x, int(p), np.concatenate([np.array(t, np.int64), lists[p]]), a, degree) for p, t in zip(points, trail, strict=True)]
+            new = prune_many(x, points.tolist(), [np.concatenate([np.array(t, np.int64), lists[p]]) for p, t in zip(points, trail, strict=True)], a, degree)
             back: dict[int, list[int]] = {}
             for p, found in zip(points.tolist(), new, strict=True):
                 lists[p] = found
                 for target in found.tolist():
                     back.setdefault(target, []).append(p)
+            full: dict[int, np.ndarray] = {}
             for target, sources in back.items():
-                joined = np.concatenate([lists[target], [s for s in sources if s not in set(lists[target].tolist())]]).astype(np.int64)
-                lists[target] = joined if len(joined) <= degree else prune(x, target, joined, a, degree)
+                held = set(lists[target].tolist())
+                joined = np.concatenate([lists[target], [s for s in sources if s not in held]]).astype(np.int64)
+                if len(joined) <= degree:
+                    lists[target] = joined
+                else:
+                    full[target] = joined
+            for target, kept in zip(full, prune_many(x, list(full), list(full.values()), a, degree), strict=True):
+                lists[target] = kept
             batch = min(largest, 2 * batch)
     _reach_all(x, lists, entry, degree)
     return lists, entry, work

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph, knn, lsh
@@ -93,8 +94,16 @@ def graph_degree_stats(spark, sf_dir):
     return graph.audit(edges(spark, sf_dir), nodes(spark), 64)
 
 
+_graphs: dict[tuple[str, str], DataFrame] = {}
+
+
 def index(spark, sf_dir):
-    return written(spark, graph.fit(base_vectors(spark, sf_dir), DEGREE, LIST, ALPHA), "graph")
+    """The graph of a folder's vectors: it is built and written once an application and serves every search, as a saved index
+    does. A folder whose vectors change needs another path or application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _graphs:
+        _graphs[key] = written(spark, graph.fit(base_vectors(spark, sf_dir), DEGREE, LIST, ALPHA), "graph")
+    return _graphs[key]
 
 
 @query("graph_build_edges")

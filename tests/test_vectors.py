@@ -140,6 +140,12 @@ def test_prune_by_definition(clustered):
             want.append(near)
             left = [k for k in left if 1.2**2 * ((x[k] - x[near]) ** 2).sum() > ((x[k] - x[p]) ** 2).sum()]
         assert kept.tolist() == want
+    points, pools = list(range(60)), [np.arange(p % 7, 40 + 3 * p) for p in range(60)]
+    for entries in (1, 2_000_000):
+        graph.PRUNE_ENTRIES, before = entries, graph.PRUNE_ENTRIES
+        assert [k.tolist() for k in graph.prune_many(x, points, pools, 1.2, 8)] == [graph.prune(x, p, pool, 1.2, 8).tolist() for p, pool in zip(points, pools)]
+        graph.PRUNE_ENTRIES = before
+    assert [k.tolist() for k in graph.prune_many(x, [3, 4], [np.array([3]), np.array([4, 5])], 1.2, 8)] == [[], [5]]
 
 
 def test_audit_of_planted_defects(spark):
