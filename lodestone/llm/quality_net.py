@@ -110,6 +110,20 @@ def features(text: str | None, vectors: np.ndarray) -> np.ndarray:
     return np.concatenate([share @ vectors[used], own, [np.log(np.linalg.norm(own) + 1e-3), np.log((share**2).sum()), np.log1p(len(at)), same]])
 
 
+def loss(z: np.ndarray, y: np.ndarray, parts: list[np.ndarray], decay: float) -> float:
+    """Mean log loss of rows z, and half the decay times the squares of the weights."""
+    logits = np.tanh(z @ parts[0] + parts[1]) @ parts[2] + parts[3]
+    return float(np.logaddexp(0, np.where(y > 0, -logits, logits)).mean() + decay / 2 * ((parts[0] ** 2).sum() + (parts[2] ** 2).sum()))
+
+
+def gradients(z: np.ndarray, y: np.ndarray, parts: list[np.ndarray], decay: float) -> tuple[np.ndarray, ...]:
+    """Of loss(), by each of the four parts."""
+    hidden = np.tanh(z @ parts[0] + parts[1])
+    error = (1 / (1 + np.exp(-np.clip(hidden @ parts[2] + parts[3], -60, 60))) - y) / len(y)
+    back = np.outer(error, parts[2]) * (1 - hidden**2)
+    return z.T @ back + decay * parts[0], back.sum(axis=0), hidden.T @ error + decay * parts[2], error.sum(keepdims=True)
+
+
 class Network:
     """Two layers: tanh, then a logit; inputs are standardised."""
 
@@ -140,11 +154,8 @@ class Network:
             order = rng.permutation(len(ty))
             for k in range(0, len(order), 64):
                 rows = order[k : k + 64]
-                hidden = np.tanh(z[rows] @ parts[0] + parts[1])
-                error = (1 / (1 + np.exp(-np.clip(hidden @ parts[2] + parts[3], -60, 60))) - ty[rows]) / len(rows)
-                back = np.outer(error, parts[2]) * (1 - hidden**2)
                 step += 1
-                for n, g in enumerate((z[rows].T @ back + decay * parts[0], back.sum(axis=0), hidden.T @ error + decay * parts[2], error.sum(keepdims=True))):
+                for n, g in enumerate(gradients(z[rows], ty[rows], parts, decay)):
                     first[n] = 0.9 * first[n] + 0.1 * g
                     second[n] = 0.999 * second[n] + 0.001 * g * g
                     parts[n] = parts[n] - rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)

@@ -1,6 +1,9 @@
 """Language models, the quality network and token counts."""
 
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -37,6 +40,62 @@ def test_language_counts_cover_all_rows(spark, monkeypatch):
     assert {g: n for (lang, g), n in found.items() if lang == "en"} == dict(zip(grams.view(np.int64).tolist(), counts.tolist()))
 
 
+def naive_kneser_ney(words):
+    """Chances by the definition, from dictionaries: a word's letters and its end, each after the three characters before it."""
+    from collections import Counter, defaultdict
+
+    padded = lambda w: [("   " + w + " ")[i - 3 : i + 1] for i in range(3, len(w) + 4)]
+    levels, counts = {}, Counter(g for w in words for g in padded(w))
+    for k in (4, 3, 2, 1):
+        once, twice = (sum(c == n for c in counts.values()) for n in (1, 2))
+        discount = min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.5))
+        totals, types = Counter(), Counter()
+        for g, c in counts.items():
+            totals[g[:-1]] += c
+            types[g[:-1]] += 1
+        levels[k] = (counts, totals, types, discount)
+        before = defaultdict(set)
+        for g in counts:
+            before[g[1:]].add(g[0])
+        counts = {g: len(s) for g, s in before.items()}
+    alphabet = len(levels[1][0]) + 1
+
+    def chance(g):
+        if not g:
+            return 1 / alphabet
+        counts, totals, types, discount = levels[len(g)]
+        lower = chance(g[1:])
+        if g[:-1] not in totals:
+            return lower
+        return max(counts.get(g, 0) - discount, 0) / totals[g[:-1]] + discount * types[g[:-1]] / totals[g[:-1]] * lower
+
+    return lambda asked: -sum(math.log2(chance(g)) for w in asked for g in padded(w)) / sum(len(w) + 1 for w in asked)
+
+
+def test_language_query_against_naive(spark):
+    """The query's predictions are those of Kneser-Ney models written out by their definition and fitted to the same rows."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    held = lambda r: zlib.crc32(str(r.doc_id).encode()) % 3 == 1
+    taught = {}
+    for r in rows:
+        if r.lang is not None and not held(r):
+            taught.setdefault(r.lang, []).extend(words(r.text))
+    models = {lang: naive_kneser_ney(w) for lang, w in sorted(taught.items())}
+    found = {r.doc_id: r for r in language.op7_query(spark, sf).collect()}
+    assert len(found) == len(rows)
+    for r in [r for r in rows if len(r.text or "") < 4000][:60]:
+        asked, got = words(r.text), found[r.doc_id]
+        assert got.held_out == held(r)
+        if not asked:
+            assert got.lang_pred == "und"
+            continue
+        entropies = {lang: model(asked) for lang, model in models.items()}
+        best = min(entropies, key=entropies.get)
+        assert got.lang_pred == best and abs(got.entropy - entropies[best]) < 1e-9
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     found = language.op7_query(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
@@ -95,6 +154,52 @@ def test_context_sums_against_naive():
     assert np.allclose(quality_net.context_sums(docs), want)
 
 
+def test_pooling_against_naive():
+    """A document is the mean of its words' context vectors and of their own vectors, and four numbers."""
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(quality_net.BUCKETS, quality_net.CONTEXT))
+    places, signs = quality_net.index_vectors(quality_net.OWN)
+    for text in ("one", "one two two three", "a b a b, a! a! a!", "Öl öl 12 12 12"):
+        words = quality_net.buckets_of(text)
+        own = np.zeros(quality_net.OWN)
+        for w in words:
+            for k in range(2):
+                own[places[w, k]] += signs[w, k] / len(words)
+        shares = [sum(w == v for w in words) / len(words) for v in set(words.tolist())]
+        same = np.mean([a == b for a, b in zip(words, words[1:])]) if len(words) > 1 else 0
+        last = [np.log(np.linalg.norm(own) + 1e-3), np.log(sum(x * x for x in shares)), np.log1p(len(words)), np.log(same + 1e-3)]
+        assert np.allclose(quality_net.features(text, vectors), np.concatenate([vectors[words].mean(axis=0), own, last]))
+    assert not quality_net.features(None, vectors).any()
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(3)
+    z, y = rng.normal(size=(12, 5)), rng.integers(0, 2, 12).astype(float)
+    parts = [rng.normal(size=(5, 4)), rng.normal(size=4), rng.normal(size=4), rng.normal(size=1)]
+    for n, gradient in enumerate(quality_net.gradients(z, y, parts, 0.01)):
+        for place in np.ndindex(parts[n].shape):
+            ends = []
+            for step in (1e-6, -1e-6):
+                moved = [p.copy() for p in parts]
+                moved[n][place] += step
+                ends.append(quality_net.loss(z, y, moved, 0.01))
+            assert abs((ends[0] - ends[1]) / 2e-6 - gradient[place]) < 1e-6
+
+
+def test_quality_query_against_one_process(spark):
+    """The query's scores are those of vectors, features and network made in one process from the whole tables."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = sorted((r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None and r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 5)
+    sums = quality_net.context_sums([quality_net.buckets_of(t) for t in docs.values()])
+    network = quality_net.Network(sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9))
+    network.fit(np.stack([quality_net.features(docs[d], network.vectors) for d, _ in labels]), np.array([q for _, q in labels], float))
+    want = dict(zip(docs, network.scores(list(docs.values())), strict=True))
+    found = quality_net.op8_query(spark, sf).collect()
+    assert len(found) == len(docs) and max(abs(r.score - want[r.doc_id]) for r in found) < 1e-6
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     found = quality_net.op8_query(spark, sf)
