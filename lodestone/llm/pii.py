@@ -40,6 +40,7 @@ MAX_TOKENS = 16
 #: Words on either side of an anchor: more tokens than a segment, the cue words before it and the neighbours of its ends.
 WINDOW = MAX_TOKENS + 8
 LONG_RUN = 16
+LONGEST_ADDRESS = 254
 
 Span = tuple[str, int, int]
 
@@ -89,8 +90,9 @@ def base_spans(text: str) -> list[Span]:
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 ANCHOR = re.compile(rf"[0-9@]+|\w{{{LONG_RUN},}}|dot|DOT")
-#: Runs that may be one secret in several tokens, as unique identifiers are.
-HYPHENED = re.compile(rf"(?=[\w-]{{{LONG_RUN},}})\w+(?:-\w+)+")
+#: Runs that may be one secret in several tokens, as unique identifiers are, if they are long. Linear in the text: a match starts where
+#: a word does, and gives nothing back.
+HYPHENED = re.compile(r"(?<!\w)\w++(?:-\w++)++")
 #: Words that announce a kind when they stand within four tokens before a segment (fixed values).
 CUES = {
     "email": {"email", "mail", "contact", "write", "e"},
@@ -128,9 +130,8 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int, c
     names = ["bias", "one_token" if j == i + 1 else "many_tokens"]
     joined = s.replace(" ", "")
     digits = only_digits(s)
-    if "at" in s or "AT" in s:
-        if SPELLED.match(s):
-            names.append("spelled_address")
+    if len(s) <= LONGEST_ADDRESS and ("at" in s or "AT" in s) and ("dot" in s or "DOT" in s) and SPELLED.match(s):
+        names.append("spelled_address")
     if "@" in s:
         names.append("has_at")
     if digits:
@@ -193,11 +194,13 @@ JOINERS = {"at", "dot", "@"}
 def joinable(words: list[str], hyphened: list[bool]) -> list[bool]:
     """Whether a token may be one of several in a segment: digits, marks, capitals with digits (as in account numbers), parts of a
     long hyphened run with digits, and words that stand by an "at", a "dot" or an @, brackets between them or not."""
-    hinge = [w.lower() in JOINERS or w == "." for w in words]
+    n, hinge = len(words), [w == "." or w.lower() in JOINERS for w in words]
     out = []
     for k, w in enumerate(words):
-        near = {k - 1, k + 1} | ({k - 2} if k > 0 and words[k - 1] in "[]()" else set()) | ({k + 2} if k + 1 < len(words) and words[k + 1] in "[]()" else set())
-        out.append(hyphened[k] or not w.isalnum() or w.isdigit() or w == w.upper() or hinge[k] or any(0 <= n < len(words) and hinge[n] for n in near))
+        alone = hyphened[k] or not w.isalnum() or w.isdigit() or w == w.upper()
+        beside = hinge[k] or (k > 0 and hinge[k - 1]) or (k + 1 < n and hinge[k + 1])
+        beyond = (k > 1 and hinge[k - 2] and words[k - 1] in "[]()") or (k + 2 < n and hinge[k + 2] and words[k + 1] in "[]()")
+        out.append(alone or beside or beyond)
     return out
 
 
@@ -215,13 +218,15 @@ def lattice(text: str, tokens: list[tuple[int, int]], blocked: list[bool], ancho
     """Candidate segments (first token, end token, features). None holds a blocked token; each starts at a word or an opening
     mark, and those of several tokens hold only such as can be joined. With anchored, each holds an anchored token."""
     words = [text[a:b] for a, b in tokens]
-    runs = [m.span() for m in HYPHENED.finditer(text, tokens[0][0], tokens[-1][1]) if DIGIT.search(m.group())] if tokens else []
+    runs = [m.span() for m in HYPHENED.finditer(text, tokens[0][0], tokens[-1][1]) if m.end() - m.start() >= LONG_RUN and DIGIT.search(m.group())] if tokens else []
     lowered, joins = [w.lower() for w in words], joinable(words, overlapping(tokens, runs))
     out = []
     for i in range(len(tokens)):
         first = text[tokens[i][0]]
         if blocked[i] or not (first.isalnum() or first in "+("):
             continue
+        if anchored is not None and not (anchored[i] or joins[i]):
+            continue  # it stands alone, and without an anchor
         cues, held = None, anchored is None
         for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
             if blocked[j - 1]:
@@ -421,33 +426,21 @@ def field_spans(text: str, base: list[Span], weights: np.ndarray, pruned: bool |
 
 def windows(text: str, anchors: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """WINDOW words about each anchor, from space to space, those that meet as one. A word is a token at least."""
-    lo, hi = 0, -1
-    for a, b in anchors:
-        if hi >= 0 and a > hi:
-            start = a
-            for _ in range(WINDOW):
-                start = text.rfind(" ", hi, start)
-                if start < 0:
-                    break
-            if start >= 0:
-                yield lo, hi
-                lo, hi = start, -1
-        elif hi < 0:
-            lo = a
-            for _ in range(WINDOW):
-                lo = text.rfind(" ", 0, lo)
-                if lo < 0:
-                    lo = 0
-                    break
-        end = b
-        for _ in range(WINDOW):
-            end = text.find(" ", end + 1)
-            if end < 0:
-                end = len(text)
-                break
-        hi = max(hi, end)
-    if hi >= 0:
-        yield lo, hi
+    if not anchors:
+        return
+    parts = text.split(" ")
+    spaces = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) + np.arange(len(parts))  # the last is the text's end
+    places = np.array(anchors)
+    first = np.searchsorted(spaces, places[:, 0]) - WINDOW
+    starts = np.where(first >= 0, spaces[np.maximum(first, 0)], 0).tolist()
+    ends = spaces[np.minimum(np.searchsorted(spaces, places[:, 1]) + WINDOW, len(spaces) - 1)].tolist()
+    lo, hi = starts[0], ends[0]
+    for start, end in zip(starts, ends, strict=True):
+        if start > hi:
+            yield lo, hi
+            lo = start
+        hi = end
+    yield lo, hi
 
 
 def all_spans(text: str | None, weights: np.ndarray, pruned: bool | None = None) -> tuple[list[Span], list[Span]]:

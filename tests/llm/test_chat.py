@@ -61,3 +61,13 @@ def test_odd_rows(spark, folder):
 def test_empty_table(spark, folder):
     found = chat.op2_query(spark, folder(conversations=spark.createDataFrame([], TURNS))).collect()
     assert [r.conv_id for r in found] == [-1]
+
+
+def test_clashing_columns(spark, folder):
+    """Columns that the operator's own steps are named after, beside the four it reads."""
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (None, 0, None, None)]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    crowded = plain.selectExpr("*", *[f"'{n}' AS `{n}`" for n in ("turns", "pieces", "loss", "formatted", "loss_text", "t", "at")])
+    found = chat.op2_query(spark, folder(conversations=crowded)).collect()
+    want = chat.read_back(chat.formatted(plain)).select("conv_id", "formatted").collect()
+    assert {(r.conv_id, r.formatted_chars) for r in found if r.conv_id != -1} == {(r.conv_id, len(r.formatted)) for r in want}

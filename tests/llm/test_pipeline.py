@@ -45,3 +45,47 @@ def test_odd_tables(spark, crowded, empty, folder):
         assert stage(spark, docs, sf).count() > 0
         assert stage(spark, empty, sf).count() == 0
     assert c.run(spark, sf).count() > 0
+
+
+def test_cleanup(spark):
+    from lodestone.llm import base
+
+    kept = base.materialize(spark, spark.range(5).toDF("a"), "kept")
+    path = base._written[-1]
+    assert kept.count() == 5 and base.cleanup(spark) >= 1 and base._written == []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def test_shared_folder_has_to_be_named_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from lodestone.llm import base
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        base.shared_dir(Session())
+
+
+def test_tables_of_words_are_bounded_and_let_go():
+    from lodestone.llm import base
+
+    made = []
+    one, other = base.Memo(lambda k: made.append(k) or len(k), 2000), base.Memo(len)
+    other["x"]
+    for k in range(100):
+        assert one[f"word{k}"] == len(f"word{k}")
+    assert len(one) <= 10 and one.held <= 2000
+    assert one["y" * 1000] == 1000 and "y" * 1000 not in one
+    base.claim(one)
+    assert len(one) and not other
+    base.Memo.known.remove(one)
+    base.Memo.known.remove(other)
