@@ -2,7 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared folder and
 reads it back as the next stage's docs, so a lost executor never costs more than one stage. Every stage works on all rows
-its predecessor kept; all but the last return the columns of documents."""
+its predecessor kept; all but the last return the columns of documents, whatever their names, with those names.
+
+Defined results: a document with a null or empty text, or of fewer than 20 words, is rejected by the quality rules. Rows with
+a null doc_id are judged like others but are never near-duplicates of anything. Of rows with equal doc_ids, all go or all stay in
+near_dedup; exact copies under different ids leave the smallest id. Ties go to the smaller id. A text is worked on whole, however
+long, in one task. Empty tables give empty results at every stage, and without benchmark items nothing is a leak.
+
+Every stage writes to spark.checkpoint.dir; lodestone.llm.base.cleanup(spark) deletes what a process has written there, once
+the last result is stored elsewhere."""
 
 from __future__ import annotations
 
