@@ -13,8 +13,8 @@
 
 What step 4 sends: with B members to a block, a member of the largest component goes to one task for every B members outside
 it, and one of these to a task for every B members of the bucket. A million near copies and one straggler are a million rows
-and a thousand. Where no component dominates, work is the product of what has to be compared. Texts are shuffled once; their sets
-are what is sent. A hot bucket or a text with many partners is dealt over salts before it is joined.
+and a thousand. Where no component dominates, work is the product of what has to be compared. Texts are read again for candidates
+alone; of clusters, the sets are sent. A hot bucket or a text with many partners is dealt over salts before it is joined.
 
 A pair at the threshold of 0.85 shares no band with probability (1 - 0.85^4)^32 < 1e-10; nothing else loses links: no
 cap holds on buckets, partners or candidates.
@@ -292,16 +292,16 @@ def links(spark: SparkSession, reps: DataFrame, texts: DataFrame, percent: int =
     """reps (doc_id, bands, signature) of classes -> (id, component) for every class that is not the smallest of its component."""
     floor = estimate_floor(percent / 100)
     members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    buckets = materialize(spark, members.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    buckets = members.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(spark, members.join(buckets, "key"), "members")
     signatures = reps.select(F.col("doc_id").alias("id"), "signature")
-    # The texts are shuffled once, whatever their number, and only members of buckets are kept.
-    texts = materialize(spark, texts.join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
-
     stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     signed_pairs = stars.join(signatures.withColumnRenamed("id", "b").withColumnRenamed("signature", "sig_b"), "b").join(signatures.withColumnRenamed("id", "a").withColumnRenamed("signature", "sig_a"), "a").select("a", "b", "sig_a", "sig_b")
     stars = materialize(spark, signed_pairs.mapInArrow(_candidates(floor), "a long, b long"), "candidates")
-    edges = materialize(spark, confirmed(spark, stars, texts, percent), "links")
+    # Only texts of candidates are kept: the ids are broadcast where Spark finds them small, else the texts are shuffled once.
+    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select(F.col("b").alias("doc_id"))).distinct()
+    kept_texts = materialize(spark, texts.join(materialize(spark, wanted, "wanted"), "doc_id", "left_semi"), "texts")
+    edges = materialize(spark, confirmed(spark, stars, kept_texts, percent), "links")
     comps = components(spark, edges)
 
     # In a bucket of two the only pair has been tried.
@@ -314,7 +314,7 @@ def links(spark: SparkSession, reps: DataFrame, texts: DataFrame, percent: int =
     ties = active.where("component <> root").select(F.col("root").alias("a"), F.col("component").alias("b"))
     clusters = components(spark, ties).withColumnRenamed("id", "member")
     own = active.select("id", F.col("component").alias("own")).distinct()
-    sets = materialize(spark, texts.join(own.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, size long, set binary"), "sets")
+    sets = materialize(spark, texts.join(materialize(spark, own.select(F.col("id").alias("doc_id")).distinct(), "wanted"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, size long, set binary"), "sets")
     clustered = own.join(clusters, F.col("member") == F.col("own"), "left").join(sets.select("id", "size"), "id")
     clustered = clustered.select(F.coalesce("component", "own").alias("key"), "id", F.col("own").alias("component"), (1 + F.col("size") / SET_SHARE).alias("weight"))
     pairs = in_block_pairs(materialize(spark, clustered, "clusters")).join(signatures, "id").join(sets.select("id", "set"), "id")
