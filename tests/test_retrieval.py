@@ -99,6 +99,8 @@ def test_terms_are_filtered_before_they_are_exploded(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("lambdafunction") and plan.count("filter(terms") == 1
     assert bm25.postings(docs, spark.createDataFrame([], "term string")).count() == 0
+    quoted = spark.createDataFrame([(1, 3, ["it's", "a\\b", "'"])], "doc_id long, dl long, terms array<string>")
+    assert bm25.postings(quoted, spark.createDataFrame([("it's",), ("a\\b",), ("é",)], "term string")).count() == 2
 
 
 def test_stems():
