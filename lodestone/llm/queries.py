@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, decontaminate, language, minhash, packing, pii, quality_net, quality_rules, token_counts, wavelet
+from lodestone.llm import chat, decontaminate, hard_negatives, language, minhash, packing, pii, quality_net, quality_rules, token_counts, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_net": quality_net.op8_query,
         "op9_quality_rules": quality_rules.op9_query,
         "op10_token_counts": token_counts.op10_query,
+        "op12_hard_negatives": hard_negatives.op12_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.OP2_SQL}
+    return {"op2_chat_format": chat.OP2_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL}
