@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe, chat, decontaminate, hard_negatives, language, minhash, packing, pii, quality_net, quality_rules, token_counts, wavelet
+from lodestone.llm import byte_bpe, chat, decontaminate, hard_negatives, language, minhash, packing, pii, quality_net, quality_rules, spelling, token_counts, wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_counts": token_counts.op10_query,
         "op11_byte_bpe": byte_bpe.op11_query,
         "op12_hard_negatives": hard_negatives.op12_query,
+        "op13_spelling": spelling.op13_query,
     }
 
 
