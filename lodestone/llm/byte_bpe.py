@@ -20,14 +20,18 @@ import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from lodestone.llm.base import Memo, claim, doc_text, spread, table
+from lodestone.llm.base import ENTRY_BYTES, LONGEST, Memo, claim, columns_of, doc_text, spread, table
 
-#: Bytes of the table of matches, and pairs of entries, that a process remembers, some 60 MB each.
-PIECE_BYTES, PAIRS = 64 << 20, 500_000
+#: Bytes of each of the two tables of matches, and pairs of entries (some 35 MB), that a process remembers.
+PIECE_BYTES, PAIRS = 40 << 20, 300_000
+#: Rows whose ids are handed on at once.
+SLICE_ROWS = 256
 #: The letters, numbers and white space of Latin-1 as the pattern's classes have them (fixed values).
 LETTERS, NUMBERS, SPACES = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 NONE = -1
@@ -103,6 +107,32 @@ class Pairs(dict):
         return False
 
 
+class Pieces(Memo):
+    """A match -> its ids as little-endian 32-bit integers. When the table is full it becomes the former one, in which what is still in
+    use is found, instead of being forgotten at once."""
+
+    def __init__(self, make, most_bytes: int = PIECE_BYTES):
+        super().__init__(make, most_bytes)
+        self.former: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.former.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            self.held += ENTRY_BYTES + len(key)
+            if self.held > self.most:
+                self.former = dict(self)
+                self.clear()
+                self.held = ENTRY_BYTES + len(key)
+            self[key] = value
+        return value
+
+    def empty(self) -> None:
+        super().empty()
+        self.former = {}
+
+
 class Encoder:
     """The entries of a file of ranks, with what is remembered of texts."""
 
@@ -113,24 +143,33 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.entries = {rank: entry for entry, rank in self.ranks.items()}
         self.any, self.latin = regex.compile(pattern), re.compile(latin(pattern))
-        self.reached: dict[str, int] = {}
+        reached: dict[str, int] = {}
         parts: dict[int, tuple[int, int]] = {}
         for entry, rank in self.ranks.items():
             left, last = merges(entry, self.ranks)
             if left == [entry]:
-                self.reached[entry.decode("latin-1")] = rank
+                reached[entry.decode("latin-1")] = rank
                 if last:
                     parts[rank] = self.ranks[last[0]], self.ranks[last[1]]
                     if max(parts[rank]) > rank:
                         raise ValueError(f"{path}: entry {rank} is made of later ones")
-        self.trie = ahocorasick.Automaton()
-        for letters, rank in self.reached.items():
-            self.trie.add_word(letters, rank)
-        self.longest, self.length = max(map(len, self.reached)), {rank: len(letters) for letters, rank in self.reached.items()}
-        #: The longest entry that an entry begins with, itself left out.
-        self.shorter = {rank: next((self.reached[letters[:n]] for n in range(len(letters) - 1, 0, -1) if letters[:n] in self.reached), NONE) for letters, rank in self.reached.items()}
+        if not all(chr(k) in reached for k in range(256)):
+            raise ValueError(f"{path}: a byte has no entry")
+        trie = ahocorasick.Automaton()
+        for letters, rank in reached.items():
+            trie.add_word(letters, rank)
+        self.on_path = trie.longest_prefix
+        self.most, self.length = max(map(len, reached)), {rank: len(letters) for letters, rank in reached.items()}
+        #: The longest entry that a path in the trie begins with, and that an entry begins with, itself left out.
+        self.longest: dict[str, int] = {}
+        for letters in sorted(reached):
+            for n in range(1, len(letters) + 1):
+                path_ = letters[:n]
+                if path_ not in self.longest:
+                    self.longest[path_] = reached.get(path_, self.longest.get(path_[:-1], NONE))
+        self.shorter = {rank: self.longest.get(letters[:-1], NONE) for letters, rank in reached.items()}
         self.pairs = Pairs(self.entries, self.ranks, parts)
-        self.pieces = Memo(self._ids, PIECE_BYTES)
+        self.pieces = Pieces(self._ids)
 
     def _ids(self, piece: str) -> bytes:
         raw = piece.encode()
@@ -138,34 +177,33 @@ class Encoder:
         return array.array("i", [whole] if whole is not None else self.laid(raw.decode("latin-1"))).tobytes()
 
     def first(self, letters: str, at: int) -> int:
-        """The longest entry at a place."""
-        part = letters[at : at + self.longest]
-        n = self.trie.longest_prefix(part)  # of a path in the trie, which may end short of an entry
-        while n and part[:n] not in self.reached:
-            n -= 1
-        return self.reached[part[:n]] if n else NONE
+        """The longest entry at a place: the trie gives the longest path, which may end short of an entry."""
+        part = letters[at : at + self.most]
+        return self.longest[part[: self.on_path(part)]]
 
     def laid(self, letters: str) -> list[int]:
-        """The ids that merging gives for some bytes, written as Latin-1 letters."""
-        length, shorter, pairs = self.length, self.shorter, self.pairs
+        """The ids that merging gives for some bytes, one or more, written as Latin-1 letters."""
+        length, shorter, pairs, first = self.length, self.shorter, self.pairs, self.first
         out: list[int] = []
         dead: set[int] = set()
-        at, entry = 0, self.first(letters, 0)
-        while at < len(letters):
-            while entry != NONE and (at + length[entry] in dead or out and not pairs[out[-1] << 32 | entry]):
+        at, last, entry = 0, NONE, first(letters, 0)
+        while True:
+            end = at + length[entry]
+            while last != NONE and not pairs[last << 32 | entry] or dead and end in dead:
                 entry = shorter[entry]
+                if entry == NONE:
+                    break
+                end = at + length[entry]
             if entry != NONE:
                 out.append(entry)
-                at += length[entry]
-                entry = self.first(letters, at)
-            elif out:
+                if end == len(letters):
+                    return out
+                at, last, entry = end, entry, first(letters, end)
+            while entry == NONE:
                 dead.add(at)
                 entry = out.pop()
                 at -= length[entry]
-                entry = shorter[entry]
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-        return out
+                last, entry = out[-1] if out else NONE, shorter[entry]
 
     def split(self, text: str) -> list[str]:
         try:
@@ -178,9 +216,6 @@ class Encoder:
         """Ids of the whole text as little-endian 32-bit integers."""
         return b"".join(map(self.pieces.__getitem__, self.split(text or "")))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.entries.__getitem__, ids))
-
 
 @functools.cache
 def encoder(path: str, pattern: str) -> Encoder:
@@ -194,36 +229,53 @@ def opened(path: str, pattern: str) -> Encoder:
     return found
 
 
-def encoded(docs: DataFrame, into: str = "ids", path: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
-    """docs with the ids of each text, an array of integers."""
+@functools.cache
+def entries(path: str) -> dict[int, bytes]:
+    return {rank: entry for entry, rank in read_ranks(path).items()}
+
+
+def bytes_of(ids: list[int], entries: dict[int, bytes]) -> bytes:
+    return b"".join(map(entries.__getitem__, ids))
+
+
+def encoded(docs: DataFrame, into: str = "ids", back: str | None = None, path: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
+    """docs with the ids of each text, an array of integers, and where `back` names a column, with the bytes that these ids decode to."""
     path, pattern = path or default_ranks(), pattern or default_pattern()
+    # The other columns go through as one, whatever they are named.
+    named = dict(zip(docs.columns, columns_of(docs), strict=True))
+    others = [F.lit(0).alias("none"), *[named[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text]]
+    through = docs.select(F.struct(*others).alias("row"), named[text].alias("text"))
+    schema = StructType([*through.schema, StructField("ids", ArrayType(IntegerType())), StructField("back", BinaryType())])
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = opened(path, pattern)
-        for texts in batches:
-            ids = [known.encode(t) for t in texts.to_pylist()]
-            offsets = [0]
-            for found in ids:
-                offsets.append(offsets[-1] + len(found) // 4)
-            values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(ids))])
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                raw = [known.encode(t) for t in part.column(1).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in raw])]).astype(np.int32)
+                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(raw))])
+                bytes_ = [bytes_of(memoryview(ids).cast("i").tolist(), known.entries) if back else None for ids in raw]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(bytes_, pa.binary())], names=schema.names)
 
-    return docs.withColumn(into, F.arrow_udf(run, "array<int>")(text))
+    found = through.mapInArrow(run, schema)
+    rows = [(F.col("text") if c == text else F.col("row").getField(f"c{k}")).alias(c) for k, c in enumerate(docs.columns)]
+    return found.select(*rows, F.col("ids").alias(into), *([F.col("back").alias(back)] if back else []))
 
 
-def decoded(rows: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
+def decoded(rows: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None) -> DataFrame:
     """rows with the bytes that their ids stand for."""
-    path, pattern = path or default_ranks(), pattern or default_pattern()
+    path = path or default_ranks()
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = opened(path, pattern)
+        known = entries(path)
         for lists in batches:
-            yield pa.array([known.decode(found or []) for found in lists.to_pylist()], pa.binary())
+            yield pa.array([bytes_of(found.values.to_numpy().tolist() if found.is_valid else [], known) for found in lists], pa.binary())
 
     return rows.withColumn(into, F.arrow_udf(run, "binary")(ids))
 
 
 def op11_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decoded(encoded(spread(doc_text(table(spark, sf_dir, "documents")))))
+    both = encoded(spread(doc_text(table(spark, sf_dir, "documents"))), back="decoded").drop("text")
     comma = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(comma.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

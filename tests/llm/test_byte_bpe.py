@@ -33,9 +33,11 @@ def test_query_against_the_library(spark, library):
 def test_odd_rows(spark, crowded, folder, odd_rows, library):
     found = sorted((r.doc_id is None, r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in b.op11_query(spark, folder(documents=crowded.repartition(5))).collect() if r.doc_id is not None)
     assert found == sorted((False, d, *want(library, text)) for d, text, *_ in odd_rows if d is not None)
-    both = b.decoded(b.encoded(crowded, into="own"), ids="own", into="bytes")
-    assert both.columns == [*crowded.columns, "own", "bytes"]
-    assert all(bytes(r.bytes).decode() == (r.text or "") for r in both.collect())
+    both = b.decoded(b.encoded(crowded, into="own", back="straight"), ids="own", into="bytes")
+    assert both.columns == [*crowded.columns, "own", "straight", "bytes"]
+    rows = both.collect()
+    assert all(r.bytes == r.straight and bytes(r.bytes).decode() == (r.text or "") for r in rows)
+    assert sorted(map(str, (tuple(r)[: len(crowded.columns)] for r in rows))) == sorted(map(str, map(tuple, crowded.collect())))
 
 
 def test_empty(spark, empty, folder):
