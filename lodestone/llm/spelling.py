@@ -30,8 +30,8 @@ RUN = "[A-Za-zÀ-ÿ]"
 SHARD_CHARS = 2_000_000
 #: Shards that are broadcast at once, 400 MB on an executor at most.
 ROUND = 8
-#: Words that a task walks with in step.
-STEP = 4096
+#: Words that a task walks with in step, and of a file of words.
+STEP, FILE_WORDS = 4096, 50_000
 NONE = -1
 
 #: Letters are numbered in code-point order: a to z are 0 to 25, U+00C0 to U+00FF 26 to 89.
@@ -138,18 +138,22 @@ class Trie:
                 accepted.append(q[over] << 32 | self.word[node[over]])
                 follow = [(True, q[on], child, at[on] + 1)]
             else:
-                # A letter of the word left out; any child for no letter of the word; any other child for the word's letter.
+                # Of edits that come to the same, one: of equal letters side by side the last is left out, and a letter is not put in before its equal.
                 follow = [(False, q[on], child, at[on] + 1)]
+                after = at[rest] + 1
+                out = (after == lengths[q[rest]]) | (text[np.minimum(starts[q[rest]] + after, len(text) - 1)] != letter)
                 children = (np.bitwise_count(self.low[node]) + np.bitwise_count(self.high[node])).astype(np.int64)
                 of = np.repeat(np.arange(len(q)), children)
                 every = self.first[node][of] + np.arange(len(of)) - np.repeat(np.cumsum(children) - children, children)
                 wanted = np.full(len(q), 255, np.uint8)
                 wanted[rest] = letter
-                other = (wanted[of] != 255) & (self.letter[every] != wanted[of])
-                states = (np.concatenate([q[rest], q[of], q[of][other]]), np.concatenate([node[rest], every, every[other]]), np.concatenate([at[rest] + 1, at[of], at[of][other] + 1]))
+                other = self.letter[every] != wanted[of]
+                of, every = of[other], every[other]
+                put = wanted[of] != 255
+                states = (np.concatenate([q[rest][out], q[of], q[of][put]]), np.concatenate([node[rest][out], every, every[put]]), np.concatenate([after[out], at[of], at[of][put] + 1]))
                 follow.append((True, *states))
             stack += [f for f in follow if len(f[1])]
-        pairs = np.unique(np.concatenate(accepted)) if accepted else np.zeros(0, np.int64)
+        pairs = np.sort(np.concatenate(accepted)) if accepted else np.zeros(0, np.int64)
         return pairs >> 32, pairs & 0xFFFFFFFF
 
     def spelled(self, at: np.ndarray) -> list[str]:
@@ -165,24 +169,23 @@ class Trie:
 
 
 def _shards(most: int):
-    """Sorted words of a task in tries of at most so many letters, as a row of arrays each."""
+    """Words of a task in tries of at most so many letters, as a row of arrays each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, held = [], [], 0
+        rows, held = [], 0
 
         def shard() -> pa.RecordBatch:
-            trie = Trie.build(words, counts)
+            trie = Trie.build(*map(list, zip(*sorted(rows), strict=True)))
             return pa.RecordBatch.from_arrays([pa.array([getattr(trie, name).astype(kind).tobytes()], pa.binary()) for name, kind in KINDS.items()], names=list(KINDS))
 
         for batch in batches:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if words and held + len(word) > most:
+                if rows and held + len(word) > most:
                     yield shard()
-                    words, counts, held = [], [], 0
-                words.append(word)
-                counts.append(n)
+                    rows, held = [], 0
+                rows.append((word, n))
                 held += len(word)
-        if words:
+        if rows:
             yield shard()
 
     return run
@@ -211,7 +214,8 @@ def near(spark: SparkSession, words: DataFrame, shard_chars: int = SHARD_CHARS)
     letters = words.agg(F.sum(F.length("word"))).first()[0] or 0
     parts = max(1, -(-letters // shard_chars))
     schema = ", ".join(f"{name} binary" for name in KINDS)
-    shards = materialize(spark, words.repartitionByRange(parts, "word").sortWithinPartitions("word").mapInArrow(_shards(shard_chars), schema), "tries")
+    # Ranges are drawn together where there are more of them than shards' worth of letters.
+    shards = materialize(spark, words.repartitionByRange(parts, "word").coalesce(parts).mapInArrow(_shards(shard_chars), schema), "tries")
     found, open_, branches = [], [], None
 
     def close() -> None:
@@ -239,12 +243,15 @@ def near(spark: SparkSession, words: DataFrame, shard_chars: int = SHARD_CHARS)
     return every.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select("word", "n_near", (-F.col("b.turned")).alias("form_n"), "b.form")
 
 
-def roots(spark: SparkSession, forms: DataFrame) -> DataFrame:
+def roots(spark: SparkSession, forms: DataFrame, files: int) -> DataFrame:
     """forms (word, form), without cycles -> word, root: the last form that is reached."""
-    at = materialize(spark, forms.select("word", F.col("form").alias("root")), "roots")
-    while not at.join(at.select(F.col("word").alias("root")), "root", "left_semi").isEmpty():
+    at = materialize(spark, forms.select("word", F.col("form").alias("root")).coalesce(files), "roots")
+    moved = True
+    while moved:
         onward = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        at = materialize(spark, at.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
+        step = at.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        step = materialize(spark, step.coalesce(files), "roots")
+        at, moved = step.select("word", "root"), not step.where("moved").isEmpty()
     return at
 
 
@@ -252,11 +259,14 @@ def variants(spark: SparkSession, words: DataFrame, times: int = TIMES, shard_ch
     """words (word, n, each word once) -> word, n, n_near, form, form_n, root. A word's form is its commonest near word, if that is at
     least `times` (2 or more) as common."""
     words = materialize(spark, words.select("word", "n"), "words")
+    # As many tasks and files as the words are worth, where there are more shuffle partitions.
+    files = 1 + words.count() // FILE_WORDS
     found = words.join(near(spark, words, shard_chars), "word", "left")
     is_form = F.col("form_n") >= times * F.col("n")
-    rows = materialize(spark, found.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, F.col("form")).alias("form"), F.when(is_form, F.col("form_n")).alias("form_n")), "variants")
-    last = roots(spark, rows.where("form is not null").select("word", "form"))
-    return rows.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    rows = found.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, F.col("form")).alias("form"), F.when(is_form, F.col("form_n")).alias("form_n"))
+    rows = materialize(spark, rows.coalesce(files), "variants")
+    last = roots(spark, rows.where("form is not null").select("word", "form"), files)
+    return rows.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n").coalesce(files)
 
 
 def op13_query(spark: SparkSession, sf_dir: str) -> DataFrame:
