@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import STOP_WORDS, contents
 from lodestone.operators import bm25, ireval
 from lodestone.registry import query
+from lodestone.sources.reuse import reused
 from lodestone.sources.sinks import trec_lines
 from lodestone.sources.tables import SQL_QRELS, corpus, qrels, topics
 
@@ -41,20 +42,24 @@ ev AS (SELECT s.query_id, CASE WHEN ideal_1 > 0 THEN round(dcg_1 / ideal_1, 6) E
 rr AS (SELECT query_id, coalesce(round(1.0 / min(CASE WHEN gain > 0 AND rank <= 10 THEN rank END), 6), 0.0) AS value FROM jr GROUP BY query_id)"""
 
 
-_indexes: dict[tuple[str, str, bm25.Analyzer], bm25.InvertedIndex] = {}
+def _keep(spark, sf_dir, *parameters) -> bm25.Keep:
+    """Tables made of the corpus, kept by what its file holds."""
+    return lambda name, make: reused(spark, name, [f"{sf_dir}/documents.parquet"], parameters, make)
 
 
 def index_of(spark, sf_dir, analyzer: bm25.Analyzer = bm25.Analyzer()) -> bm25.InvertedIndex:
-    """The inverted index of a folder's corpus: it is written once an application and serves every query, as a persisted index
-    does. A folder whose documents change needs another path or application."""
-    key = (spark.sparkContext.applicationId, sf_dir, analyzer)
-    if key not in _indexes:
-        _indexes[key] = bm25.InvertedIndex.build(corpus(spark, sf_dir), analyzer)
-    return _indexes[key]
+    """The inverted index of a folder's corpus, written once for what the corpus holds; it serves every query."""
+    return bm25.InvertedIndex.build(corpus(spark, sf_dir), analyzer, _keep(spark, sf_dir, analyzer))
 
 
-def run_of(spark, sf_dir) -> DataFrame:
-    return index_of(spark, sf_dir).search(topics(spark, sf_dir))
+def run_of(spark, sf_dir, analyzer: bm25.Analyzer = bm25.Analyzer()) -> DataFrame:
+    """The first hits of all topics, written once for what corpus and topics hold."""
+
+    def make() -> DataFrame:
+        bounded = index_of(spark, sf_dir, analyzer).bounded(keep=_keep(spark, sf_dir, analyzer))
+        return bounded.search(topics(spark, sf_dir))
+
+    return reused(spark, "run", [f"{sf_dir}/{name}.parquet" for name in ("documents", "benchmark")], (analyzer, bm25.K1, bm25.B, bm25.TOP_K), make)
 
 
 @query("corpus_export", f"WITH {SQL_TOKENS} SELECT doc_id, contents FROM body")
@@ -80,12 +85,12 @@ def qrels_trec_format(spark, sf_dir):
 
 @query("bm25_postings", f"WITH {SQL_TOKENS} SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM tok) GROUP BY term, doc_id")
 def bm25_postings(spark, sf_dir):
-    return bm25.postings(index_of(spark, sf_dir).rows).select("term", "doc_id", "tf")
+    return index_of(spark, sf_dir).postings.select("term", "doc_id", "tf")
 
 
 @query("bm25_doc_stats", f"WITH {SQL_TOKENS} SELECT count(*) AS n, round(avg(len(terms)), 6) AS avgdl FROM tok")
 def bm25_doc_stats(spark, sf_dir):
-    return bm25.statistics(index_of(spark, sf_dir).rows).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return bm25.statistics(index_of(spark, sf_dir).lengths).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("bm25_scores", f"WITH {SQL_BM25} SELECT query_id, doc_id, score FROM sc")
@@ -99,7 +104,7 @@ SQL_STOPPED = SQL_BM25.replace("lambda t: t <> '')", "lambda t: t NOT IN ('', "
 @query("bm25_stopped_topk", f"WITH {SQL_STOPPED} SELECT query_id, rank, doc_id, score FROM run_v")
 def bm25_stopped_topk(spark, sf_dir):
     """The run of an analyzer without English stop words."""
-    return index_of(spark, sf_dir, bm25.Analyzer(stop_words=True)).search(topics(spark, sf_dir))
+    return run_of(spark, sf_dir, bm25.Analyzer(stop_words=True))
 
 
 @query("bm25_topk", f"WITH {SQL_BM25} SELECT query_id, rank, doc_id, score FROM run_v")

@@ -1,11 +1,13 @@
 """Ranking measures on hand-made runs, and BM25 by its formula."""
 
 import math
+import random
 
 import pytest
 
 from lodestone.operators import bm25, ireval
-from lodestone.sources import sinks
+from lodestone.plans import retrieval
+from lodestone.sources import reuse, sinks
 
 RUN = "query_id long, rank long, doc_id long, score double"
 QRELS = "query_id long, doc_id long, relevance long"
@@ -74,33 +76,96 @@ def test_bm25_formula(spark):
     assert [(r["rank"], r.doc_id) for r in bm25.topk(bm25.scores(corpus, queries), 1).collect()] == [(1, 1)]
 
 
+def rows_of(df):
+    return [tuple(r) for r in df.orderBy("query_id", "rank").collect()]
+
+
 def test_index_is_kept(spark, tmp_path, monkeypatch):
     corpus = spark.createDataFrame([(k, f"title {k % 3}", "the running dogs " * (k % 4) + f"of word{k}") for k in range(40)], "doc_id long, title string, text string")
     queries = spark.createDataFrame([(1, "the runs of dogs"), (2, "word7 title"), (3, None)], "query_id long, query_text string")
-    rows = lambda df: [tuple(r) for r in df.orderBy("query_id", "rank").collect()]
     plain = bm25.InvertedIndex.build(corpus).save(f"{tmp_path}/plain")
-    assert rows(plain.search(queries, 5)) == rows(bm25.InvertedIndex.load(spark, f"{tmp_path}/plain").search(queries, 5)) == rows(bm25.topk(bm25.scores(corpus, queries), 5))
-    # A vocabulary or weights beyond the limits are joined and not sent: the same rows.
-    monkeypatch.setattr(bm25, "VOCABULARY", 2)
+    found = rows_of(plain.search(queries, 5))
+    assert found == rows_of(bm25.InvertedIndex.load(spark, f"{tmp_path}/plain").search(queries, 5)) == rows_of(bm25.topk(bm25.scores(corpus, queries), 5))
+    # Weights beyond the limit are joined and not sent: the same rows.
     monkeypatch.setattr(bm25, "WEIGHTS", 0)
-    assert rows(plain.search(queries, 5)) == rows(bm25.InvertedIndex.load(spark, f"{tmp_path}/plain").search(queries, 5))
+    assert found == rows_of(bm25.topk(bm25.scores(corpus, queries), 5))
     english = bm25.InvertedIndex.build(corpus, bm25.Analyzer(stop_words=True, stems=True)).save(f"{tmp_path}/english")
     assert bm25.InvertedIndex.load(spark, f"{tmp_path}/english").analyzer == bm25.Analyzer(True, True)
-    terms = {t for r in english.rows.collect() for t in r.terms}
+    terms = {r.term for r in english.postings.collect()}
     assert {"run", "dog", "titl"} <= terms and not {"the", "of", "running", "dogs"} & terms
-    found = {r.query_id for r in english.search(queries).collect()}
-    assert found == {1, 2} and english.search(queries).where("query_id = 1").count() == 30  # the 30 documents with dogs
-
-
-def test_terms_are_filtered_before_they_are_exploded(spark):
-    docs = spark.createDataFrame([(1, 3, ["a", "b", "a"]), (2, 0, [])], "doc_id long, dl long, terms array<string>")
-    found = bm25.postings(docs, spark.createDataFrame([("a",)], "term string"))
-    assert [tuple(r) for r in found.select("term", "doc_id", "tf").collect()] == [("a", 1, 2)]
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Generate") < plan.index("lambdafunction") and plan.count("filter(terms") == 1
-    assert bm25.postings(docs, spark.createDataFrame([], "term string")).count() == 0
-    quoted = spark.createDataFrame([(1, 3, ["it's", "a\\b", "'"])], "doc_id long, dl long, terms array<string>")
-    assert bm25.postings(quoted, spark.createDataFrame([("it's",), ("a\\b",), ("é",)], "term string")).count() == 2
+    found = english.search(queries).collect()
+    assert {r.query_id for r in found} == {1, 2} and sum(r.query_id == 1 for r in found) == 30  # the 30 documents with dogs
+
+
+def test_odd_terms(spark):
+    """Quotes and backslashes in queries, documents without terms, queries without known terms."""
+    corpus = spark.createDataFrame([(1, None, "it's a\\b 'c'"), (2, "", ""), (3, None, None)], "doc_id long, title string, text string")
+    queries = spark.createDataFrame([(1, "it's a\\b"), (2, "'"), (3, "none")], "query_id long, query_text string")
+    index = bm25.InvertedIndex.build(corpus)
+    assert [(r.query_id, r.doc_id) for r in index.search(queries).collect()] == [(1, 1)]
+    nothing = bm25.InvertedIndex.build(corpus.where("false"))
+    assert nothing.search(queries).count() == 0 and index.search(queries.where("false")).count() == 0
+
+
+def wordy(spark, docs=600, queries=12, seed=1):
+    """Documents of many lengths over words of a long tail, with copies that tie."""
+    rng = random.Random(seed)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 3000}"
+    texts = [" ".join(word() for _ in range(rng.randrange(1, 200))) for _ in range(docs)]
+    texts += texts[:40] * 3
+    corpus = spark.createDataFrame([(k, None, t) for k, t in enumerate(texts)], "doc_id long, title string, text string").repartition(3)
+    asked = spark.createDataFrame([(k, " ".join(word() for _ in range(rng.randrange(1, 30)))) for k in range(queries)], "query_id long, query_text string")
+    return corpus, asked
+
+
+@pytest.mark.parametrize("k", [1, 10, 1000])
+def test_bounds_lose_no_hit(spark, k):
+    """The same hits as scoring everything: with ties at the last place, and where a query has fewer than k."""
+    corpus, queries = wordy(spark)
+    index = bm25.InvertedIndex.build(corpus)
+    assert rows_of(index.search(queries, k)) == rows_of(bm25.topk(bm25.scores_of(index, queries), k))
+
+
+def test_bounds_skip_most_pairs(spark):
+    """Of the pairs of query and document with a common term, less than a third are scored, opening and survivors together."""
+    sf = "/root/testdata/sf0.1"
+    index = retrieval.index_of(spark, sf)
+    topics = retrieval.topics(spark, sf)
+    found = index.bounded().candidates(topics, bm25.TOP_K)
+    scored = found.opening.count() + found.survivors.count()
+    every = bm25.scores_of(index, topics)
+    assert 0 < scored < every.count() / 3
+    assert rows_of(bm25.topk(found.scores())) == rows_of(bm25.topk(every))
+
+
+def test_reused_by_content(spark, tmp_path):
+    """A second call builds nothing; a changed table, other parameters or another name do."""
+    path, built = f"{tmp_path}/t", []
+
+    def make():
+        built.append(1)
+        return spark.read.parquet(path).selectExpr("sum(id) AS s")
+
+    spark.range(3).write.parquet(path)
+    ask = lambda name="sum", parameters=1: reuse.reused(spark, name, [path], parameters, make).first().s
+    assert (ask(), ask(), len(built)) == (3, 3, 1)
+    assert ask(parameters=2) == 3 and ask(name="other") == 3 and len(built) == 3
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert (ask(), ask(), len(built)) == (10, 10, 4)
+
+
+def test_queries_see_changed_tables(spark, tmp_path):
+    """A folder whose documents or topics change gives other hits to the queries that keep an index and a run."""
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+    ask = lambda: [(r.query_id, r.doc_id) for r in retrieval.bm25_topk(spark, str(tmp_path)).collect()]
+    docs, items = "doc_id long, source string, text string", "item_id long, text string"
+    write("documents", [(1, "a", "red fox")], docs)
+    write("benchmark", [(7, "fox")], items)
+    assert ask() == [(7, 1)]
+    write("documents", [(1, "a", "red dog"), (2, "a", "blue fox")], docs)
+    assert ask() == [(7, 2)]
+    write("benchmark", [(8, "dog")], items)
+    assert ask() == [(8, 1)]
 
 
 def test_stems():
