@@ -25,8 +25,12 @@ NONE = -1
 #: expanded and distances are the work of a node's own insertion in the last pass.
 INDEX = "shard int, level int, vec_id long, embedding array<float>, nbrs array<long>, entry boolean, expanded long, distances long"
 COLUMNS = [field.split()[0] for field in INDEX.split(", ")]
+#: Values that the hash of an id may take when its layer is drawn.
+DRAWS = 1 << 30
 #: Entries of the lists that a task searches with at once.
 LIST_ENTRIES = 4_000_000
+#: Nodes that a search with a list as long as the shard expands at once.
+WHOLE_WIDTH = 128
 #: Distances within pools that a task holds at once.
 PRUNE_ENTRIES = 2_000_000
 
@@ -41,14 +45,12 @@ def padded(lists: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def search(x: np.ndarray, nbrs: np.ndarray, entries: np.ndarray, queries: np.ndarray, size: int, visits: bool = False):
-    """Best-first search of all queries in step: each expands the nearest node of its list that it has not expanded.
+def search(x: np.ndarray, nbrs: np.ndarray, entries: np.ndarray, queries: np.ndarray, size: int, visits: bool = False, width: int = 1):
+    """Best-first search of all queries in step: each expands the nearest `width` nodes of its list that it has not expanded.
 
     Returns ids and distances (query, size; NONE and inf where short), expansions and distance evaluations of each query, and, with
     visits, the expanded nodes of each."""
     n_queries, size = len(queries), max(1, size)
-    if size >= len(x) and not visits:
-        return _search_all(x, nbrs, entries, queries, size)
     ids = np.full((n_queries, size), NONE, np.int64)
     dist = np.full((n_queries, size), np.inf)
     done = np.ones((n_queries, size), bool)
@@ -60,52 +62,36 @@ def search(x: np.ndarray, nbrs: np.ndarray, entries: np.ndarray, queries: np.nda
     trail: list[list[int]] = [[] for _ in range(n_queries)]
     active = np.arange(n_queries)
     while len(active):
-        first = (~done[active]).argmax(axis=1)
-        nodes = ids[active, first]
-        done[active, first] = True
-        expanded[active] += 1
+        open_ = ~done[active]
+        row, col = np.nonzero(open_ & (np.cumsum(open_, axis=1) <= width))
+        heads = ids[active[row], col]
+        done[active[row], col] = True
+        expanded += np.bincount(active[row], minlength=n_queries)
         if visits:
-            for q, node in zip(active.tolist(), nodes.tolist(), strict=True):
+            for q, node in zip(active[row].tolist(), heads.tolist(), strict=True):
                 trail[q].append(node)
-        near = nbrs[nodes]
-        fresh = (near != NONE) & ~seen[active[:, None], np.maximum(near, 0)]
-        rows, cols = np.nonzero(fresh)
-        q, node = active[rows], near[rows, cols]
-        seen[q, node] = True
-        scored += np.bincount(q, minlength=n_queries)
-        d = np.full(near.shape, np.inf)
-        d[rows, cols] = ((x[node] - queries[q]) ** 2).sum(axis=1)
-        all_ids = np.hstack([ids[active], np.where(fresh, near, NONE)])
-        all_d = np.hstack([dist[active], d])
-        all_done = np.hstack([done[active], ~fresh])
+        # The unseen neighbours of each query's heads, once each, side by side.
+        near = nbrs[heads]
+        at, place = np.nonzero(near != NONE)
+        pairs = np.unique(row[at] * len(x) + near[at, place])
+        q, node = pairs // len(x), pairs % len(x)
+        fresh = ~seen[active[q], node]
+        q, node = q[fresh], node[fresh]
+        seen[active[q], node] = True
+        counts = np.bincount(q, minlength=len(active))
+        scored[active] += counts
+        new, new_d = np.full((len(active), int(counts.max(initial=0))), NONE, np.int64), np.full((len(active), int(counts.max(initial=0))), np.inf)
+        place = np.arange(len(q)) - (np.cumsum(counts) - counts)[q]
+        new[q, place], new_d[q, place] = node, ((x[node] - queries[active[q]]) ** 2).sum(axis=1)
+        all_ids = np.hstack([ids[active], new])
+        all_d = np.hstack([dist[active], new_d])
+        all_done = np.hstack([done[active], new == NONE])
         order = np.lexsort((all_ids, all_d), axis=1)[:, :size]
         ids[active], dist[active], done[active] = (np.take_along_axis(a, order, 1) for a in (all_ids, all_d, all_done))
         active = active[(~done[active]).any(axis=1)]
     return ids, dist, expanded, scored, trail
 
 
-def _reachable(nbrs: np.ndarray, entry: int) -> np.ndarray:
-    reached, front = np.zeros(len(nbrs), bool), np.array([entry])
-    while len(front):
-        reached[front] = True
-        near = np.unique(nbrs[front])
-        front = near[(near != NONE) & ~reached[near]]
-    return np.flatnonzero(reached)
-
-
-def _search_all(x: np.ndarray, nbrs: np.ndarray, entries: np.ndarray, queries: np.ndarray, size: int):
-    """The search whose list rejects nothing: it expands and scores every node that a path reaches, in whatever order."""
-    ids, dist = np.full((len(queries), size), NONE, np.int64), np.full((len(queries), size), np.inf)
-    work = np.zeros(len(queries), np.int64)
-    for entry in np.unique(entries):
-        nodes = _reachable(nbrs, int(entry))
-        for q in np.flatnonzero(entries == entry):
-            d = ((x[nodes] - queries[q]) ** 2).sum(axis=1)
-            order = np.lexsort((nodes, d))
-            ids[q, : len(nodes)], dist[q, : len(nodes)], work[q] = nodes[order], d[order], len(nodes)
-    return ids, dist, work, work.copy(), [[] for _ in queries]
-
-
 def prune(x: np.ndarray, p: int, pool: np.ndarray, alpha: float, degree: int) -> np.ndarray:
     """Neighbours of p: nearest first, each candidate unless one that is kept is nearer to it by a factor alpha than p is."""
     pool = np.unique(pool[pool != p])
@@ -195,25 +181,39 @@ def _others(rng: np.random.Generator, n: int, k: int, count: int) -> np.ndarray:
 
 
 def _reach_all(x: np.ndarray, lists: list[np.ndarray], entry: int, degree: int) -> None:
-    """Nodes that no path reaches get an edge from the nearest reached node with room, so that a long enough list finds everything."""
-    reached = np.zeros(len(x), bool)
+    """Makes every node reachable, within the degree, so that a list as long as the shard finds everything.
+
+    The edges by which nodes are first reached are a tree; others can go and everything stays reached. A node not yet reached is tied to
+    the nearest reached one with fewer tree edges than the degree, in place of its longest other edge where there is no
+    room. A tree of n nodes has n - 1 edges and so always a node with room, for any degree from 1."""
+    reached, tree = np.zeros(len(x), bool), [set() for _ in lists]
+    room = np.full(len(x), degree)
 
     def spread(start: int) -> None:
         reached[start], todo = True, [start]
         while todo:
-            for node in lists[todo.pop()].tolist():
-                if not reached[node]:
-                    reached[node] = True
-                    todo.append(node)
+            node = todo.pop()
+            for other in lists[node].tolist():
+                if not reached[other]:
+                    reached[other] = True
+                    tree[node].add(other)
+                    room[node] -= 1
+                    todo.append(other)
 
     spread(entry)
     for node in np.flatnonzero(~reached).tolist():
-        if not reached[node]:
-            room = np.flatnonzero(reached & np.array([len(f) < degree for f in lists]))
-            if len(room):
-                near = int(room[((x[room] - x[node]) ** 2).sum(axis=1).argmin()])
-                lists[near] = np.append(lists[near], node)
-            spread(node) if len(room) else None
+        if reached[node]:
+            continue
+        free = np.flatnonzero(reached & (room > 0))
+        near = int(free[((x[free] - x[node]) ** 2).sum(axis=1).argmin()])
+        if len(lists[near]) >= degree:
+            spare = np.array([other for other in lists[near].tolist() if other not in tree[near]])
+            out = int(spare[((x[spare] - x[near]) ** 2).sum(axis=1).argmax()])
+            lists[near] = lists[near][lists[near] != out]
+        lists[near] = np.append(lists[near], node)
+        tree[near].add(node)
+        room[near] -= 1
+        spread(node)
 
 
 def matrix_of(column: pd.Series) -> np.ndarray:
@@ -247,7 +247,7 @@ def fit_layers(base: DataFrame, m: int = 32, size: int = 200, seed: int = 0, sha
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", ignore_index=True)
         ids, x = rows["vec_id"].to_numpy(), matrix_of(rows["embedding"])
-        draw = np.random.default_rng(seed).random(len(rows))
+        draw = (rows["draw"].to_numpy() + 0.5) / DRAWS
         top = np.floor(-np.log(np.maximum(draw, 1e-12)) / math.log(max(2, m))).astype(int)
         parts = []
         for level in range(int(top.max()) + 1):
@@ -257,7 +257,8 @@ def fit_layers(base: DataFrame, m: int = 32, size: int = 200, seed: int = 0, sha
             parts.append(part[COLUMNS])
         return pd.concat(parts)
 
-    return sharded(base, shard_rows).groupBy("shard").applyInPandas(run, INDEX)
+    drawn = sharded(base, shard_rows).withColumn("draw", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(DRAWS)))
+    return drawn.groupBy("shard").applyInPandas(run, INDEX)
 
 
 def loaded(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -282,7 +283,8 @@ def _searching(shared, k: int, sizes: list[int]):
             step = max(1, min(256, LIST_ENTRIES // length))
             for start in range(0, len(qids), step):
                 part = slice(start, start + step)
-                found, d, expanded, scored, _ = search(x, nbrs, np.searchsorted(ids, at[part]), queries[part], length)
+                # Whatever is expanded first, a list that rejects nothing expands all.
+                found, d, expanded, scored, _ = search(x, nbrs, np.searchsorted(ids, at[part]), queries[part], length, width=1 if size else WHOLE_WIDTH)
                 found, d = found[:, :k], d[:, :k]
                 keep = found != NONE
                 row = np.nonzero(keep)[0]
@@ -294,7 +296,7 @@ def _searching(shared, k: int, sizes: list[int]):
 
 def search_index(spark: SparkSession, index: DataFrame, queries: DataFrame, k: int = 10, sizes: list[int] | None = None) -> DataFrame:
     """Nearest k of each query and list size in every shard, with the shard's counters; query blocks of bounded size are broadcast.
-    A size of 0 is a list as long as the shard, with which the search is exact: every node can be reached."""
+    A size of 0 is a list as long as the shard, with which the search is exact, as the build makes every node reachable."""
     schema = "size int, qid long, vec_id long, d2 double, expanded long, distances long, shard int"
     out = None
     for block in query_blocks(queries):

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, knn, lsh
+from lodestone.operators import graph, graph_tables, knn, lsh
 from lodestone.plans.vectors import K, SQL_TOPK
 from lodestone.registry import query
+from lodestone.sources.reuse import reused
 from lodestone.sources.tables import SQL_VECTORS, base_vectors, load, query_vectors, sql_l2, written
 
 DEGREE, LIST, ALPHA = 16, 40, 1.2
@@ -31,13 +32,13 @@ def nodes(spark):
     return spark.range(NODES).withColumnRenamed("id", "vec_id")
 
 
-@query(
-    "random_regular_graph",
-    f"""WITH {SQL_VECTORS}, top AS (SELECT max(vec_id) + 1 AS n FROM base_v),
+SQL_REGULAR = f"""top AS (SELECT max(vec_id) + 1 AS n FROM base_v),
 dr AS (SELECT src, dst, min(j) AS j FROM (SELECT vec_id AS src, j, CASE WHEN j > {DRAWS} THEN vec_id + j - {DRAWS} ELSE ((vec_id + 17) * 7919 + j * 104729 + (vec_id + 3) * (j + 5) * 31) % 1000003 END % n AS dst
-  FROM base_v, range(1, {DRAWS + REGULAR + 1}) r(j), top) WHERE src <> dst GROUP BY src, dst)
-SELECT src, dst FROM (SELECT d.src, d.dst, row_number() OVER (PARTITION BY d.src ORDER BY d.j) AS k FROM dr d JOIN base_v b ON b.vec_id = d.dst) WHERE k <= {REGULAR}""",
-)
+  FROM base_v, range(1, {DRAWS + REGULAR + 1}) r(j), top) WHERE src <> dst GROUP BY src, dst),
+regular AS (SELECT src, dst FROM (SELECT d.src, d.dst, row_number() OVER (PARTITION BY d.src ORDER BY d.j) AS k FROM dr d JOIN base_v b ON b.vec_id = d.dst) WHERE k <= {REGULAR})"""
+
+
+@query("random_regular_graph", f"WITH {SQL_VECTORS}, {SQL_REGULAR} SELECT src, dst FROM regular")
 def random_regular_graph(spark, sf_dir):
     """Each vector's first distinct draws by a formula of its id, then the ids that follow its own, so that none runs short: linear
     in the vectors, the same on every engine. Ids run from 0 without gaps, as row numbers do."""
@@ -78,6 +79,29 @@ def reverse_edges(spark, sf_dir):
     return graph.reverse_edges(edges(spark, sf_dir))
 
 
+@query(
+    "reverse_insert",
+    f"""WITH RECURSIVE {SQL_VECTORS}, {SQL_REGULAR},
+offered AS (SELECT src AS pid, dst AS id FROM regular UNION SELECT dst, src FROM regular),
+counts AS (SELECT pid, count(*) AS n FROM offered GROUP BY pid),
+pd AS (SELECT o.pid, o.id, b.embedding AS v, {sql_l2("a.embedding", "b.embedding")} AS d FROM offered o JOIN counts c ON c.pid = o.pid AND c.n > {REGULAR} JOIN base_v a ON a.vec_id = o.pid JOIN base_v b ON b.vec_id = o.id),
+pool AS (SELECT pid, id, v, d, row_number() OVER (PARTITION BY pid ORDER BY round(d, 6), id) AS i FROM pd),
+st AS (SELECT pid, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id BIGINT, v FLOAT[])[]) AS kept FROM counts WHERE n > {REGULAR}
+  UNION ALL
+  SELECT st.pid, st.i + 1, CASE WHEN len(st.kept) < {REGULAR} AND len(list_filter(st.kept, lambda k: {ALPHA * ALPHA} * {sql_l2("k.v", "p.v")} <= p.d)) = 0
+    THEN list_append(st.kept, {{'id': p.id, 'v': p.v}}) ELSE st.kept END
+  FROM st JOIN pool p ON p.pid = st.pid AND p.i = st.i + 1),
+fin AS (SELECT pid, arg_max(kept, i) AS kept FROM st GROUP BY pid)
+SELECT o.pid AS vec_id, o.id FROM offered o JOIN counts c ON c.pid = o.pid WHERE c.n <= {REGULAR}
+UNION ALL SELECT pid, kept[k].id FROM fin, range(1, {REGULAR + 1}) r(k) WHERE k <= len(kept)""",
+)
+def reverse_insert(spark, sf_dir):
+    """Every edge of the regular graph offered to its target; the lists that overflow are pruned."""
+    base = base_vectors(spark, sf_dir).select("vec_id", "embedding")
+    lists = graph_tables.reverse_inserted(spark, written(spark, random_regular_graph(spark, sf_dir), "regular"), base, ALPHA, REGULAR)
+    return lists.select("vec_id", F.explode("nbrs").alias("id"))
+
+
 @query("graph_in_degree", f"WITH {SQL_EDGES} SELECT n.i AS vec_id, count(e.dst) AS in_degree FROM range({NODES}) n(i) LEFT JOIN edges_v e ON e.dst = n.i GROUP BY n.i")
 def graph_in_degree(spark, sf_dir):
     return graph.in_degrees(edges(spark, sf_dir), nodes(spark))
@@ -94,16 +118,9 @@ def graph_degree_stats(spark, sf_dir):
     return graph.audit(edges(spark, sf_dir), nodes(spark), 64)
 
 
-_graphs: dict[tuple[str, str], DataFrame] = {}
-
-
 def index(spark, sf_dir):
-    """The graph of a folder's vectors: it is built and written once an application and serves every search, as a saved index
-    does. A folder whose vectors change needs another path or application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _graphs:
-        _graphs[key] = written(spark, graph.fit(base_vectors(spark, sf_dir), DEGREE, LIST, ALPHA), "graph")
-    return _graphs[key]
+    """The graph of a folder's vectors, built and written once for what the table holds; it serves every search."""
+    return reused(spark, "graph", [f"{sf_dir}/embeddings.parquet"], (DEGREE, LIST, ALPHA), lambda: graph.fit(base_vectors(spark, sf_dir), DEGREE, LIST, ALPHA))
 
 
 @query("graph_build_edges")
@@ -168,3 +185,37 @@ def sanity_query(spark, sf_dir):
 def lsh_knn(spark, sf_dir):
     """Extension: random-projection buckets, exact distances of the rows that share one; queries left short are searched exactly."""
     return lsh.topk(spark, base_vectors(spark, sf_dir), query_vectors(spark, sf_dir), K).select("qid", "rank", "vec_id", "d2")
+
+
+#: The graph of joins: degree, and the list and nodes a round of its search.
+TABLE_DEGREE, WALK_LIST, WALK_WIDTH = 24, 100, 16
+
+
+def table_graph(spark, sf_dir):
+    """vec_id, nbrs of the graph that is built by joins, written once for what the vectors are."""
+    path = f"{sf_dir}/embeddings.parquet"
+    base = base_vectors(spark, sf_dir)
+    return reused(spark, "table-graph", [path], (TABLE_DEGREE, ALPHA), lambda: graph_tables.build(spark, base, knn.medoid(base), TABLE_DEGREE, ALPHA))
+
+
+@query(
+    "graph_table_audit",
+    f"""WITH {SQL_VECTORS} SELECT count(*) AS nodes, true AS within_degree, CAST(0 AS BIGINT) AS zero_degree, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS self_loops, CAST(0 AS BIGINT) AS out_of_range,
+count(*) AS reached FROM base_v""",
+)
+def graph_table_audit(spark, sf_dir):
+    """The graph built by joins: its defects, of which there are none, and the nodes that the entry leads to, which are all."""
+    base = base_vectors(spark, sf_dir)
+    edges = table_graph(spark, sf_dir).select(F.col("vec_id").alias("src"), F.explode("nbrs").alias("dst"))
+    row = graph.audit(edges, base.select("vec_id"), TABLE_DEGREE).select("within_degree", "zero_degree", "duplicates", "self_loops", "out_of_range")
+    start = knn.medoid(base).select("vec_id", F.lit(None).cast("long").alias("parent"))
+    reached = graph_tables.reached_from(spark, edges, start).agg(F.count(F.lit(1)).alias("reached"))
+    return base.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(row).crossJoin(reached)  # a row each
+
+
+@query("graph_walk_topk")
+def graph_walk_topk(spark, sf_dir):
+    """Best-first search by rounds of joins, all queries at once, over the graph built by joins."""
+    base = base_vectors(spark, sf_dir)
+    found = graph_tables.walk(spark, base, table_graph(spark, sf_dir), knn.medoid(base), query_vectors(spark, sf_dir), K, WALK_LIST, WALK_WIDTH)
+    return found.select("qid", "rank", "vec_id", "d2")
