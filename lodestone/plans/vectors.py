@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import l2sq, normalized
-from lodestone.operators import knn
+from lodestone.operators import knn, pivots
 from lodestone.registry import query
 from lodestone.sources.tables import SQL_VECTORS, base_vectors, query_vectors, sql_dot, sql_l2, vectors
 from lodestone.sources.vecs import decode_column, encode_rows
@@ -83,6 +83,12 @@ def knn_exact_topk(spark, sf_dir):
     return knn.exact_topk(spark, base_vectors(spark, sf_dir), query_vectors(spark, sf_dir), K)
 
 
+@query("knn_pivot_topk", f"WITH {SQL_VECTORS}, {SQL_TOPK} SELECT qid, rank, vec_id, d2 FROM exact")
+def knn_pivot_topk(spark, sf_dir):
+    """The same rows with the distances that the triangle inequality leaves."""
+    return pivots.PivotIndex.fit(spark, base_vectors(spark, sf_dir)).search(spark, query_vectors(spark, sf_dir), K)[0]
+
+
 @query(
     "cosine_equiv_topk",
     f"""WITH {SQL_VECTORS}, c AS (SELECT qid, vec_id, round(1 - {sql_dot("embedding", "qvec")}, 6) AS far FROM base_v CROSS JOIN query_v)
