@@ -1,4 +1,4 @@
-"""Queries of statistics and reports. Literal rows are the published operating points they are tried on."""
+"""Queries of statistics and reports, over the events as measurements."""
 
 from __future__ import annotations
 
@@ -12,16 +12,14 @@ from lodestone.sources.tables import load
 TIMING = 100
 TARGETS = [0.9, 0.95, 0.99]
 
-#: Build seconds by size, and (method, parameter, 10-recall@10, mean ms) of two methods on one dataset (fixed values).
-SCALING = [("NQ", 250000, 56.5), ("NQ", 500000, 133.5), ("NQ", 1000000, 305.3), ("SIFT1M", 100000, 18.0), ("SIFT1M", 250000, 70.5), ("SIFT1M", 500000, 164.0)]
-POINTS = [
-    ("layered", 16, 0.9077, 0.042), ("layered", 32, 0.9705, 0.068), ("layered", 64, 0.9934, 0.115), ("layered", 100, 0.9976, 0.164), ("layered", 150, 0.9992, 0.232), ("layered", 200, 0.9997, 0.291),
-    ("flat_graph", 10, 0.9386, 0.053), ("flat_graph", 20, 0.9814, 0.071), ("flat_graph", 30, 0.9927, 0.095), ("flat_graph", 50, 0.9980, 0.143), ("flat_graph", 100, 0.9996, 0.247), ("flat_graph", 150, 0.9999, 0.340), ("flat_graph", 200, 0.9999, 0.431),
-    ("flat_graph", 100, 0.9996, 0.247),
-]
+SIZES, SCALED_TO = 4, 2681468.0
 
-SQL_SCALING = "sc AS (" + " UNION ALL ".join(f"SELECT '{d}' AS dataset, CAST({n} AS BIGINT) AS n, CAST({s} AS DOUBLE) AS seconds" for d, n, s in SCALING) + ")"
-SQL_POINTS = "op AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, {p} AS param, CAST({r} AS DOUBLE) AS recall, CAST({t} AS DOUBLE) AS latency_ms" for m, p, r, t in POINTS) + ")"
+#: Sizes and seconds of growing parts of each event type, and operating points: a method that waits for 3 * param ms has the answers that
+#: come by then, at the time it waited.
+SQL_SCALING = f"sc AS (SELECT event_type AS dataset, count(*) AS n, sum(value) / 1000 AS seconds FROM events JOIN range({SIZES}) r(j) ON event_id % {SIZES} <= j GROUP BY event_type, j)"
+SQL_POINTS = """ev AS (SELECT value, CASE WHEN event_type IN ('view', 'click') THEN 'layered' ELSE 'flat_graph' END AS method,
+  CASE WHEN event_type IN ('view', 'click') THEN 10 + 10 * (event_id % 8) ELSE 20 + 10 * (event_id % 9) END AS param FROM events),
+op AS (SELECT method, param, round(avg(CASE WHEN value <= 3 * param THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(least(value, 3.0 * param)), 6) AS latency_ms FROM ev GROUP BY method, param)"""
 SQL_LATENCY = "lat_v AS (SELECT user_id % 3 AS run, event_id, value AS lat_ms FROM events)"
 SQL_FASTEST = f"""{SQL_POINTS}, t AS ({" UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS target" for t in TARGETS)}),
 best AS (SELECT * FROM (SELECT t.target, o.method, o.param, o.recall, o.latency_ms, row_number() OVER (PARTITION BY t.target, o.method ORDER BY o.latency_ms, o.param) AS k FROM (SELECT DISTINCT * FROM op) o JOIN t ON o.recall >= t.target) WHERE k = 1)"""
@@ -31,8 +29,11 @@ def latencies(spark, sf_dir):
     return load(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("run"), "event_id", F.col("value").alias("lat_ms"))
 
 
-def points(spark):
-    return spark.createDataFrame(POINTS, "method string, param int, recall double, latency_ms double")
+def points(spark, sf_dir):
+    early = F.col("event_type").isin("view", "click")
+    events = load(spark, sf_dir, "events").select("value", F.when(early, "layered").otherwise("flat_graph").alias("method"), F.when(early, 10 + 10 * (F.col("event_id") % 8)).otherwise(20 + 10 * (F.col("event_id") % 9)).alias("param"))
+    limit = 3 * F.col("param")
+    return events.groupBy("method", "param").agg(F.round(F.avg((F.col("value") <= limit).cast("double")), 6).alias("recall"), F.round(F.avg(F.least("value", limit.cast("double"))), 6).alias("latency_ms"))
 
 
 @query("timing_subset", f"SELECT event_id FROM (SELECT event_id FROM events ORDER BY md5('0-' || CAST(event_id AS VARCHAR)), event_id LIMIT {TIMING}) ORDER BY event_id")
@@ -51,14 +52,16 @@ def median_run(spark, sf_dir):
     return stats.median_run(latencies(spark, sf_dir))
 
 
-@query("scaling_fit", f"WITH {SQL_SCALING}, f AS (SELECT dataset, regr_slope(ln(seconds), ln(n)) AS s, regr_intercept(ln(seconds), ln(n)) AS i FROM sc GROUP BY dataset) SELECT dataset, round(s, 6) AS slope, round(i, 6) AS intercept, round(exp(i + s * ln(2681468.0)), 3) AS extrapolated FROM f")
+@query("scaling_fit", f"WITH {SQL_SCALING}, f AS (SELECT dataset, regr_slope(ln(seconds), ln(n)) AS s, regr_intercept(ln(seconds), ln(n)) AS i FROM sc GROUP BY dataset) SELECT dataset, round(s, 6) AS slope, round(i, 6) AS intercept, round(exp(i + s * ln({SCALED_TO})), 3) AS extrapolated FROM f")
 def scaling_fit(spark, sf_dir):
-    return stats.scaling_fit(spark.createDataFrame(SCALING, "dataset string, n long, seconds double"), 2681468.0)
+    parts = load(spark, sf_dir, "events").select(F.col("event_type").alias("dataset"), "value", F.explode(F.sequence(F.col("event_id") % SIZES, F.lit(SIZES - 1).cast("long"))).alias("j"))
+    sizes = parts.groupBy("dataset", "j").agg(F.count(F.lit(1)).alias("n"), (F.sum("value") / 1000).alias("seconds"))
+    return stats.scaling_fit(sizes, SCALED_TO)
 
 
 @query("fastest_at_recall", f"WITH {SQL_FASTEST} SELECT target, method, param, recall, latency_ms FROM best")
 def fastest_at_recall(spark, sf_dir):
-    return stats.fastest_at(points(spark), TARGETS)
+    return stats.fastest_at(points(spark, sf_dir), TARGETS)
 
 
 @query(
@@ -67,7 +70,7 @@ def fastest_at_recall(spark, sf_dir):
 SELECT coalesce(a.param, b.param) AS param, a.recall AS left_recall, a.latency_ms AS left_ms, b.recall AS right_recall, b.latency_ms AS right_ms, round(a.latency_ms / b.latency_ms, 6) AS speedup FROM a FULL JOIN b ON a.param = b.param""",
 )
 def compare_methods(spark, sf_dir):
-    known = points(spark).distinct()
+    known = points(spark, sf_dir).distinct()
     return stats.compare(known.where("method = 'layered'"), known.where("method = 'flat_graph'"))
 
 
@@ -77,4 +80,4 @@ def compare_methods(spark, sf_dir):
 UNION ALL SELECT 1 + row_number() OVER (ORDER BY target, method, param), '| ' || CAST(target AS VARCHAR) || ' | ' || method || ' | ' || CAST(param AS VARCHAR) || ' |' FROM best""",
 )
 def report_markdown(spark, sf_dir):
-    return stats.markdown(stats.fastest_at(points(spark), TARGETS), ["target", "method", "param"])
+    return stats.markdown(stats.fastest_at(points(spark, sf_dir), TARGETS), ["target", "method", "param"])

@@ -11,7 +11,8 @@ from lodestone.plans.retrieval import SQL_BM25, run_of
 from lodestone.registry import query
 from lodestone.sources.tables import corpus, topics
 
-DEPTH = 5
+#: Hits that are ranked anew, a window of the usual size.
+DEPTH = 20
 WORDS = 300
 
 #: Generated texts with the number of passages they rank (fixed values: the cases a parser has to get right).
@@ -23,14 +24,14 @@ CASES: list[tuple[str | None, int]] = [
     ("[5] > [1] > [2] > [3]", 3),
     ("[0] > [2] > [1] > [3]", 3),
     ("[2]", 3),
-    ("Sure! Here is the ranking: [2] > [1] > [3]. Hope this helps.", 3),
-    ("Here are the top 10 passages: [3] > [1] > [2]", 3),
+    ("By relevance I would order them [2] > [1] > [3], as asked.", 3),
+    ("Of the 10 candidates, these come first: [3] > [1] > [2]", 3),
     ("2 > 1 > 3", 3),
     ("[3]\n[1]\n[2]", 3),
     ("[ 3 ] > [ 1 ] > [ 2 ]", 3),
     ("", 5),
     ("   ", 5),
-    ("I cannot help with that.", 5),
+    ("No order can be given.", 5),
     (None, 5),
     ("[1] > [1] > [99] > banana", 20),
     ("[99]", 3),
@@ -137,21 +138,23 @@ def prompt_compact(spark, sf_dir):
     return rows.select("query_id", F.col("turn").cast("long").alias("turn"), "m.role", F.md5(F.col("m.content").cast("binary")).alias("content_md5"))
 
 
-@query("perm_scrape", f"WITH {SQL_CASES}, {_sql_parse('cases')} SELECT case_id, CAST(pos AS BIGINT) AS pos, CAST(id AS VARCHAR) AS id FROM ex")
+@query("perm_scrape", f"WITH {SQL_RESPONSES}, {_sql_parse('resp')} SELECT case_id AS query_id, CAST(pos AS BIGINT) AS pos, CAST(id AS VARCHAR) AS id FROM ex")
 def perm_scrape(spark, sf_dir):
     ids, _ = scraped(F.col("raw_text"))
-    return cases(spark).select("case_id", F.posexplode(ids).alias("pos", "id")).select("case_id", (F.col("pos") + 1).cast("long").alias("pos"), "id")
+    rows = responses(spark, sf_dir).select("query_id", F.posexplode(ids).alias("pos", "id"))
+    return rows.select("query_id", (F.col("pos") + 1).cast("long").alias("pos"), "id")
 
 
-@query("perm_order", f"WITH {SQL_CASES}, {_sql_parse('cases')} SELECT case_id, string_agg(CAST(id - 1 AS VARCHAR), ',' ORDER BY llm_rank) AS \"order\" FROM od GROUP BY case_id")
+@query("perm_order", f"WITH {SQL_RESPONSES}, {_sql_parse('resp')} SELECT case_id AS query_id, string_agg(CAST(id - 1 AS VARCHAR), ',' ORDER BY llm_rank) AS \"order\" FROM od GROUP BY case_id")
 def perm_order(spark, sf_dir):
-    return parsed(cases(spark), "raw_text", "num").select("case_id", F.array_join(F.transform("result.order", lambda v: v.cast("string")), ",").alias("order"))
+    rows = parsed(responses(spark, sf_dir), "raw_text", "num")
+    return rows.select("query_id", F.array_join(F.transform("result.order", lambda v: v.cast("string")), ",").alias("order"))
 
 
-@query("perm_parse", f"WITH {SQL_CASES}, {_sql_parse('cases')} {SQL_PARSED}")
+@query("perm_parse", f"WITH {SQL_RESPONSES}, {_sql_parse('resp')}, p AS ({SQL_PARSED}) SELECT case_id AS query_id, p.* EXCLUDE (case_id) FROM p")
 def perm_parse(spark, sf_dir):
-    rows = parsed(cases(spark), "raw_text", "num").select("case_id", "result.*")
-    return rows.select("case_id", "strategy", *[F.col(c).cast("long").alias(c) for c in COUNTERS], "is_clean", "is_total_failure")
+    rows = parsed(responses(spark, sf_dir), "raw_text", "num").select("query_id", "result.*")
+    return rows.select("query_id", "strategy", *[F.col(c).cast("long").alias(c) for c in COUNTERS], "is_clean", "is_total_failure")
 
 
 @query(
