@@ -9,9 +9,9 @@ tiles, and the search length falls, so passages whose sentences were reordered a
 when its tiles cover at least min_coverage of its tokens, or when one tile alone has LONG_TILE tokens: so long a verbatim part of a
 long item is no accident.
 
-Tokens are runs of letters, digits and underscores, lower-cased. Defined results: null and empty texts match nothing; items of
-fewer than 5 tokens cannot be told from chance and match nothing; equal items are each reported; repeated documents
-are each reported; a null doc_id is reported as null and judged in the filter like all others. The query reads doc_id and text
+Tokens are runs of letters, digits and underscores, lower-cased. Defined results: null and empty texts match nothing, and items without tokens too; an
+item of fewer than 5 tokens leaks where it stands in a text as a whole, as one tile; equal items are each reported; repeated documents
+are each reported; of tiles of one length the first in the item, then in the text, is marked first; texts are worked on whole, however long; a null doc_id is reported as null and judged in the filter like all others. The query reads doc_id and text
 alone; the filter keeps all columns whatever their names. Empty tables give empty results.
 """
 
@@ -47,10 +47,14 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], least: int = LEAST):
         self.vocabulary: dict[str, int] = {}
         self.ids, self.tokens, self.least = [], [], least
+        #: Items with fewer tokens than a gram, by their tokens.
+        self.short: dict[tuple[int, ...], list[int]] = defaultdict(list)
         grams, owners, positions = [], [], []
         for item_id, text in items:
             tokens = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of((text or "").lower())], np.uint64)
             if len(tokens) < least:
+                if len(tokens):
+                    self.short[tuple(tokens.tolist())].append(item_id)
                 continue
             grams.append(rolled(mixed(tokens), least))
             owners.append(np.full(len(grams[-1]), len(self.ids), np.int64))
@@ -63,16 +67,26 @@ class Index:
         self.positions = np.concatenate(positions)[order] if grams else np.empty(0, np.int64)
         self.grams, self.starts = np.unique(flat[order], return_index=True)
         self.ends = np.append(self.starts[1:], len(flat))
+        self.short_firsts = np.array(sorted({key[0] for key in self.short}), np.uint64)
+        self.short_sizes = sorted({len(key) for key in self.short})
+
+    def short_hits(self, tokens: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The short items that stand in a document as a whole."""
+        found = set()
+        for at in np.flatnonzero(np.isin(tokens, self.short_firsts)).tolist():
+            found |= {key for n in self.short_sizes if (key := tuple(tokens[at : at + n].tolist())) in self.short}
+        return [(item, len(key), len(key), 1) for key in sorted(found) for item in self.short[key]]
 
     def hits(self, words: list[str], min_coverage: float, long_tile: int = LONG_TILE) -> list[tuple[int, int, int, int]]:
         """(item, its tokens, tokens covered, tiles) for the items that leak into a document of these words."""
-        if len(words) < self.least or not len(self.grams):
-            return []
         tokens = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
+        out = self.short_hits(tokens) if self.short else []
+        if len(words) < self.least or not len(self.grams):
+            return out
         known = np.cumsum(tokens > 0)
         whole = np.flatnonzero(known[self.least - 1 :] - np.concatenate([[0], known[: -self.least]]) == self.least)
         if not len(whole):
-            return []
+            return out
         windows = mixed(tokens)
         gram = np.zeros(len(whole), np.uint64)
         for j in range(self.least):
@@ -90,7 +104,6 @@ class Index:
                 item = int(self.owners[k])
                 covers[item].add(int(self.positions[k]))
                 seeds[item].append(places)
-        out = []
         for item in sorted(covers):
             pattern = self.tokens[item]
             bound = np.zeros(len(pattern), bool)

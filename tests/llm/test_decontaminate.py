@@ -70,6 +70,17 @@ def test_long_verbatim_part(spark):
     assert [(r.doc_id, r.item_id, r.covered, r.tiles) for r in d.leaks(spark, docs, items).collect()] == [(1, 5, 35, 1)]
 
 
+def test_short_items_are_matched_whole(spark):
+    """Items of one to four words leak where they stand verbatim, in short documents as well, and not in parts or another order."""
+    items = spark.createDataFrame([(1, "Zorv quen tal"), (2, "quen"), (3, "tal, zorv"), (None, "a b c d"), (5, "?!"), (6, "zorv quen tal")], "item_id long, text string")
+    docs = [(1, "zorv QUEN tal"), (2, "it says: zorv, quen; tal! and " + "more " * 30), (3, "zorv tal quen"), (4, "tal zorv"), (5, "a b c"), (6, "x a b c d"), (7, "other words alone"), (8, "zorv quen"), (9, None)]
+    for grams in (1, 1000):
+        found = d.leaks(spark, spark.createDataFrame(docs, "doc_id long, text string"), items, grams=grams).collect()
+        want = {(1, 1, 3), (1, 2, 1), (1, 6, 3), (2, 1, 3), (2, 2, 1), (2, 6, 3), (3, 2, 1), (4, 3, 2), (6, None, 4), (8, 2, 1)}
+        assert {(r.doc_id, r.item_id, r.covered) for r in found} == want and len(found) == len(want) and all(r.tiles == 1 for r in found)
+    assert sorted(r.doc_id for r in d.filter_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), items).collect()) == [5, 7, 9]
+
+
 def test_blocks_of_items(spark):
     items = spark.createDataFrame([(k, " ".join(f"t{k}x{j}" for j in range(12))) for k in range(10)], "item_id long, text string")
     docs = items.selectExpr("item_id + 100 AS doc_id", "text")
