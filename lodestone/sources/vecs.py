@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a file that a task reads.
+SPLIT_BYTES = 32 << 20
+
 
 def encoded(rows: np.ndarray, kind: str = "<f4") -> bytes:
     rows = np.asarray(rows, kind)
@@ -38,10 +41,37 @@ def _rows(kind: str):
     return run
 
 
-def read_vecs(spark: SparkSession, path: str, kind: str = "<f4") -> DataFrame:
-    """Files (or folders of them) -> path, row (place in its file) and value. A file is one task: write many."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_rows(kind), f"path string, row long, value array<{'float' if kind == '<f4' else 'int'}>")
+def read_vecs(spark: SparkSession, path: str, kind: str = "<f4", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Files (or folders of them) -> path, row (place in its file) and value.
+
+    A file's records are of one length, given by the number it starts with, so it is read in parts of about split_bytes, cut between
+    records, by any number of tasks. What a record says of its length is checked."""
+    context, parts = spark.sparkContext, []
+    listed = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length")
+    for file, length in listed.collect():  # a row for each file; contents aren't read
+        dims = int(np.frombuffer(context.binaryRecords(file, 4).first(), "<i4")[0])
+        record = 4 * (dims + 1)
+        if dims < 0 or length % record:
+            raise ValueError(f"{file}: {length} bytes are no rows of {dims} values")
+        conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(record), "mapreduce.input.fileinputformat.split.maxsize": str(max(record, split_bytes))}
+        records = context.newAPIHadoopFile(file, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+        parts.append(spark.createDataFrame(records.map(lambda r, file=file: (file, int(r[0]), bytes(r[1]))), "path string, row long, raw binary", verifySchema=False))
+    value = f"array<{'float' if kind == '<f4' else 'int'}>"
+    found = spark.createDataFrame([], "path string, row long, raw binary")
+    for part in parts:
+        found = found.union(part)
+    return found.mapInArrow(_records(kind), f"path string, row long, value {value}")
+
+
+def _records(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [row for raw in batch.column(2).to_pylist() for row in decoded(raw, kind)]
+            if len(values) != batch.num_rows:
+                raise ValueError("rows of different dimensions in one file")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.list_(pa.float32() if kind == "<f4" else pa.int32()))], names=["path", "row", "value"])
+
+    return run
 
 
 def decode_column(df: DataFrame, key: str, raw: str) -> DataFrame:

@@ -219,6 +219,23 @@ def test_fvecs_files(spark, clustered, tmp_path):
     assert [r.value for r in vecs.read_vecs(spark, f"{tmp_path}/c.ivecs", "<i4").orderBy("row").collect()] == np.arange(12).reshape(4, 3).tolist()
 
 
+def test_a_file_is_read_by_many_tasks(spark, tmp_path):
+    x = np.arange(20_000 * 15, dtype=np.float32).reshape(20_000, 15)
+    (tmp_path / "a.fvecs").write_bytes(vecs.encoded(x))
+    (tmp_path / "empty.fvecs").write_bytes(b"")
+    found = vecs.read_vecs(spark, str(tmp_path), split_bytes=100_000)
+    assert found.rdd.getNumPartitions() >= 12
+    rows = found.orderBy("row").collect()
+    assert [r.row for r in rows] == list(range(20_000)) and np.array_equal(np.array([r.value for r in rows], np.float32), x)
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "b.fvecs").write_bytes(vecs.encoded(x[:3]) + b"1234")
+    with pytest.raises(ValueError, match="no rows"):
+        vecs.read_vecs(spark, f"{tmp_path}/odd")
+    (tmp_path / "odd" / "b.fvecs").write_bytes(vecs.encoded(x[:2]) + vecs.encoded(x[:1, :7]) + vecs.encoded(x[:1, :7]))
+    with pytest.raises(Exception, match="different dimensions|cannot reshape"):
+        vecs.read_vecs(spark, f"{tmp_path}/odd").collect()
+
+
 def test_latencies(spark):
     df = spark.createDataFrame([(r, float(v)) for r, shift in ((0, 5), (1, 0), (2, 1), (3, 9)) for v in range(shift, shift + 5)], "run int, lat_ms double")
     row = stats.latency_summary(df.where("run = 1")).first()
