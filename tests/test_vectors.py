@@ -190,6 +190,32 @@ def test_sample_in_parallel(spark, monkeypatch):
     assert pq.sample(same, 300).count() == 300
 
 
+def test_spread_seeds(spark, tables):
+    """Better than seeds at random, for three seeds, before and after training; the same from other partitions."""
+    base, _ = tables
+    base = base.select("vec_id", "embedding")
+    for seed in range(3):
+        spread, random = pq.seeds(spark, base, 4, 32, seed), pq.random_seeds(base, 4, 32, seed)
+        assert spread.shape == random.shape == (4, 32, 8)
+        costs = []
+        for book in (spread, random):
+            costs.append(pq.lloyd(spark, base, book)[2])
+            for _ in range(3):
+                book, counts, cost = pq.lloyd(spark, base, book)
+            costs.append(cost)
+        assert costs[0] < costs[2] and costs[1] < costs[3] and costs[1] < costs[0]
+    assert np.array_equal(pq.seeds(spark, base.repartition(5), 4, 32, 2), spread)
+
+
+def test_empty_centroids_move(spark):
+    """Centroids far from all rows, equal ones, and more centroids than different rows."""
+    rows = spark.createDataFrame([(k, [float(k // 10), 0.0]) for k in range(40)], "vec_id long, embedding array<float>")
+    book, counts, cost = pq.lloyd(spark, rows, np.array([[[0.0, 0.0], [900.0, 0.0], [900.0, 0.0], [-900.0, 0.0]]]))
+    assert counts.tolist() == [[40, 0, 0, 0]] and cost == 10 * (1 + 4 + 9) and sorted(book[0, :, 0].tolist()) == [-900.0, 1.5, 3.0, 900.0]
+    trained = pq.fit(spark, rows, 1, 4, rounds=6)
+    assert sorted(trained[0, :, 0].tolist()) == [0, 1, 2, 3] and pq.fit(spark, rows, 1, 9, rounds=2).shape == (1, 9, 2)
+
+
 def test_layout(spark, tmp_path):
     base = spark.range(1000).withColumnRenamed("id", "vec_id")
     rows = pq.layout(base, 64, 32)
