@@ -132,7 +132,7 @@ def dataset_summary(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, run
         corpus.agg(F.count(F.lit(1)).alias("documents")),
         queries.agg(F.count(F.lit(1)).alias("queries")),
         qrels.agg(F.countDistinct("query_id").alias("judged_queries"), F.count(F.lit(1)).alias("pairs")),
-        counts.agg(F.min("c").alias("min_candidates"), F.max("c").alias("max_candidates"), F.round(F.avg("c"), DIGITS).alias("mean_candidates"), F.count_if(F.col("c") < k).alias("below_k")),
+        counts.agg(F.min("c").alias("min_candidates"), F.max("c").alias("max_candidates"), F.sum("c").alias("candidates"), F.round(F.avg("c"), DIGITS).alias("mean_candidates"), F.count_if(F.col("c") < k).alias("below_k")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -112,11 +112,17 @@ def bm25_topk(spark, sf_dir):
     return run_of(spark, sf_dir)
 
 
-@query("run_nested", f"WITH {SQL_BM25} SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rank) AS results FROM run_v GROUP BY query_id")
+@query("run_nested", f"WITH {SQL_BM25} SELECT query_id, string_agg(CAST(doc_id AS VARCHAR) || ':' || printf('%.6f', score), ' ' ORDER BY rank) AS results FROM run_v GROUP BY query_id")
 def run_nested(spark, sf_dir):
-    """The run as a row for each query; the ids stand for the nested hits so that engines can be compared."""
+    """The run as a row for each query; the nested hits are written out as doc_id:score, by rank, so that engines can be compared."""
     nested = run_of(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("hits"))
-    return nested.select("query_id", F.array_join(F.transform("hits", lambda h: h["doc_id"].cast("string")), " ").alias("results"))
+    return nested.select("query_id", F.array_join(F.transform("hits", lambda h: F.format_string("%d:%.6f", h["doc_id"], h["score"])), " ").alias("results"))
+
+
+@query("bm25_english_topk")
+def bm25_english_topk(spark, sf_dir):
+    """The run of an analyzer that leaves English stop words out and takes stems, as lexical engines do by default."""
+    return run_of(spark, sf_dir, bm25.Analyzer(stop_words=True, stems=True))
 
 
 def _measure(name: str, column: str):
@@ -224,7 +230,7 @@ def rerank_dataset(spark, sf_dir):
 @query(
     "dataset_summary",
     f"""WITH {SQL_STAGE1} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS queries, (SELECT count(DISTINCT query_id) FROM qrels_v) AS judged_queries, (SELECT count(*) FROM qrels_v) AS pairs,
-min(num_retrieved) AS min_candidates, max(num_retrieved) AS max_candidates, round(avg(num_retrieved), 6) AS mean_candidates, CAST(sum(CASE WHEN num_retrieved < 100 THEN 1 ELSE 0 END) AS BIGINT) AS below_k FROM s1""",
+min(num_retrieved) AS min_candidates, max(num_retrieved) AS max_candidates, CAST(sum(num_retrieved) AS BIGINT) AS candidates, round(avg(num_retrieved), 6) AS mean_candidates, CAST(sum(CASE WHEN num_retrieved < 100 THEN 1 ELSE 0 END) AS BIGINT) AS below_k FROM s1""",
 )
 def dataset_summary(spark, sf_dir):
     return ireval.dataset_summary(corpus(spark, sf_dir), topics(spark, sf_dir), qrels(spark, sf_dir), run_of(spark, sf_dir))

@@ -31,6 +31,12 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_queries(queries: DataFrame, path: str, split: str | None = None, mode: str = "errorifexists") -> None:
+    """query_id and query_text as JSON lines, the id as a string, and the name of the split where one is given."""
+    named = [F.lit(split).alias("split")] if split is not None else []
+    write_jsonl(queries.select(F.col("query_id").cast("string").alias("query_id"), "query_text", *named), path, mode)
+
+
 def trec_lines(qrels: DataFrame) -> DataFrame:
     """query_id 0 doc_id relevance, tab-separated; sorted by the ids as strings where the order is kept (a write after orderBy)."""
     line = F.concat_ws("\t", F.col("query_id").cast("string"), F.lit("0"), F.col("doc_id").cast("string"), F.col("relevance").cast("string"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -183,6 +184,45 @@ def test_stems():
     assert [stem(w) for w in ("is", "é", "naïve", "1990s", "")] == ["is", "é", "naïve", "1990s", ""]
 
 
+def test_english_run_by_definition(spark):
+    """The registered run with stop words and stems against scores written out."""
+    import regex
+
+    from lodestone.functions.stemming import stem
+    from lodestone.functions.text import STOP_WORDS
+
+    sf = "/root/testdata/sf0.001"
+    terms = lambda text: [stem(t) for t in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if t and t not in STOP_WORDS]
+    docs = {r.doc_id: Counter(terms(f"{r.source or ''} {r.text or ''}")) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    lengths = {d: sum(c.values()) for d, c in docs.items()}
+    df, avgdl = Counter(t for c in docs.values() for t in c), sum(lengths.values()) / len(docs)
+    found = {}
+    for r in retrieval.bm25_english_topk(spark, sf).collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = (r.doc_id, r.score)
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    assert set(found) == {r.item_id for r in asked}
+    for r in asked:
+        scores = Counter()
+        for t, qtf in Counter(terms(r.text)).items():
+            for d, c in docs.items():
+                if c[t]:
+                    scores[d] += qtf * math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] / (c[t] + 0.9 * (0.6 + 0.4 * lengths[d] / avgdl))
+        got = [found[r.item_id][k + 1] for k in range(len(found[r.item_id]))]
+        assert len(got) == min(100, len(scores)) and all(abs(scores[d] - s) < 1e-5 for d, s in got)
+        assert got[-1][1] >= sorted(scores.values(), reverse=True)[len(got) - 1] - 1e-5
+
+
+def test_queries_with_their_split(spark, tmp_path):
+    import json
+
+    queries = spark.createDataFrame([(1, "é?"), (2, None)], "query_id long, query_text string")
+    sinks.write_queries(queries, f"{tmp_path}/q", "test")
+    sinks.write_queries(queries, f"{tmp_path}/plain")
+    lines = sorted(r.value for r in spark.read.text(f"{tmp_path}/q").collect())
+    assert [json.loads(x) for x in lines] == [{"query_id": "1", "query_text": "é?", "split": "test"}, {"query_id": "2", "query_text": None, "split": "test"}]
+    assert "split" not in spark.read.json(f"{tmp_path}/plain").columns
+
+
 def test_sinks(spark, qrels, tmp_path):
     sinks.write_trec_qrels(qrels, f"{tmp_path}/qrels")
     lines = [r.value for r in spark.read.text(f"{tmp_path}/qrels").collect()]
