@@ -10,6 +10,7 @@ The relational forms of pruning, reverse edges and the degree audit work on edge
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -284,12 +285,14 @@ def _searching(shared, k: int, sizes: list[int]):
             for start in range(0, len(qids), step):
                 part = slice(start, start + step)
                 # Whatever is expanded first, a list that rejects nothing expands all.
+                began = time.perf_counter()
                 found, d, expanded, scored, _ = search(x, nbrs, np.searchsorted(ids, at[part]), queries[part], length, width=1 if size else WHOLE_WIDTH)
+                took = 1000 * (time.perf_counter() - began) / len(found)
                 found, d = found[:, :k], d[:, :k]
                 keep = found != NONE
                 row = np.nonzero(keep)[0]
-                out.append(pd.DataFrame({"size": size, "qid": qids[part][row], "vec_id": ids[found[keep]], "d2": np.round(d[keep], DIGITS), "expanded": expanded[row], "distances": scored[row], "shard": int(rows["shard"].iloc[0])}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["size", "qid", "vec_id", "d2", "expanded", "distances", "shard"])
+                out.append(pd.DataFrame({"size": size, "qid": qids[part][row], "vec_id": ids[found[keep]], "d2": np.round(d[keep], DIGITS), "expanded": expanded[row], "distances": scored[row], "shard": int(rows["shard"].iloc[0]), "lat_ms": took}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["size", "qid", "vec_id", "d2", "expanded", "distances", "shard", "lat_ms"])
 
     return run
 
@@ -297,7 +300,7 @@ def _searching(shared, k: int, sizes: list[int]):
 def search_index(spark: SparkSession, index: DataFrame, queries: DataFrame, k: int = 10, sizes: list[int] | None = None) -> DataFrame:
     """Nearest k of each query and list size in every shard, with the shard's counters; query blocks of bounded size are broadcast.
     A size of 0 is a list as long as the shard, with which the search is exact, as the build makes every node reachable."""
-    schema = "size int, qid long, vec_id long, d2 double, expanded long, distances long, shard int"
+    schema = "size int, qid long, vec_id long, d2 double, expanded long, distances long, shard int, lat_ms double"
     out = None
     for block in query_blocks(queries):
         part = index.groupBy("shard").applyInPandas(_searching(spark.sparkContext.broadcast(block), k, sizes or [100]), schema)
@@ -317,6 +320,12 @@ def counters(found: DataFrame) -> DataFrame:
     return each.groupBy("size").agg(F.round(F.avg("e"), DIGITS).alias("mean_expanded"), F.round(F.avg("d"), DIGITS).alias("mean_distances"))
 
 
+def latencies(found: DataFrame) -> DataFrame:
+    """size, mean_ms: the milliseconds that a query took in its shards, which were searched for many queries in step."""
+    each = found.groupBy("size", "qid", "shard").agg(F.max("lat_ms").alias("t")).groupBy("size", "qid").agg(F.sum("t").alias("t"))
+    return each.groupBy("size").agg(F.round(F.avg("t"), DIGITS).alias("mean_ms"))
+
+
 def build_counters(index: DataFrame) -> DataFrame:
     """One row: nodes, shards, and the mean expansions and distance evaluations of a node's insertion in the last pass."""
     return index.where("level = 0").agg(

@@ -18,6 +18,7 @@ class Components(NamedTuple):
     mean: np.ndarray
     components: np.ndarray  # one row for each
     ratios: np.ndarray  # shares of the variance
+    total: float = 0.0  # the variance of all dimensions together
 
 
 def fit(vectors: DataFrame, n: int, sample_rows: int | None = 200_000, seed: int = 0) -> Components:
@@ -43,7 +44,7 @@ def fit(vectors: DataFrame, n: int, sample_rows: int | None = 200_000, seed: int
     count, mean = total[-1, -1], total[-1, :-1] / total[-1, -1]
     values, found = np.linalg.eigh((total[:-1, :-1] - count * np.outer(mean, mean)) / max(1, count - 1))
     order = np.argsort(-values)
-    return Components(mean, found[:, order[:n]].T, values[order[:n]] / max(values.sum(), 1e-300))
+    return Components(mean, found[:, order[:n]].T, values[order[:n]] / max(values.sum(), 1e-300), float(values.sum()))
 
 
 def projected(embedding: Column | str, mean: np.ndarray, components: np.ndarray) -> Column:

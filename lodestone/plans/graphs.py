@@ -128,6 +128,24 @@ def graph_build_edges(spark, sf_dir):
     return graph.fit(base_vectors(spark, sf_dir), DEGREE, LIST, ALPHA).select(F.col("vec_id").alias("src"), F.explode("nbrs").alias("dst"))
 
 
+@query(
+    "graph_build_audit",
+    f"""WITH {SQL_VECTORS} SELECT count(*) AS nodes, true AS within_degree, CAST(0 AS BIGINT) AS zero_degree, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS self_loops, CAST(0 AS BIGINT) AS out_of_range,
+count(*) AS reached FROM base_v""",
+)
+def graph_build_audit(spark, sf_dir):
+    """The graph of the shards: its defects, of which there are none, and the nodes that the shards' entries lead to, which are all."""
+    return audited(spark, index(spark, sf_dir).select("vec_id", "nbrs"), base_vectors(spark, sf_dir), index(spark, sf_dir).where("entry").select("vec_id"), DEGREE)
+
+
+def audited(spark, lists: DataFrame, base: DataFrame, entries: DataFrame, degree: int) -> DataFrame:
+    edges = lists.select(F.col("vec_id").alias("src"), F.explode("nbrs").alias("dst"))
+    row = graph.audit(edges, base.select("vec_id"), degree).select("within_degree", "zero_degree", "duplicates", "self_loops", "out_of_range")
+    start = entries.select("vec_id", F.lit(None).cast("long").alias("parent"))
+    reached = graph_tables.reached_from(spark, edges, start).agg(F.count(F.lit(1)).alias("reached"))
+    return base.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(row).crossJoin(reached)  # a row each
+
+
 @query(
     "graph_build_counters",
     f"WITH {SQL_VECTORS} SELECT count(*) AS nodes, CAST(1 AS BIGINT) AS shards, CAST(1 AS BIGINT) AS entries, true AS expanded_some, true AS scored_more FROM base_v",
@@ -152,12 +170,13 @@ def ann_search_counters(spark, sf_dir):
 
 @query("recall_vs_L")
 def recall_vs_l(spark, sf_dir):
-    """Recall of the sweep over list sizes against exact search."""
+    """The operating points of the sweep over list sizes: recall against exact search, work and milliseconds of a query."""
     truth = knn.exact_topk(spark, base_vectors(spark, sf_dir), query_vectors(spark, sf_dir), K).select("qid", "vec_id")
-    found = graph.merged(graph.search_index(spark, index(spark, sf_dir), query_vectors(spark, sf_dir), K, SWEEP), K)
-    hits = found.join(truth, ["qid", "vec_id"], "left_semi").groupBy("size").agg(F.count(F.lit(1)).alias("hits"))
+    found = written(spark, graph.search_index(spark, index(spark, sf_dir), query_vectors(spark, sf_dir), K, SWEEP), "sweep")
+    hits = graph.merged(found, K).join(truth, ["qid", "vec_id"], "left_semi").groupBy("size").agg(F.count(F.lit(1)).alias("hits"))
     n = F.broadcast(query_vectors(spark, sf_dir).agg(F.count(F.lit(1)).alias("n")))  # one row
-    return hits.crossJoin(n).select("size", F.round(F.col("hits") / (F.col("n") * K), 6).alias("recall"))
+    recall = hits.crossJoin(n).select("size", F.round(F.col("hits") / (F.col("n") * K), 6).alias("recall"))
+    return recall.join(graph.counters(found), "size").join(graph.latencies(found), "size")
 
 
 @query("layered_graph_knn")
@@ -206,11 +225,7 @@ count(*) AS reached FROM base_v""",
 def graph_table_audit(spark, sf_dir):
     """The graph built by joins: its defects, of which there are none, and the nodes that the entry leads to, which are all."""
     base = base_vectors(spark, sf_dir)
-    edges = table_graph(spark, sf_dir).select(F.col("vec_id").alias("src"), F.explode("nbrs").alias("dst"))
-    row = graph.audit(edges, base.select("vec_id"), TABLE_DEGREE).select("within_degree", "zero_degree", "duplicates", "self_loops", "out_of_range")
-    start = knn.medoid(base).select("vec_id", F.lit(None).cast("long").alias("parent"))
-    reached = graph_tables.reached_from(spark, edges, start).agg(F.count(F.lit(1)).alias("reached"))
-    return base.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(row).crossJoin(reached)  # a row each
+    return audited(spark, table_graph(spark, sf_dir), base, knn.medoid(base), TABLE_DEGREE)
 
 
 @query("graph_walk_topk")
