@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, graph_tables, knn, lsh
+from lodestone.operators import graph, graph_tables, knn, lsh, selection
 from lodestone.plans.vectors import K, SQL_TOPK
 from lodestone.registry import query
 from lodestone.sources.reuse import reused
@@ -32,23 +32,28 @@ def nodes(spark):
     return spark.range(NODES).withColumnRenamed("id", "vec_id")
 
 
-SQL_REGULAR = f"""top AS (SELECT max(vec_id) + 1 AS n FROM base_v),
-dr AS (SELECT src, dst, min(j) AS j FROM (SELECT vec_id AS src, j, CASE WHEN j > {DRAWS} THEN vec_id + j - {DRAWS} ELSE ((vec_id + 17) * 7919 + j * 104729 + (vec_id + 3) * (j + 5) * 31) % 1000003 END % n AS dst
-  FROM base_v, range(1, {DRAWS + REGULAR + 1}) r(j), top) WHERE src <> dst GROUP BY src, dst),
-regular AS (SELECT src, dst FROM (SELECT d.src, d.dst, row_number() OVER (PARTITION BY d.src ORDER BY d.j) AS k FROM dr d JOIN base_v b ON b.vec_id = d.dst) WHERE k <= {REGULAR})"""
+SQL_REGULAR = f"""num AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM base_v), top AS (SELECT count(*) AS n FROM base_v),
+dr AS (SELECT src, dst, min(j) AS j FROM (SELECT r AS src, j, CASE WHEN j > {DRAWS} THEN r + j - {DRAWS} ELSE ((r + 17) * 7919 + j * 104729 + (r + 3) * (j + 5) * 31) % 1000003 END % n AS dst
+  FROM num, range(1, {DRAWS + REGULAR + 1}) s(j), top) WHERE src <> dst GROUP BY src, dst),
+regular AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY j) AS k FROM dr) d JOIN num a ON a.r = d.src JOIN num b ON b.r = d.dst WHERE k <= {REGULAR})"""
 
 
 @query("random_regular_graph", f"WITH {SQL_VECTORS}, {SQL_REGULAR} SELECT src, dst FROM regular")
 def random_regular_graph(spark, sf_dir):
-    """Each vector's first distinct draws by a formula of its id, then the ids that follow its own, so that none runs short: linear
-    in the vectors, the same on every engine. Ids run from 0 without gaps, as row numbers do."""
-    base = base_vectors(spark, sf_dir).select("vec_id")
-    top = F.broadcast(base.agg((F.max("vec_id") + 1).alias("n")))  # one row
-    src = F.col("src")
-    draw = F.when(F.col("j") > DRAWS, src + F.col("j") - DRAWS).otherwise(((src + 17) * 7919 + F.col("j") * 104729 + (src + 3) * (F.col("j") + 5) * 31) % 1000003) % F.col("n")
-    draws = base.select(F.col("vec_id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(DRAWS + REGULAR))).alias("j")).crossJoin(top).select("src", "j", draw.alias("dst")).where("src <> dst")
-    known = draws.groupBy("src", "dst").agg(F.min("j").alias("j")).join(base.select(F.col("vec_id").alias("dst")), "dst", "left_semi")
-    return known.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("j", "dst"))).alias("d")).select("src", F.explode(F.slice("d", 1, REGULAR)).alias("d")).select("src", "d.dst")
+    return regular_graph(spark, base_vectors(spark, sf_dir).select("vec_id"), REGULAR)
+
+
+def regular_graph(spark, nodes: DataFrame, degree: int) -> DataFrame:
+    """src, dst: each node's first distinct draws by a formula of its place among the ids, then the places that follow its own, so that
+    none runs short: linear in the nodes, the same on every engine, whatever gaps the ids have."""
+    placed = selection.numbered(spark, nodes, "vec_id")
+    top = F.broadcast(placed.agg(F.count(F.lit(1)).alias("n")))  # one row
+    row = F.col("row")
+    draw = F.when(F.col("j") > DRAWS, row + F.col("j") - DRAWS).otherwise(((row + 17) * 7919 + F.col("j") * 104729 + (row + 3) * (F.col("j") + 5) * 31) % 1000003) % F.col("n")
+    draws = placed.select(F.col("vec_id").alias("src"), "row", F.explode(F.sequence(F.lit(1), F.lit(DRAWS + degree))).alias("j")).crossJoin(top).select("src", "row", "j", draw.alias("to")).where("row <> to")
+    once = draws.groupBy("src", "to").agg(F.min("j").alias("j")).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("j", "to"))).alias("d"))
+    chosen = once.select("src", F.explode(F.slice("d", 1, degree)).alias("d")).select("src", F.col("d.to").alias("row"))
+    return chosen.join(placed.withColumnRenamed("vec_id", "dst"), "row").select("src", "dst")
 
 
 @query(
