@@ -14,7 +14,7 @@ so the block size changes memory and time and no prediction. A single language's
 Temperature and rejection are fitted on at most calibration_rows texts (of the smallest hash of doc_id).
 
 Defined results: a null text and one without letters is "und" with score 0; so is every text where nothing was learned. Rows
-with a null doc_id or lang teach nothing but are classified. Ties go to the first language by name. The query reads doc_id, text
+with a null doc_id or lang teach nothing but are classified. Ties go to the first language by name. Texts are scored whole, however long. The query reads doc_id, text
 and lang alone; with_language adds one column and keeps the others, one of the same name excepted. Empty tables give empty results.
 """
 

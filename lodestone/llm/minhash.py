@@ -20,7 +20,8 @@ A pair at the threshold of 0.85 shares no band with probability (1 - 0.85^4)^32
 cap holds on buckets, partners or candidates.
 
 Defined results: a null or empty text, or one of white space, has no shingles, is its own component and is kept. A null
-doc_id is linked with nothing and kept, with a null component. Equal doc_ids are one document. The query reads doc_id and text
+doc_id is linked with nothing and kept, with a null component. Equal doc_ids are one document. Texts are
+shingled whole, however long, each in one task; a component is named by its smallest doc_id, so nothing ties. The query reads doc_id and text
 alone; the stage keeps all columns whatever their names. Empty tables give empty results.
 """
 

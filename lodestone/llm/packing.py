@@ -12,7 +12,7 @@ So there is no histogram of the whole table, and a small table's remainders all
 task; a table of a row for each task has the windows before it, and is the only thing that is broadcast.
 
 Defined results: a null or empty text is its end token alone; every id lies in exactly one piece; rows with equal or null
-doc_id are packed each by itself. Columns besides doc_id and text are not read, whatever their names. An empty table gives no pieces.
+doc_id are packed each by itself. Texts are tokenized whole, however long; of fillings that come equally close any may be taken. Columns besides doc_id and text are not read, whatever their names. An empty table gives no pieces.
 """
 
 from __future__ import annotations

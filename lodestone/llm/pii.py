@@ -15,6 +15,8 @@ The field is trained here, by gradient ascent on the likelihood of sentences wri
 some seconds once a process.
 
 Defined results: a null or empty text has no spans. Rows are judged one by one, so null and repeated ids do not matter.
+Texts are worked on whole, however long. Of segmentations with equal scores, one without a span wins, then the longer span, then the kind
+that is listed first.
 Empty tables give empty results. Offsets are code points, ends exclusive. The query reads doc_id and text alone; the stage keeps all
 columns whatever their names.
 """

@@ -10,7 +10,8 @@ The context vectors cover all documents; the network learns from at most max_row
 
 Words are runs of letters and digits, or of other marks, as they are written. Defined results: a null or empty text has the vector of
 no words and gets a score as any other. Rows without a label teach nothing; nothing learned gives every text 0.5; equal
-doc_ids in the labels are each a training row. The query reads doc_id and text (and quality of the labels) alone; with_scores adds
+doc_ids in the labels are each a training row. Texts are pooled whole, however long; of labelled rows that tie for the last place of the sample, as
+those of one doc_id do, any may be taken. The query reads doc_id and text (and quality of the labels) alone; with_scores adds
 one column and keeps the others, one of the same name excepted. Empty tables give empty results.
 """
 

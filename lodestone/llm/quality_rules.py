@@ -7,7 +7,7 @@ rule casts each vote in each class. The posterior probability of "good" then dec
 Only the table of vote patterns (at most 3^10 rows whatever the input) reaches the driver.
 
 Defined results: a null or empty text has no words, fails the base rule and is dropped. Rows are judged one by one, so
-repeated rows, equal ids and null ids get the same verdict as the text alone would. The stage keeps all columns whatever their
+repeated rows, equal ids and null ids get the same verdict as the text alone would. Texts are read whole, however long. The stage keeps all columns whatever their
 names; op9_query reads doc_id and text alone. An empty table gives an empty result.
 """
 

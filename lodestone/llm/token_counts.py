@@ -9,7 +9,7 @@ end of a word often leaves a bare mark that no piece covers. Words are what the
 make of the text; counts of words are remembered per process. A word that no pieces cover is one unknown token.
 
 Defined results: null and empty texts have no words and no tokens; strings of special tokens are ordinary text. Rows are counted
-one by one, so repeated rows and null ids do not matter; with_counts adds one column and keeps the others, one of the same name
+one by one and texts whole, however long, so repeated rows and null ids do not matter and nothing ties; with_counts adds one column and keeps the others, one of the same name
 excepted, and the query reads doc_id and text alone. An empty table gives an empty result.
 """
 

@@ -11,7 +11,8 @@ Files go to the shared folder under the name of the task attempt that wrote them
 counted is written by Spark itself, so a lost executor or a second attempt leaves at most unused files behind.
 
 Defined results: a null or empty text is its end token alone; equal doc_ids are told apart by text (by a hash of it first, where they
-fill partitions), and rows equal in both are each written; a null doc_id comes first. Columns besides doc_id and text are not
+fill partitions), and rows equal in both are each written; a null doc_id comes first.
+Texts are encoded whole, however long. Columns besides doc_id and text are not
 read, whatever their names. An empty table writes no files.
 """
 

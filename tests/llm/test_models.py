@@ -123,7 +123,7 @@ def test_language_empty(spark, empty, folder):
     assert language.op7_query(spark, folder(documents=empty)).count() == 0
 
 
-def test_language_prunes_rarest(spark):
+def test_language_keeps_every_gram(spark):
     docs = spark.createDataFrame([(1, "en", "aaa aaa aaa bbb"), (2, "de", "ccc ccc ddd")], "doc_id long, lang string, text string")
     small = language.fit(docs, max_ngrams=4)
     assert small.langs and small.classify(["aaa"])[0][0] == "en"
