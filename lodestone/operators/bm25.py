@@ -177,18 +177,16 @@ class Candidates:
 
     def __init__(self, index: BoundedIndex, queries: DataFrame, k: int):
         spark, self.k = index.bounds.sparkSession, k
-        asked = written(spark, query_terms(queries, index.analyzer), "query-terms")
-        vocabulary = asked.select("term").distinct()
-        bounds = written(spark, index.bounds.join(vocabulary, "term", "left_semi"), "query-bounds")
-        self.shares = written(spark, index.shares.join(vocabulary, "term", "left_semi"), "query-shares")
-        known = bounds.groupBy("term").agg(F.sum("docs").alias("df")).crossJoin(index.stats)
-        self.terms = written(spark, asked.join(known, "term").select("query_id", "term", "df", (F.col("qtf") * idf()).alias("weight")), "query-weights")
+        asked = query_terms(queries, index.analyzer)
+        known = index.bounds.groupBy("term").agg(F.sum("docs").alias("df")).join(asked, "term").crossJoin(index.stats)
+        self.terms = written(spark, known.select("query_id", "term", "df", (F.col("qtf") * idf()).alias("weight")), "query-weights")
+        self.shares = written(spark, index.shares.join(self.terms.select("term").distinct(), "term", "left_semi"), "query-shares")
         self.opening = written(spark, self._opening(), "opening")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
         thresholds = self.opening.withColumn("place", place).where(F.col("place") == k).select("query_id", (F.col("score") - MARGIN).alias("least"))
         # Queries with fewer documents in the first pass have no threshold: all their terms are read.
         self.weights = self.terms.join(thresholds, "query_id", "left").select("query_id", "term", "weight", F.coalesce("least", F.lit(0.0)).alias("least"))
-        self.parts = written(spark, self._parts(bounds), "parts")
+        self.parts = written(spark, self._parts(index.bounds), "parts")
         self.survivors = written(spark, self._survivors(), "survivors")
 
     def _opening(self) -> DataFrame:

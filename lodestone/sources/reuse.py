@@ -1,15 +1,17 @@
 """Results that are written once and found again: by what their inputs hold, not by when or where they were made.
 
-A result's fingerprint is a digest of its name, its parameters, and the path, length and time of change of every file it is made
-of. The shared folder keeps a small file named by the fingerprint, which holds the path of the written result. Other applications
+A result's fingerprint is a digest of its name, its parameters, the library's code, and the path, length and time of change of every file it
+is made of. The shared folder keeps a small file named by the fingerprint, which holds the path of the written result. Other applications
 find it as well; a table that changes gives another fingerprint and so a new result. Of two applications that make the
 same result at once, the first to write the small file wins, and the other reads what the first has written."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Callable, Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,18 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return path, *row
 
 
+@functools.cache
+def _code() -> str:
+    """A digest of the library's own files, so that what other code has written is not taken for a result of this."""
+    root, found = Path(__file__).parent.parent, hashlib.sha256()
+    for part in ("functions", "operators", "plans", "sources"):
+        for file in sorted((root / part).glob("*.py")):
+            found.update(file.name.encode() + b"\0" + file.read_bytes())
+    return found.hexdigest()
+
+
 def fingerprint(spark: SparkSession, name: str, paths: Sequence[str], parameters: object = None) -> str:
-    return hashlib.sha256(repr((name, [_files(spark, p) for p in paths], parameters)).encode()).hexdigest()[:32]
+    return hashlib.sha256(repr((name, _code(), [_files(spark, p) for p in paths], parameters)).encode()).hexdigest()[:32]
 
 
 def _folder(spark: SparkSession) -> str:
